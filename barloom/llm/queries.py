@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, token_store
+from . import byte_bpe, simhash, token_store
 from .common import documents
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), words=4, radius=4)
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read_back(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -20,7 +24,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_ids": op3_token_ids, "op9_byte_bpe": op9_byte_bpe}
+    return {"op1_simhash": op1_simhash, "op3_token_ids": op3_token_ids, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
