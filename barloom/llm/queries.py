@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_knn, simhash, token_store
+from . import ann, byte_bpe, quality_knn, simhash, token_store
 from .common import documents
 
 
@@ -28,8 +28,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(documents(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_token_ids": op3_token_ids, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe}
+    return {"op1_simhash": op1_simhash, "op3_token_ids": op3_token_ids, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
