@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, quality_knn, simhash, token_store
+from . import ann, byte_bpe, html_text, quality_knn, simhash, token_store
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read_back(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(documents(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_knn.score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), threshold=0.3)
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -33,7 +37,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_token_ids": op3_token_ids, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours}
+    return {"op1_simhash": op1_simhash, "op3_token_ids": op3_token_ids, "op6_main_text": op6_main_text, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
