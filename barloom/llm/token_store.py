@@ -20,9 +20,12 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -35,11 +38,12 @@ from tokenizers import Tokenizer
 from .common import Scratch, text_of
 
 MAGIC = b"BLTOKEN1"
-BLOCK_IDS, FILE_IDS = 4096, 1 << 22
-#: Words up to this many characters are remembered by a task, up to this many of them at a time.
-MEMO_CHARS, MEMO_WORDS = 40, 400_000
+BLOCK_IDS, FILE_IDS = 4096, 1 << 21
+#: Pieces up to this many characters are remembered by a task, up to this many of them at a time.
+MEMO_CHARS, MEMO_PIECES = 40, 400_000
 
 _WORDS = re.compile(r"[^\t-\r ]+").findall
+_BEYOND = re.compile("[^\x00-\u024f]").search
 
 
 def bits_for(vocabulary: int) -> int:
@@ -113,26 +117,56 @@ def store_file(folder: str, name: str, data: bytes) -> None:
         store.move(f"{path}/{own}", f"{path}/{name}")
 
 
-class WordEncoder:
-    """Encodes texts word by word, as no token crosses ASCII white space, which is dropped."""
+def _latin_pieces() -> re.Pattern:
+    """What the tokenizer's own split takes from lower-case text of characters under U+0250."""
+    of = {kind: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN"}
+    blank = "\t-\r \x85\xa0"
+    return re.compile(f"[{of['L']}]+|'(?:s|t|re|ve|m|ll|d)|[{of['N']}]|[^{blank}{of['L']}{of['N']}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level models write bytes as: printable ones as they are, the rest from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class PieceEncoder:
+    """Encodes texts by pieces that no token crosses, each distinct piece once.
+
+    Texts of characters under U+0250, which all are in composed form, are lower-cased and split as
+    the tokenizer's definition does it, and the pieces go to its model; other texts are split at
+    ASCII white space alone, and those words go to the whole tokenizer.
+    """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, np.ndarray] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        words = _WORDS(text)
-        distinct = set(words)
-        if new := [w for w in distinct if w not in self.memo]:
-            for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(coded.ids, "<u4").tobytes()
-        out = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u4")
-        for word in distinct:
-            if len(word) > MEMO_CHARS:
-                del self.memo[word]
+        self.memo: dict[str, bytes] = {}
+        self.latin, self.model, self.letters = _latin_pieces().findall, self.tokenizer.model, _byte_letters()
+
+    def pieces(self, text: str) -> list[str]:
+        """Words of the second kind of text are marked by a leading blank."""
+        return [" " + x for x in _WORDS(text)] if _BEYOND(text) else self.latin(text.lower())
+
+    def encode_piece(self, piece: str) -> bytes:
+        if piece[0] == " ":
+            return array("I", self.tokenizer.encode(piece[1:], add_special_tokens=False).ids).tobytes()
+        written = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.model.tokenize(written)]).tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.pieces(text) for text in texts]
+        distinct = set(chain.from_iterable(split))
+        own = {x: self.encode_piece(x) for x in distinct if x not in self.memo}
+        self.memo.update(own)
+        out = [np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), "<u4") for pieces in split]
+        if len(self.memo) > MEMO_PIECES:  # what came first, and so most often, stays
+            for piece in own:
+                del self.memo[piece]
+        else:
+            for piece in own:
+                if len(piece) > MEMO_CHARS:
+                    del self.memo[piece]
         return out
 
 
@@ -153,7 +187,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if _LATEST[:1] != [shared.value]:
-            _LATEST[:] = [shared.value, WordEncoder(shared.value)]
+            _LATEST[:] = [shared.value, PieceEncoder(shared.value)]
         encoder, part, number = _LATEST[1], TaskContext.get().partitionId(), 0
         doc_ids: list = []
         held: list = []
@@ -164,10 +198,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             store_file(folder, name, file_bytes(doc_ids, [len(x) for x in held], np.concatenate(held), bits))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([count], pa.int64())], names=["file", "n_docs", "n_ids"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                doc_ids.append(doc_id.as_py())
-                held.append(np.append(encoder.encode(text.as_py()), np.uint32(end_id)))
+        for part_of in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            for doc_id, ids in zip(part_of.column("doc_id").to_pylist(), encoder.encode(part_of.column("text").to_pylist()), strict=True):
+                doc_ids.append(doc_id)
+                held.append(np.append(ids, np.uint32(end_id)))
                 count += len(held[-1])
                 if count >= FILE_IDS:
                     yield flush()
