@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, html_text, quality_knn, simhash, token_store
+from . import ann, byte_bpe, html_text, pseudonyms, quality_knn, simhash, token_store
 from .common import documents
 
 
@@ -23,6 +23,14 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(documents(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+#: In use, a secret of the operator; fixed here so that results can be compared.
+PSEUDONYM_KEY = "a fixed key for comparable results"
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(documents(spark, sf_dir), PSEUDONYM_KEY).select("doc_id", "text", "n_replaced")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_knn.score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), threshold=0.3)
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -37,7 +45,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_token_ids": op3_token_ids, "op6_main_text": op6_main_text, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours}
+    return {"op1_simhash": op1_simhash, "op3_token_ids": op3_token_ids, "op6_main_text": op6_main_text, "op7_pseudonyms": op7_pseudonyms, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
