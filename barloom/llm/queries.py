@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, html_text, pseudonyms, quality_knn, simhash, token_store
+from . import ann, byte_bpe, decontaminate, html_text, pseudonyms, quality_knn, simhash, token_store
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=4, radius=4)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read_back(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -45,7 +49,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_token_ids": op3_token_ids, "op6_main_text": op6_main_text, "op7_pseudonyms": op7_pseudonyms, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours}
+    return {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_token_ids": op3_token_ids, "op6_main_text": op6_main_text, "op7_pseudonyms": op7_pseudonyms, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
