@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, decontaminate, html_text, pseudonyms, quality_knn, simhash, token_store
+from . import ann, byte_bpe, decontaminate, html_text, lm_scoring, pseudonyms, quality_knn, simhash, substring_dedup, token_store
 from .common import documents
 
 
@@ -23,6 +23,14 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read_back(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest_repeats(documents(spark, sf_dir), length=50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(documents(spark, sf_dir), fold_of=7, held_out=2)
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(documents(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -49,7 +57,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_token_ids": op3_token_ids, "op6_main_text": op6_main_text, "op7_pseudonyms": op7_pseudonyms, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours}
+    return {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_token_ids": op3_token_ids, "op4_repeats": op4_repeats, "op5_lm_score": op5_lm_score, "op6_main_text": op6_main_text, "op7_pseudonyms": op7_pseudonyms, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
