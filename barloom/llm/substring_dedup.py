@@ -36,7 +36,7 @@ from .suffix_arrays import common_prefixes, suffix_array
 B1, B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 WORD = 1 << 64
 #: Text worked on at once, text of a share of documents and of segments, and bytes under one suffix array.
-CHUNK, SHARE, SHARD = 4 << 20, 16 << 20, 4 << 20
+CHUNK, SHARE, SHARD, TILE = 4 << 20, 16 << 20, 2 << 20, 1 << 16
 #: A key in more documents than this is followed by whole strings.
 HOT = 2000
 
@@ -83,7 +83,13 @@ class Chunk:
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(sizes) - sizes
         strings = np.maximum(0, sizes - length + 1)
-        least = sliding_least(gram_hashes(self.text, gram), length - gram + 1)
+        # by tiles, whose arrays fit the processor's cache
+        self.gram, self.grams, least = gram, [], []
+        for k in range(0, max(1, len(self.text) - gram + 1), TILE):
+            h = gram_hashes(self.text[k : k + TILE + length - 1], gram)
+            self.grams.append(h[:TILE])
+            least.append(sliding_least(h, length - gram + 1)[:TILE])
+        self.grams, least = np.concatenate(self.grams), np.concatenate(least)
         at = np.repeat(self.starts - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
         key = least[at]
         cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (np.diff(at) != 1)])) if len(at) else np.zeros(0, np.int64)
@@ -96,18 +102,16 @@ class Chunk:
         return self.text[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
     def hashes(self, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each stretch."""
-        out = []
-        for base in (B1, B2):
-            base |= 1
-            n = len(self.text)
-            up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, WORD), np.uint64)
-            up[0] = down[0] = 1
-            up, down = np.cumprod(up), np.cumprod(down)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * up[:n])])
-            h = (total[first + sizes] - total[first]) * down[first]
-            out.append((h ^ (h >> np.uint64(31))) * np.uint64(B2))
-        return out[0], out[1]
+        """Two hashes of each stretch, from those of the runs that it is laid out with."""
+        one, two = sizes.astype(np.uint64), sizes.astype(np.uint64)
+        left, at = np.arange(len(first)), np.zeros(len(first), np.int64)
+        while len(left):
+            h = self.grams[first[left] + np.minimum(at, sizes[left] - self.gram)]
+            one[left] = (one[left] ^ h) * np.uint64(B1)
+            two[left] = (two[left] * np.uint64(B2) + h) ^ (h >> np.uint64(23))
+            go = at + self.gram < sizes[left]
+            left, at = left[go], at[go] + self.gram
+        return one ^ (one >> np.uint64(31)), two
 
 
 def chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
@@ -286,8 +290,20 @@ def smallest_documents(segments: DataFrame, length: int) -> DataFrame:
         strings = [np.frombuffer(x, np.int32).astype(np.int64) for x in blobs["strings"]]
         row = np.repeat(np.arange(len(strings)), [len(x) for x in strings])
         segment = np.frombuffer(b"".join(blobs["segment"]), np.int32)
-        count, least = np.concatenate(strings), np.frombuffer(b"".join(blobs["least"]), np.int64)
-        text = np.frombuffer(b"".join(blobs["bytes"]), np.uint8)
+        sent, least = np.concatenate(strings), np.frombuffer(b"".join(blobs["least"]), np.int64)
+        # what several chunks have sent is sorted once
+        seen: dict[bytes, int] = {}
+        which = np.empty(len(sent), np.int64)
+        at = 0
+        for body, n in zip(blobs.pop("bytes"), strings, strict=True):
+            ends = np.cumsum(n + length - 1).tolist()
+            which[at : at + len(n)] = [seen.setdefault(body[a:b], len(seen)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            at += len(n)
+        count = np.array([len(x) - length + 1 for x in seen], np.int64)
+        first_of = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(first_of, which, least)
+        least, text = first_of, np.frombuffer(b"".join(seen), np.uint8)
+        del seen
         sizes = count + length - 1
         ends = np.cumsum(sizes)
         firsts: list[tuple] = []
@@ -303,7 +319,12 @@ def smallest_documents(segments: DataFrame, length: int) -> DataFrame:
         smallest = np.concatenate([d[f[2]] for d, f in zip(merged, firsts, strict=True)])
         of = np.repeat(np.arange(len(count)), count)
         cut = np.flatnonzero(np.concatenate([[True], (smallest[1:] != smallest[:-1]) | (of[1:] != of[:-1])]))
-        runs, value, of = np.diff(np.append(cut, len(smallest))).astype(np.int32), smallest[cut], of[cut]
+        length_of, value = np.diff(np.append(cut, len(smallest))), smallest[cut]
+        # and told to each of them
+        n = np.bincount(of[cut], minlength=len(count))[which]
+        begin = np.searchsorted(of[cut], which)
+        told = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        runs, value, of = length_of[told].astype(np.int32), value[told], np.repeat(np.arange(len(which)), n)
         cuts = _runs_of(row[of])
         return pa.table({"share": share[row[of][cuts]], "chunk": chunk[row[of][cuts]], "segment": _blobs(segment[of], cuts), "runs": _blobs(runs, cuts), "least": _blobs(value, cuts)})
 
@@ -368,11 +389,12 @@ def _removals(docs: DataFrame, length: int, gram: int, shown, schema: str, kind:
     first = texts.join(leaders, ["sha", "doc_id"], "left_semi").where(F.octet_length("text") >= length).withColumn("share", F.pmod(F.xxhash64("sha"), F.lit(shares)))
     first = scratch.keep(first, "first")
     keys = scratch.keep(shared_keys(first, length, gram, max(64, 2 * shares)), "keys")
-    segments = scratch.keep(cut_segments(first, keys, length, gram, max(64, 2 * shares)), "segments")
-    scratch.drop("keys")
+    segments = scratch.keep(cut_segments(first, keys, length, gram, max(64, 8 * shares)), "segments")
+    for name in ("keys", "first"):
+        scratch.drop(name)
     smallest = scratch.keep(smallest_documents(segments, length), "smallest")
     spans = scratch.keep(spans_to_remove(segments, smallest, length), "spans")
-    for name in ("segments", "smallest", "first"):
+    for name in ("segments", "smallest"):
         scratch.drop(name)
     leading = leaders.join(spans, ["sha", "doc_id"], "left").withColumn("leads", F.lit(True))
 

@@ -24,11 +24,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of what follows them, compared over `depth` bytes at least."""
     n = len(text)
     word = eight_bytes(text)
-    order = np.argsort(word)
+    order = np.argsort(word).astype(np.int32)
     sorted_words = word[order]
-    places = np.arange(n)
+    places = np.arange(n, dtype=np.int32)
     first = np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]])
-    rank = np.empty(n + 1, np.int64)
+    del word, sorted_words
+    rank = np.empty(n + 1, np.int32)
     rank[order] = np.maximum.accumulate(np.where(first, places, 0)) + 1
     rank[n] = 0
     h = 8
@@ -37,7 +38,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         if not len(tied):
             break
         own = order[tied]
-        key = rank[own] * (n + 2) + rank[np.minimum(own + h, n)]
+        key = rank[own].astype(np.int64) * (n + 2) + rank[np.minimum(own + h, n)]
         again = np.argsort(key)
         own, key = own[again], key[again]
         order[tied] = own
@@ -55,7 +56,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, stretch: int
     """
     n = len(text)
     padded, word = np.concatenate([text, np.zeros(most + 9, np.uint8)]), np.concatenate([eight_bytes(text), np.zeros(most + 9, np.uint64)])
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[order[1:]], before[order[0]] = order[:-1], -1
     out = np.zeros(n, np.int16)
     lanes = np.arange(0, n, stretch)
