@@ -88,3 +88,17 @@ def warm_cosine(step: Column, warm: int, total: int) -> Column:
 
     part = F.least(F.lit(1.0), (step - warm) / float(max(1, total - warm)))
     return F.when(step < warm, step / float(max(1, warm))).otherwise(0.5 * (1 + F.cos(part * math.pi)))
+
+
+def plateau_rate(values: Column, patience: int = 2, cut: float = 0.3, floor: float = 0.09) -> Column:
+    """The learning-rate factor after each value, cut when `patience` values have brought no new least."""
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("stale"), F.lit(1.0).alias("rate"), F.array().cast("array<double>").alias("rates"))
+
+    def step(s, x):
+        better = x < s["best"]
+        stale = F.when(better, 0).otherwise(s["stale"] + 1)
+        due = stale >= patience
+        rate = F.when(due, F.greatest(s["rate"] * cut, F.lit(floor))).otherwise(s["rate"])
+        return F.struct(F.least(s["best"], x).alias("best"), F.when(due, 0).otherwise(stale).alias("stale"), rate.alias("rate"), F.concat(s["rates"], F.array(rate)).alias("rates"))
+
+    return F.aggregate(values, start, step)["rates"]

@@ -130,3 +130,33 @@ def relative_windows(bars: DataFrame, size: int = 20) -> DataFrame:
     made = held.withColumn("m", mean(F.col("n"))).withColumn("s", F.sqrt(mean(F.transform("n", lambda x: (x - F.col("m")) * (x - F.col("m"))))))
     score = F.transform("n", lambda x: (x - F.col("m")) / F.when(F.col("s") <= 1e-6, 1.0).otherwise(F.col("s")))
     return made.select("symbol", "ts", F.transform("c", lambda x: F.ln(F.greatest(x, F.lit(TINY)) / F.greatest("adjusted_close", F.lit(TINY)))).alias("closes"), score.alias("volumes"))
+
+
+def rule_signals(bars: DataFrame, benchmark: str) -> DataFrame:
+    """moving-average crossing, relative strength and momentum against the benchmark,
+    each in units of the relative volatility of the last 20 changes (relvol)."""
+    price = F.ln(F.greatest("adjusted_close", F.lit(TINY)))
+    marks = bars.where(F.col("symbol") == benchmark).select("ts", price.alias("b"))
+    own = bars.where(F.col("symbol") != benchmark).join(marks, "ts").withColumn("rel", price - F.col("b"))
+    own = own.withColumn("step", F.col("rel") - F.lag("rel").over(_w())).withColumn("mom", F.col("rel") - F.lag("rel", 5).over(_w()))
+    own = own.withColumn("relvol", F.greatest(F.stddev_pop("step").over(_w(-19)), F.lit(1e-6)))
+    cross = (F.avg("rel").over(_w(-19)) - F.avg("rel").over(_w(-49))) / F.greatest(F.stddev_pop("rel").over(_w(-49)), F.lit(1e-6))
+    clip = lambda x, most: F.least(F.greatest(x, F.lit(-most)), F.lit(most))
+    made = own.withColumn("crossing", cross * F.col("relvol")).where("mom is not null").select("symbol", "ts", "relvol", "crossing", (clip(F.col("mom") / F.col("relvol"), 4.0) * F.col("relvol")).alias("scaled_momentum"))
+    rsi = strength(bars)
+    mark = rsi.where(F.col("symbol") == benchmark).select("ts", F.col("rsi").alias("b_rsi"))
+    joined = made.join(rsi, ["symbol", "ts"]).join(mark, "ts")
+    return joined.select("symbol", "ts", "relvol", "crossing", "scaled_momentum", (clip((F.col("b_rsi") - F.col("rsi")) / 20, 2.5) * F.col("relvol")).alias("strength_signal"))
+
+
+def patches(values, size: int, stride: int):
+    """slices of an array, `stride` apart."""
+    return F.transform(F.sequence(F.lit(1), F.size(values) - size + 1, F.lit(stride)), lambda i: F.slice(values, i, F.lit(size)))
+
+
+def amounts(bars: DataFrame, size: int = 20) -> DataFrame:
+    """volume by mean price as a score within its window, within five."""
+    made = bars.withColumn("amount", F.col("volume") * (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4)
+    spread = F.greatest(F.stddev_pop("amount").over(_w(1 - size)), F.lit(1e-5))
+    score = (F.col("amount") - F.avg("amount").over(_w(1 - size))) / spread
+    return made.select("symbol", "ts", F.least(F.greatest(score, F.lit(-5.0)), F.lit(5.0)).alias("amount_score"))

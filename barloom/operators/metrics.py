@@ -167,3 +167,22 @@ def comparison(scores: DataFrame) -> DataFrame:
     """Scores of several runs by model: count, median, least, most; ranked by the median."""
     made = scores.groupBy("model").agg(F.count("score").alias("runs"), F.median("score").alias("median"), F.min("score").alias("least"), F.max("score").alias("most"))
     return made.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("median"), "model")))  # a row a model
+
+
+def output_scales(signals: DataFrame, scales: DataFrame) -> DataFrame:
+    """By horizon the relative volatility of so many days, between a tenth and ten times the robust scale."""
+    both = signals.select("symbol", "ts", "relvol").crossJoin(F.broadcast(scales))  # a row a horizon
+    return both.select("symbol", "ts", "h", F.least(F.greatest(F.col("relvol") * F.sqrt("h"), 0.1 * F.col("scale")), 10 * F.col("scale")).alias("anchor"))
+
+
+def codes(rows: DataFrame) -> DataFrame:
+    """Dense numbers of dates and of symbols, in their order; the lists of both are small."""
+    dates = rows.select("ts").distinct().withColumn("group_code", F.row_number().over(Window.orderBy("ts")) - 1)
+    names = rows.select("symbol").distinct().withColumn("security_code", F.row_number().over(Window.orderBy("symbol")) - 1)
+    return rows.select("symbol", "ts").join(dates, "ts").join(names, "symbol")
+
+
+def forecast_payload(predictions: DataFrame) -> DataFrame:
+    """By symbol and date one JSON text of the horizons' quantiles and interval widths."""
+    by_h = F.array_sort(F.collect_list(F.struct("h", *[F.round(n, 6).alias(n) for n in NAMES])))
+    return predictions.groupBy("symbol", "ts").agg(F.to_json(by_h).alias("forecast"), F.count("*").alias("horizons"))

@@ -428,6 +428,29 @@ def f19_decompose(spark, folder):
     return made.select("symbol", "ts", F.ln("trend").alias("log_trend"), (F.col("seasonal") / (F.col("trend") + F.col("seasonal"))).alias("seasonal_share"))
 
 
+SIGNALS = """,
+sj AS (SELECT a.symbol, a.ts, a.l - b.l AS rel FROM lp a JOIN (SELECT * FROM lp WHERE symbol = 'ALL') b ON a.ts = b.ts WHERE a.symbol <> 'ALL'),
+s1 AS (SELECT *, rel - lag(rel) OVER w AS step, rel - lag(rel, 5) OVER w AS mom FROM sj WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+s2 AS (SELECT *, greatest(stddev_pop(step) OVER (w ROWS 19 PRECEDING), 1e-6) AS relvol, (avg(rel) OVER (w ROWS 19 PRECEDING) - avg(rel) OVER (w ROWS 49 PRECEDING)) / greatest(stddev_pop(rel) OVER (w ROWS 49 PRECEDING), 1e-6) AS cr FROM s1 WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""
+
+
+@query(f"WITH {FEATURES}{SIGNALS}, rf AS (SELECT symbol, ts, {RSI} AS rsi FROM ft) SELECT s2.symbol, s2.ts, round(relvol, 5) + 0 AS relvol, round(cr * relvol, 5) + 0 AS crossing, round(greatest(least(mom / relvol, 4), -4) * relvol, 5) + 0 AS scaled_momentum, round(greatest(least((b.rsi - a.rsi) / 20, 2.5), -2.5) * relvol, 5) + 0 AS strength_signal FROM s2 JOIN rf a ON a.symbol = s2.symbol AND a.ts = s2.ts JOIN (SELECT * FROM rf WHERE symbol = 'ALL') b ON b.ts = s2.ts WHERE mom IS NOT NULL", digits=5)
+def f11_rule_signals(spark, folder):
+    return features.rule_signals(m.bars(spark, folder), m.BENCHMARK)
+
+
+@query(f"WITH {BARS}, w AS (SELECT symbol, ts, list(adjusted_close) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) AS c FROM adj) SELECT symbol, ts, CAST(i // 4 AS BIGINT) AS patch, round(ln(list_sum(c[i + 1 : i + 8])), 6) + 0 AS log_total FROM w, range(0, 13, 4) t(i) WHERE len(c) = 20")
+def f20_patches(spark, folder):
+    held = m.bars(spark, folder).select("symbol", "ts", F.collect_list("adjusted_close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-19, 0)).alias("c")).where("size(c) = 20")
+    cut = held.select("symbol", "ts", F.posexplode(features.patches(F.col("c"), 8, 4)).alias("patch", "x"))
+    return cut.select("symbol", "ts", "patch", F.ln(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("log_total"))
+
+
+@query(f"WITH {BARS}, a AS (SELECT symbol, ts, volume * (open + high + low + close) / 4 AS amount FROM bars) SELECT symbol, ts, round(greatest(least((amount - avg(amount) OVER w) / greatest(stddev_pop(amount) OVER w, 1e-5), 5), -5), 4) + 0 AS amount_score FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)", digits=4)
+def f21_amounts(spark, folder):
+    return features.amounts(src.region_bars(spark, folder))
+
+
 # forecasts and metrics
 
 
@@ -449,6 +472,18 @@ def g12_regression(spark, folder):
     return metrics.regression(m.predictions(spark, folder), "alpha", "q50", "h", "rule")
 
 
+@query(f"WITH {LABELS}{SCALES.format(where='true')}{SIGNALS} SELECT symbol, ts, CAST(h AS BIGINT) AS h, round(least(greatest(relvol * sqrt(h), 0.1 * scale), 10 * scale), 6) + 0 AS anchor FROM s2, sc WHERE mom IS NOT NULL")
+def g8_output_scale(spark, folder):
+    scales = adjust.robust_scales(m.labels(spark, folder)).select("h", "scale")
+    price = features.rule_signals(m.bars(spark, folder), m.BENCHMARK)
+    return metrics.output_scales(price, scales)
+
+
+@query(f"WITH {CUTOFFS} SELECT symbol, ts, dense_rank() OVER (ORDER BY ts) - 1 AS group_code, dense_rank() OVER (ORDER BY symbol) - 1 AS security_code FROM cand")
+def g15_codes(spark, folder):
+    return metrics.codes(m.cutoffs(spark, folder))
+
+
 METRICS = "count(*) AS n, avg(pin) AS pinball, avg(pin / scale) AS norm_pinball, avg(abs(alpha - q50)) AS mae, " + CORR.format(x="alpha", y="q50") + " AS corr, avg(CAST(sign(round(alpha, 9)) = sign(round(q50, 9)) AS INT)) AS sign, avg(CAST(alpha BETWEEN q10 AND q90 AS INT)) AS coverage, avg(q90 - q10) AS width, abs(avg(CAST(alpha BETWEEN q10 AND q90 AS INT)) - 0.8) AS coverage_error"
 NAMED = ("pinball", "norm_pinball", "mae", "corr", "sign", "coverage", "width", "coverage_error")
 
@@ -589,6 +624,22 @@ def p3_early_stop(spark, folder):
     return held.select("o_custkey", fn.early_stop(F.transform("v", lambda x: x["o_totalprice"]), 3, 100.0).alias("s")).select("o_custkey", "s.best", F.col("s.at").alias("best_at"), "s.stopped")
 
 
+@query("SELECT event_id, round(CASE WHEN event_id % 200 < 20 THEN (event_id % 200) / 20.0 ELSE 0.5 * (1 + cos(pi() * (event_id % 200 - 20) / 180.0)) END, 6) + 0 AS factor FROM events")
+def p5_warm_cosine(spark, folder):
+    return t(spark, folder, "events").select("event_id", fn.warm_cosine(F.col("event_id") % 200, 20, 200).alias("factor"))
+
+
+@query()
+def p4_plateau(spark, folder):
+    held = t(spark, folder, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("v"))
+    return held.select("o_custkey", F.element_at(fn.plateau_rate(F.transform("v", lambda x: x["o_totalprice"])), -1).alias("rate"))
+
+
+@query()
+def h14_payload(spark, folder):
+    return metrics.forecast_payload(m.predictions(spark, folder).where("rule = 'momentum'"))
+
+
 @query("SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, round(arg_min(value, (ts, event_id)), 6) + 0 AS open, round(max(value), 6) + 0 AS high, round(min(value), 6) + 0 AS low, round(arg_max(value, (ts, event_id)), 6) + 0 AS close, CAST(count(*) AS DOUBLE) AS volume FROM events WHERE value > 0 GROUP BY 1, 2")
 def l_hourly_bars(spark, folder):
     return hourly(t(spark, folder, "events")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
