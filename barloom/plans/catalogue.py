@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import adjust, features, metrics, payloads, store, windows
+from ..operators import adjust, features, metrics, models, payloads, store, windows
 from ..sources import bars as src
 from ..streaming import hourly
 from . import market as m
@@ -560,6 +560,31 @@ def g16_pairs(spark, folder):
     return metrics.pair_losses(cross_section(spark, folder))
 
 
+def probe_rows(spark, folder):
+    """Features, the five-day label, and whether a row trains."""
+    rows = features.feature_rows(m.bars(spark, folder), m.BENCHMARK).join(m.labels(spark, folder).where("h = 5").select("symbol", "ts", "alpha"), ["symbol", "ts"])
+    return rows.withColumn("trains", F.col("ts") < F.lit(m.TRAIN_END).cast("date"))
+
+
+@query()
+def g11_ridge(spark, folder):
+    columns = ["ret_5", "sma_20", "diff_ret_5", "rsi"]
+    rows = probe_rows(spark, folder)
+    model = models.fit_ridge(rows.where("trains"), columns, "alpha")
+    made = rows.where("not trains").withColumn("predicted", model.predict() if model else F.lit(0.0))
+    return metrics.regression(made, "alpha", "predicted", "symbol")
+
+
+@query()
+def g4_quantile_boost(spark, folder):
+    columns = ["ret_5", "sma_20", "diff_ret_5"]
+    rows = probe_rows(spark, folder)
+    fits = {q: models.fit_quantile(rows.where("trains"), columns, "alpha", q, rounds=3) for q in metrics.QUANTILES}
+    made = F.array_sort(F.array(*[fit.predict() if fit else F.lit(0.0) for fit in fits.values()]))
+    scored = rows.where("not trains").withColumn("p", made).select("symbol", "ts", "alpha", *[F.col("p")[i].alias(n) for i, n in enumerate(metrics.NAMES)])
+    return scored.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(metrics.pinball()).alias("pinball"), F.avg(F.col("alpha").between(F.col("q10"), F.col("q90")).cast("double")).alias("coverage"))
+
+
 # sorts and sets
 
 

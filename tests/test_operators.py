@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom import functions as fn
-from barloom.operators import adjust, features, metrics, payloads, store, windows
+from barloom.operators import adjust, features, metrics, models, payloads, store, windows
 from barloom.plans import market
 from barloom.sources import bars as src
 from barloom.streaming import append_bars, hourly
@@ -149,3 +149,21 @@ def test_empty_tables(spark):
 def test_bootstrap_interval():
     assert metrics.block_interval([-0.02] * 100) == (pytest.approx(-0.02), pytest.approx(-0.02))
     assert metrics.block_interval([0.1]) is None
+
+
+def test_ridge_and_quantile_models(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((600, 2))
+    y = 2 * x[:, 0] - x[:, 1] + rng.standard_normal(600)
+    rows = spark.createDataFrame([(*map(float, v), float(t)) for v, t in zip(x, y, strict=True)], "a double, b double, y double")
+    z, centred = (x - x.mean(0)) / x.std(0), y - y.mean()
+    want = np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ centred)
+    assert models.fit_ridge(rows, ["a", "b"], "y").weights == pytest.approx(tuple(want))
+    fit = models.fit_quantile(rows, ["a", "b"], "y", 0.9, rounds=4)
+    below = rows.select(F.avg((F.col("y") <= fit.predict()).cast("double"))).first()[0]
+    loss = lambda p: rows.select(F.avg(F.greatest(0.9 * (F.col("y") - p), -0.1 * (F.col("y") - p)))).first()[0]
+    assert 0.8 < below < 0.97 and loss(fit.predict()) < 0.9 * loss(F.lit(fit.base))
+    none = rows.where("false")
+    assert models.fit_ridge(none, ["a"], "y") is None and models.fit_quantile(none, ["a"], "y", 0.5) is None
