@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import Scratch, text_of
 
 OTHER = re.compile(r"[\W_]+")
 SCHEMA = "doc_id long, item_id long, edits int, start long, stop long"
@@ -147,4 +147,5 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, piece_c
 
 def clean(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
     """The documents in which no test item occurs, with all their columns."""
-    return docs.join(matches(docs, items, **limits).select("doc_id").distinct(), "doc_id", "left_anti")
+    found = Scratch(docs.sparkSession, "decontaminate").keep(matches(docs, items, **limits).select("doc_id").distinct(), "found")
+    return docs.join(found, "doc_id", "left_anti")

@@ -34,6 +34,8 @@ from .components import components
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at once, variants that are sorted at once, and fingerprints that a task shall hold.
 SHINGLES, VARIANTS, HELD = 1 << 15, 1 << 21, 1 << 20
+#: Orders by which the one is chosen that all texts of a variant are compared with.
+ORDERS = 3
 
 
 def shingle_hashes(text: str, size: int, seed: int = 42) -> np.ndarray:
@@ -184,10 +186,11 @@ def sketches(docs: DataFrame, words: int, size: int) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, same string, sketch binary")
 
 
-def candidate_links(nodes: DataFrame, tables: int, bits: int, radius: int) -> DataFrame:
-    """Pairs (a, b) of ids that share a variant in one of several fingerprints cut from their sketches.
+def candidate_links(nodes: DataFrame, tables: range, bits: int, radius: int) -> DataFrame:
+    """Pairs (a, b) of ids that share a variant in one of the fingerprints of these numbers cut from their sketches.
 
-    In each variant all are paired with one, the first in an order that differs by table.
+    In each variant all are paired with one, the first in one of ORDERS orders, by table. Nodes of one
+    `root` are not paired.
     """
     flips, held = radius // 2, 1 << 22
     count = nodes.count()
@@ -204,31 +207,32 @@ def candidate_links(nodes: DataFrame, tables: int, bits: int, radius: int) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, roots = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "root"))
             spread = np.unpackbits(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1, bitorder="little")
-            for table in range(tables):
+            for table in tables:
                 keys = fingerprint(spread, table)
                 part = ((keys >> np.uint64(low))[:, None] ^ masks[None, :]).ravel().astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 part, of = part[order], order // len(masks)
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
                 split = lambda x: pa.array([y.tobytes() for y in np.split(x, cuts[1:])], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts] + (table << 32)), split(keys[of]), split(ids[of])], names=["part", "fps", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts] + (table << 32)), split(keys[of]), split(ids[of]), split(roots[of])], names=["part", "fps", "ids", "roots"])
 
     def meet(table: pa.Table) -> pa.Table:
         which = table.column("part")[0].as_py()
-        part, salt = np.uint64(which & 0xFFFFFFFF), np.uint64((which >> 32) * 2 + 1)
+        part, salt = np.uint64(which & 0xFFFFFFFF), np.uint64((which >> 32) % ORDERS * 2 + 1)
         keys = np.frombuffer(b"".join(table.column("fps").to_pylist()), np.uint64)
-        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+        ids, roots = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("ids", "roots"))
         with np.errstate(over="ignore"):
             order = np.argsort((ids.astype(np.uint64) + salt) * np.uint64(0x9E3779B97F4A7C15) * salt, kind="stable")
-        keys, ids = keys[order], ids[order]
+        keys, ids, roots = keys[order], ids[order], roots[order]
         left = flips - np.bitwise_count((keys >> np.uint64(low)) ^ part).astype(np.int64)
         found = list(_meet(keys, np.arange(len(keys)), left, low))
-        pairs = ids[np.unique(np.concatenate(found), axis=0)] if found else np.zeros((0, 2), np.int64)
+        both = np.unique(np.concatenate(found), axis=0).astype(np.int64) if found else np.zeros((0, 2), np.int64)
+        pairs = ids[both[roots[both[:, 0]] != roots[both[:, 1]]]]
         return pa.table({"a": pairs.min(axis=1, initial=1 << 62), "b": pairs.max(axis=1, initial=-1 << 62)}) if len(pairs) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
-    return nodes.select("id", "sketch").mapInArrow(emit, "part long, fps binary, ids binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+    return nodes.select("id", "root", "sketch").mapInArrow(emit, "part long, fps binary, ids binary, roots binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 12, bits: int = 40, radius: int = 4) -> DataFrame:
@@ -246,7 +250,6 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
     size = -(-tables * bits // 64)
     known = scratch.keep(sketches(docs.where("doc_id is not null"), words, size), "sketches")
     nodes = scratch.keep(known.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")), "nodes")
-    pairs = scratch.keep(candidate_links(nodes, tables, bits, radius), "candidates")
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     far = angle + 3.5 * float(np.sqrt(angle * (1 - angle) / (64 * size)))
     of = lambda side: nodes.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
@@ -257,12 +260,6 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
             keep = np.bitwise_count(x ^ y).sum(axis=1) <= far * 64 * size
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    pairs = scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(near, "a long, b long"), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(text_of()).alias("text"))
-    texts = scratch.keep(texts, "texts")
-    text = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
@@ -275,8 +272,22 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
                 good.append(both >= similarity * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links_of = scratch.keep(pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(verify, "a long, b long"), "links")
-    roots = components(links_of, scratch)
+    # a third of the fingerprints joins most of each group; the rest are only asked for pairs across components
+    roots, links_of = None, None
+    for turn, part in enumerate((range(0, -(-tables // 3)), range(-(-tables // 3), tables))):
+        rooted = nodes.withColumn("root", F.col("id")) if roots is None else nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        pairs = candidate_links(rooted, part, bits, radius)
+        pairs = scratch.keep(pairs, f"candidates-{turn}")
+        pairs = scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(near, "a long, b long"), f"pairs-{turn}")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(text_of()).alias("text"))
+        texts = scratch.keep(texts, f"texts-{turn}")
+        text = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))  # noqa: E731, B023
+        found = scratch.keep(pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(verify, "a long, b long"), f"links-{turn}")
+        for name in ("candidates", "pairs", "texts"):
+            scratch.drop(f"{name}-{turn}")
+        links_of = found if links_of is None else links_of.union(found)
+        roots = scratch.keep(components(links_of, scratch, f"components-{turn}"), f"roots-{turn}")
     grouped = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("group_id"))
     return known.join(scratch.keep(grouped, "grouped"), "same").select("doc_id", "group_id")
 
@@ -285,7 +296,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its group, one for each; null doc_ids stay."""
     groups = similar_groups(docs, **how)
     stay = Scratch(docs.sparkSession, "stay").keep(groups.where("doc_id = group_id").groupBy("doc_id").count(), "ids")
-    kept = docs.where("doc_id is not null").join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.where("doc_id is not null").join(stay.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if stay.where("count > 1").head(1):  # rows that repeat a doc_id
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.where("doc_id is null"))
