@@ -69,7 +69,7 @@ class Voters:
     def __init__(self, features: np.ndarray, labels: np.ndarray, dimensions: int, neighbours: int, sharpness: float):
         self.neighbours, self.sharpness = min(neighbours, len(labels)), sharpness
         self.labels, self.prior = labels.astype(np.float64), float(labels.mean()) if len(labels) else 0.5
-        _, vectors = np.linalg.eigh(features.T.astype(np.float64) @ features)
+        _, vectors = np.linalg.eigh((features.T @ features).astype(np.float64))
         self.basis = vectors[:, ::-1][:, :dimensions].astype(np.float32)
         self.vectors = _unit(features @ self.basis)
 
@@ -104,8 +104,8 @@ def fit_voters(docs: DataFrame, labels: DataFrame, reference_rows: int = 6000, d
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").where("text <> ''")
     # repeated rows of a document count once
     rows = _features(texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text"), "label", "double").toPandas()
-    features = np.frombuffer(b"".join(rows["terms"]), np.float32).reshape(-1, TERMS)
-    return Voters(features, rows["label"].to_numpy(), dimensions, neighbours, sharpness)
+    labelled, blob = rows["label"].to_numpy(), b"".join(rows.pop("terms"))
+    return Voters(np.frombuffer(blob, np.float32).reshape(-1, TERMS), labelled, dimensions, neighbours, sharpness)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
