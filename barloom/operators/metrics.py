@@ -101,12 +101,16 @@ def long_short(cross: DataFrame, cost_bps: float = 10.0) -> DataFrame:
     r = ranked(cross).where("n >= 3").withColumn("bucket", F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
     side = F.when(F.col("rs") > F.col("n") - F.col("bucket"), 1).when(F.col("rs") <= F.col("bucket"), -1)
     held = r.withColumn("side", side).where("side is not null").withColumn("weight", F.col("side") * 0.5 / F.col("bucket"))
-    dates = held.select("ts").distinct().withColumn("turn", F.row_number().over(Window.orderBy("ts")))  # a row a date
-    gross = held.groupBy("ts").agg((F.avg(F.when(F.col("side") == 1, F.col("alpha"))) - F.avg(F.when(F.col("side") == -1, F.col("alpha")))).alias("gross"))
-    placed = held.join(F.broadcast(dates), "ts").select("turn", "symbol", "weight")
-    before = placed.select((F.col("turn") + 1).alias("turn"), "symbol", F.col("weight").alias("old"))
-    change = placed.join(before, ["turn", "symbol"], "full_outer").groupBy("turn").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("turnover"))
-    return gross.join(dates, "ts").join(change, "turn").select("ts", "gross", "turnover", (F.col("gross") - F.col("turnover") * cost_bps / 10000).alias("net"))
+    days = Window.orderBy("ts")  # a row a date
+    dates = held.groupBy("ts").agg((F.avg(F.when(F.col("side") == 1, F.col("alpha"))) - F.avg(F.when(F.col("side") == -1, F.col("alpha")))).alias("gross")).withColumn("before", F.lag("ts").over(days)).withColumn("after", F.lead("ts").over(days))
+    own = Window.partitionBy("symbol").orderBy("ts")
+    placed = held.select("ts", "symbol", "weight").join(dates, "ts")
+    old = F.when(F.lag("ts").over(own) == F.col("before"), F.lag("weight").over(own)).otherwise(0.0)
+    stays = F.coalesce(F.lead("ts").over(own) == F.col("after"), F.lit(False))
+    # a position changes on its own date, and if it isn't held on the next one, it is closed there
+    moved = placed.select("ts", "gross", F.abs(F.col("weight") - old).alias("now"), F.when(~stays, F.col("after")).alias("closed_at"), F.abs("weight").alias("closed"))
+    moves = moved.select(F.explode(F.array(F.struct("ts", "gross", F.col("now").alias("x")), F.struct(F.col("closed_at").alias("ts"), F.lit(None).cast("double").alias("gross"), F.col("closed").alias("x")))).alias("m")).where("m.ts is not null")
+    return moves.groupBy("m.ts").agg(F.max("m.gross").alias("gross"), F.sum("m.x").alias("turnover")).select("ts", "gross", "turnover", (F.col("gross") - F.col("turnover") * cost_bps / 10000).alias("net"))
 
 
 def portfolio(days: DataFrame, ic: DataFrame, horizon: int) -> DataFrame:
