@@ -279,7 +279,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
         pairs = candidate_links(rooted, part, bits, radius)
         pairs = scratch.keep(pairs, f"candidates-{turn}")
         pairs = scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(near, "a long, b long"), f"pairs-{turn}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(text_of()).alias("text"))
         texts = scratch.keep(texts, f"texts-{turn}")
         text = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))  # noqa: E731, B023
