@@ -25,6 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,10 @@ from .components import components
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at once, variants that are sorted at once, and fingerprints that a task shall hold.
 SHINGLES, VARIANTS, HELD = 1 << 15, 1 << 21, 1 << 20
-#: Orders by which the one is chosen that all texts of a variant are compared with.
-ORDERS = 3
+#: Slots by whose counts shingles are ordered, parts of these, bytes of a set's parities, members of a key that are paired by shifts.
+SLOTS, SLOT_PARTS, PARITY, SHIFTED = 1 << 20, 64, 64, 32
+#: Keys that a task shall hold, and members that all others of a key are compared with in the first round and times more in each further one.
+KEYS, PIVOTS, MORE = 1 << 20, 4, 16
 
 
 def shingle_hashes(text: str, size: int, seed: int = 42) -> np.ndarray:
@@ -161,104 +164,159 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(hashes: np.ndarray, words: int) -> bytes:
-    """`words` times 64 bits, each the majority of another mix of the distinct hashes."""
-    counts = np.zeros(64 * words, np.int64)
-    salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(0, len(hashes), 255 * 64):
-        x = hashes[k : k + 255 * 64, None] + salts
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        bits = np.unpackbits((x ^ (x >> np.uint64(31))).astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        for j in range(0, len(bits), 255):
-            counts += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+def slot_levels(docs: DataFrame, words: int) -> np.ndarray:
+    """For each of SLOTS leading parts of a hash the binary logarithm of the shingles counted there, once a text."""
+    size = SLOTS // SLOT_PARTS
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("text"):
+                slots, n = np.unique(np.unique(shingle_hashes(x.as_py(), words)) >> np.uint64(44), return_counts=True)
+                counts[slots.astype(np.int64)] += n
+        if counts.any():
+            blobs = [zstandard.compress(x.tobytes(), 1) for x in np.minimum(counts, (1 << 32) - 1).astype(np.uint32).reshape(SLOT_PARTS, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_PARTS), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "c"])
+
+    def total(table: pa.Table) -> pa.Table:
+        counts = np.zeros(size, np.int64)
+        for blob in table.column("c"):
+            counts += np.frombuffer(zstandard.decompress(blob.as_py()), np.uint32)
+        return pa.table({"part": table.column("part")[:1], "c": pa.array([np.log2(counts + 1).astype(np.uint8).tobytes()], pa.binary())})
+
+    levels = np.zeros((SLOT_PARTS, size), np.uint8)
+    for row in docs.select(text_of().alias("text")).mapInArrow(count, "part long, c binary").groupBy("part").applyInArrow(total, "part long, c binary").collect():
+        levels[row["part"]] = np.frombuffer(row["c"], np.uint8)
+    return levels.ravel()
+
+
+def prefix(hashes: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's hashes in an order of all hashes, rare ones first: two similar sets share one of these."""
+    least = int(np.ceil(similarity * len(hashes) - 1e-9))
+    order = np.lexsort((hashes, levels[(hashes >> np.uint64(44)).astype(np.int64)]))
+    return hashes[order[: len(hashes) - least + 1]] if len(hashes) else hashes
 
-def sketches(docs: DataFrame, words: int, size: int) -> DataFrame:
-    """doc_id, a hash of the set of its text's shingles, and the set's sketch of `size` 64-bit words."""
+
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of the hashes falls on each bit: two sets differ in as many elements or more."""
+    at = (hashes & np.uint64(8 * PARITY - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=8 * PARITY) & 1, bitorder="little").tobytes()
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, a hash of the set of its text's shingles, and the set's prefix, parities and size."""
+    levels = docs.sparkSession.sparkContext.broadcast(slot_levels(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(x.as_py(), words)) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([sketch(s, size) for s in sets], pa.binary())], names=["doc_id", "same", "sketch"])
+            columns = [[prefix(s, levels.value, similarity).tobytes() for s in sets], [parities(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), *(pa.array(c, pa.binary()) for c in columns), pa.array(list(map(len, sets)), pa.int64())], names=["doc_id", "same", "keys", "parity", "n"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, same string, sketch binary")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, same string, keys binary, parity binary, n long")
 
 
-def candidate_links(nodes: DataFrame, tables: range, bits: int, radius: int) -> DataFrame:
-    """Pairs (a, b) of ids that share a variant in one of the fingerprints of these numbers cut from their sketches.
+MEMBERS = "key long, id long, root long, n long, place long"
 
-    In each variant all are paired with one, the first in one of ORDERS orders, by table. Nodes of one
-    `root` are not paired.
-    """
-    flips, held = radius // 2, 1 << 22
-    count = nodes.count()
-    top = next((k for k in range(6, 25) if count * len(ball(list(range(k)), flips)) <= held << k), 24)
-    low = bits - top
 
-    def fingerprint(spread: np.ndarray, table: int) -> np.ndarray:
-        own = np.zeros((len(spread), 64), np.uint8)
-        own[:, :bits] = spread[:, table * bits : (table + 1) * bits]
-        return np.packbits(own, axis=1, bitorder="little").view("<u8").ravel()
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """Key, id, root, set size and place in the prefix, of the keys that nodes of different roots have."""
+    parts = max(1, -(-int(nodes.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0]) // 8 // KEYS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = ball(list(range(top)), flips)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, roots = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "root"))
-            spread = np.unpackbits(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1, bitorder="little")
-            for table in tables:
-                keys = fingerprint(spread, table)
-                part = ((keys >> np.uint64(low))[:, None] ^ masks[None, :]).ravel().astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                part, of = part[order], order // len(masks)
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                split = lambda x: pa.array([y.tobytes() for y in np.split(x, cuts[1:])], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts] + (table << 32)), split(keys[of]), split(ids[of]), split(roots[of])], names=["part", "fps", "ids", "roots"])
+            blobs = batch.column("keys").to_pylist()
+            keys, m = np.frombuffer(b"".join(blobs), np.int64), np.array([len(x) // 8 for x in blobs], np.int64)
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(m) - m, m)
+            own = np.stack([keys, *(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), m) for c in ("id", "root", "n")), place], axis=1)
+            part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(part[order][cuts]), pa.array([x.tobytes() for x in np.split(own[order], cuts[1:])] if len(cuts) else [], pa.binary())], names=["part", "own"])
 
-    def meet(table: pa.Table) -> pa.Table:
-        which = table.column("part")[0].as_py()
-        part, salt = np.uint64(which & 0xFFFFFFFF), np.uint64((which >> 32) % ORDERS * 2 + 1)
-        keys = np.frombuffer(b"".join(table.column("fps").to_pylist()), np.uint64)
-        ids, roots = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("ids", "roots"))
-        with np.errstate(over="ignore"):
-            order = np.argsort((ids.astype(np.uint64) + salt) * np.uint64(0x9E3779B97F4A7C15) * salt, kind="stable")
-        keys, ids, roots = keys[order], ids[order], roots[order]
-        left = flips - np.bitwise_count((keys >> np.uint64(low)) ^ part).astype(np.int64)
-        found = list(_meet(keys, np.arange(len(keys)), left, low))
-        both = np.unique(np.concatenate(found), axis=0).astype(np.int64) if found else np.zeros((0, 2), np.int64)
-        pairs = ids[both[roots[both[:, 0]] != roots[both[:, 1]]]]
-        return pa.table({"a": pairs.min(axis=1, initial=1 << 62), "b": pairs.max(axis=1, initial=-1 << 62)}) if len(pairs) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    def shared(table: pa.Table) -> pa.Table:
+        own = np.frombuffer(b"".join(table.column("own").to_pylist()), np.int64).reshape(-1, 5)
+        own = own[np.argsort(own[:, 0], kind="stable")]
+        firsts = np.flatnonzero(np.diff(own[:, 0], prepend=own[0, 0] ^ 1))
+        sizes = np.diff(np.append(firsts, len(own)))
+        mixed = np.minimum.reduceat(own[:, 2], firsts) != np.maximum.reduceat(own[:, 2], firsts)
+        own = own[np.repeat(mixed, sizes)]
+        return pa.table({name.split()[0]: own[:, k] for k, name in enumerate(MEMBERS.split(", "))})
+
+    return nodes.select("id", "root", "n", "keys").mapInArrow(emit, "part long, own binary").groupBy("part").applyInArrow(shared, MEMBERS)
 
-    return nodes.select("id", "root", "sketch").mapInArrow(emit, "part long, fps binary, ids binary, roots binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
+def compared(members: DataFrame, similarity: float, pivots: int) -> DataFrame:
+    """Pairs (a, b) of different roots that share a key and can be similar; (count, null) for keys with more to compare.
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 12, bits: int = 40, radius: int = 4) -> DataFrame:
+    Of a key's members so many are compared with all others: those outside the largest root, which
+    leaves nothing, or else those nearest to the majority of the members' parities.
+    """
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, ids, roots, n, place = (table.column(c).to_numpy() for c in ("key", "id", "root", "n", "place"))
+        order = np.lexsort((ids, key))
+        key, ids, roots, n, place = (x[order] for x in (key, ids, roots, n, place))
+        bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(key), -1)[order]
+        firsts = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
+        sizes = np.diff(np.append(firsts, len(key)))
+        out, left = [np.zeros((0, 2), np.int64)], 0
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            go = np.flatnonzero(roots[i] != roots[j])
+            i, j = i[go], j[go]
+            least = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6  # of common elements
+            go = np.flatnonzero(np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
+            i, j, least = i[go], j[go], least[go]
+            go = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= n[i] + n[j] - 2 * least)
+            if len(go):
+                two = np.stack([ids[i[go]], ids[j[go]]], axis=1)
+                two.sort(axis=1)
+                out.append(two)
+
+        small = np.flatnonzero(np.repeat(sizes <= SHIFTED, sizes))
+        for d in range(1, SHIFTED):
+            small = small[small + d < len(key)]
+            small = small[key[small] == key[small + d]]
+            if not len(small):
+                break
+            add(small, small + d)
+        for a, m in zip(firsts[sizes > SHIFTED].tolist(), sizes[sizes > SHIFTED].tolist(), strict=True):
+            own = np.arange(a, a + m)
+            kinds, count = np.unique(roots[own], return_counts=True)
+            chosen = own[roots[own] != kinds[np.argmax(count)]]
+            if len(chosen) > pivots:
+                spread = np.unpackbits(bits[own].view(np.uint8), axis=1, bitorder="little")
+                middle = np.packbits(2 * spread.sum(axis=0, dtype=np.int64) > m, bitorder="little").view(np.uint64)
+                chosen = own[np.argsort(np.bitwise_count(bits[own] ^ middle).sum(axis=1), kind="stable")[:pivots]]
+                left += 1
+            for i in chosen.tolist():
+                add(np.full(m, i), own)
+            if len(out) > 256:
+                out[:] = [np.unique(np.concatenate(out), axis=0)]
+        both = np.unique(np.concatenate(out), axis=0)
+        both = pa.table({"a": both[:, 0], "b": both[:, 1]})
+        return pa.concat_tables([both, pa.table({"a": pa.array([left], pa.int64()), "b": pa.array([None], pa.int64())})]) if left else both
+
+    parts = max(1, -(-members.count() // (KEYS // 16)))
+    return members.groupBy(F.pmod("key", F.lit(parts))).applyInArrow(meet, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and the smallest doc_id of its group: texts whose sets of word shingles have a Jaccard
     similarity of `similarity` or more, directly or over others.
 
-    One 64-bit fingerprint within 4 bits finds few pairs of such similarity. So `tables` fingerprints
-    of `bits` bits are ball-hashed each, which together miss about one pair in forty at 0.8 and next
-    to none above 0.85. Pairs that all the fingerprints' bits together show to be less similar (by
-    3.5 standard deviations) are dropped, and the rest are verified on the whole texts. Equal sets
-    are one node from the start; texts without words are equal.
+    Two such sets share a key: in an order of all shingles, rare ones first, one of the first fifth (at
+    0.8) of each set. All pairs of a key that are in different components and that sizes, places and
+    parities do not exclude are verified on the whole texts, so no pair is missed. Where a key has many
+    members, those nearest to the middle are compared with all others first, and ever more of them in
+    each round, until no key has components that were not compared. Equal sets are one node from the
+    start; texts without words are equal.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
-    size = -(-tables * bits // 64)
-    known = scratch.keep(sketches(docs.where("doc_id is not null"), words, size), "sketches")
-    nodes = scratch.keep(known.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")), "nodes")
-    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    far = angle + 3.5 * float(np.sqrt(angle * (1 - angle) / (64 * size)))
-    of = lambda side: nodes.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, size) for c in ("sketch_a", "sketch_b"))
-            keep = np.bitwise_count(x ^ y).sum(axis=1) <= far * 64 * size
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    known = scratch.keep(prefixes(docs.where("doc_id is not null"), words, similarity), "prefixes")
+    nodes = scratch.keep(known.groupBy("same").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("keys", "parity", "n"))), "nodes")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -272,22 +330,26 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
                 good.append(both >= similarity * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    # a third of the fingerprints joins most of each group; the rest are only asked for pairs across components
-    roots, links_of = None, None
-    for turn, part in enumerate((range(0, -(-tables // 3)), range(-(-tables // 3), tables))):
-        rooted = nodes.withColumn("root", F.col("id")) if roots is None else nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        pairs = candidate_links(rooted, part, bits, radius)
-        pairs = scratch.keep(pairs, f"candidates-{turn}")
-        pairs = scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(near, "a long, b long"), f"pairs-{turn}")
+    roots, links_of, tested, pivots, more = nodes.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0), None, None, PIVOTS, True
+    while more:
+        rooted = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        members = scratch.keep(shared_keys(rooted), f"members-{pivots}")
+        met = scratch.keep(compared(members.join(nodes.select("id", "parity"), "id"), similarity, pivots), f"met-{pivots}")
+        scratch.drop(f"members-{pivots}")
+        more = bool(met.where("b is null").head(1))
+        pairs = met.where("b is not null")
+        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{pivots}")
+        scratch.drop(f"met-{pivots}")
+        tested = pairs if tested is None else tested.union(pairs)
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(text_of()).alias("text"))
-        texts = scratch.keep(texts, f"texts-{turn}")
+        texts = scratch.keep(texts, f"texts-{pivots}")
         text = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))  # noqa: E731, B023
-        found = scratch.keep(pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(verify, "a long, b long"), f"links-{turn}")
-        for name in ("candidates", "pairs", "texts"):
-            scratch.drop(f"{name}-{turn}")
+        found = scratch.keep(pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(verify, "a long, b long"), f"links-{pivots}")
+        scratch.drop(f"texts-{pivots}")
         links_of = found if links_of is None else links_of.union(found)
-        roots = scratch.keep(components(links_of, scratch, f"components-{turn}"), f"roots-{turn}")
+        roots = scratch.keep(components(links_of, scratch, f"components-{pivots}"), f"roots-{pivots}")
+        pivots *= MORE
     grouped = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("group_id"))
     return known.join(scratch.keep(grouped, "grouped"), "same").select("doc_id", "group_id")
 

@@ -121,6 +121,57 @@ def test_similar_groups(spark, none):
     assert simhash.similar_groups(none).count() == 0
 
 
+def similar_components(docs):
+    """Smallest ids of the components, by comparing all pairs."""
+    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t in docs}
+    of = {k: k for k in sets}
+
+    def root(k):
+        while of[k] != k:
+            k = of[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                of[y] = x
+    return {k: root(k) for k in sets}
+
+
+def test_similar_groups_of_many_copies(spark):
+    """Copies of one original that are similar to it and not to each other."""
+    rng = random.Random(5)
+    text = [f"w{k}" for k in range(203)]
+    docs = []
+    for k in range(2000):
+        own = list(text)
+        start = rng.randint(0, 9)
+        for at in range(4):  # far enough apart for five shingles each
+            own[start + 50 * at + rng.randint(0, 30)] = f"e{k}x{at}"
+        docs.append((k, " ".join(own)))
+    docs = [(k + (k >= 1237), t) for k, t in docs] + [(1237, " ".join(text))]
+    groups = {r.doc_id: r.group_id for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t in docs}
+    similar = [k for k in sets if len(sets[k] & sets[1237]) >= 0.8 * len(sets[k] | sets[1237])]
+    assert len(similar) == 2001 and set(groups.values()) == {0}
+    apart = [len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b]) for a in range(0, 1200, 40) for b in range(a + 1, 1200, 37)]
+    assert sum(apart) > 0.9 * len(apart)
+
+
+def test_keys_with_many_members_are_compared_in_rounds(spark, monkeypatch):
+    """Pairs of similar texts among many that share their rarest shingles, with one pivot at first."""
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    monkeypatch.setattr(simhash, "MORE", 4)
+    rng = random.Random(7)
+    common, docs = [f"c{k}" for k in range(40)], []
+    for k in range(120):
+        own = common + [f"w{rng.randint(0, 9000)}" for _ in range(20)]
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:-4] + ["x"]))]
+    groups = {r.doc_id: r.group_id for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert groups == similar_components(docs)
+
+
 def test_decontamination(spark, odd, none):
     items = spark.createDataFrame([(1, "The quick, brown fox jumps over the lazy dog and then it runs away from all the hounds."), (2, None), (3, ""), (4, "!!"), (5, "tiny item")], "item_id long, text string")
     hit = "intro THE quick brown\nfox*** jumps over the lazi dog, and then it runs awy from all the hounds outro"
