@@ -14,7 +14,8 @@ format, so equal values get equal pseudonyms in all documents and written forms:
 
 Domains that are no power of ten are walked through until the value is in the domain. E-mail
 addresses, access keys and the values of password, token, secret and key assignments have no number
-to permute: they are replaced by keyed digests of their kind. What no rule confirms stays as it is.
+to permute: they are replaced by keyed digests of their kind, e-mail addresses and assigned values by
+those of their small letters. What no rule confirms stays as it is.
 
 Round function: the leading 60 bits of SHA-256 over key, kind, round and the other half. Ten rounds.
 A null text stays null and has no replacements; an empty text stays empty. All columns of the input
@@ -32,12 +33,12 @@ WALKS = 64
 EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9][\p{L}0-9._%+\-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<=(?:token|password|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{8,200}"
+SECRET = r"(?<=(?i:token|password|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{8,}+"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 DAY_DATE = r"(?<![\d/.])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.)\d{4}(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<!\d)\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d.\-])"
+PHONE = r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+(?=(?:[ .\-()]{0,2}\d){8})[1-9]\d{0,2}(?:[ .\-]\(?\d{1,10}\)?){2,6}(?!\d)|(?<!\d)\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d.\-])"
 CARD = r"(?<![\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"
 KINDS = {"email": EMAIL, "iban": IBAN, "access": ACCESS, "secret": SECRET, "ipv4": IPV4, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
@@ -191,7 +192,7 @@ def _pseudonym(key: str, m):
         .when(full(CARD), _card(key, m))
         .when(full(ACCESS), F.concat(F.lit("AKIA"), F.upper(F.substring(_digest(key, "access", m), 1, 16))))
         .when(full(IBAN), _iban(key, m))
-        .otherwise(F.substring(F.repeat(_digest(key, "secret", m), 4), F.lit(1), F.length(m)))
+        .otherwise(F.substring(F.repeat(_digest(key, "secret", F.lower(m)), F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m)))
     )
 
 
@@ -200,7 +201,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in ("text", "n_replaced")]
     text = F.col("text").cast("string")
     # a text without a digit or an @ holds nothing to replace but a secret, which has letters alone
-    found = F.when(text.rlike("[0-9@]|(?:token|password|secret|api_?key)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.when(text.rlike("[0-9@]|(?i:token|password|secret|api_?key)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     taken = docs.select(*kept, text.alias("_t"), found.alias("_m"))
     made = taken.withColumn("_p", F.transform("_m", lambda m: _pseudonym(key, m)))
     gaps = F.split("_t", ANY, -1)

@@ -358,6 +358,14 @@ def test_pseudonyms(spark, odd, none):
     assert "Python" not in kept._jdf.queryExecution().toString() and "Arrow" not in kept._jdf.queryExecution().toString()
 
 
+def test_pseudonyms_of_whole_values(spark):
+    texts = ['TOKEN = "9233A8EC329B77AA"', 'token = "9233a8ec329b77aa"', "password=" + "Ab3+z" * 100 + "!", "call +33 1 23 45 67 89 now"]
+    out = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert "9233A8EC" not in out[0] and out[0][9:] == out[1][9:]
+    assert "Ab3" not in out[2] and len(out[2]) == len(texts[2]) and out[2].endswith("!")
+    assert out[3] != texts[3] and re.fullmatch(r"call \+33 \d( \d\d){4} now", out[3])
+
+
 def test_quality(spark, data, odd, none):
     docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
     more = docs.union(spark.read.parquet(f"{data}/../sf0.01/documents.parquet").where("doc_id >= 200"))
