@@ -159,6 +159,16 @@ def test_similar_groups_of_many_copies(spark):
     assert sum(apart) > 0.9 * len(apart)
 
 
+def test_similar_groups_of_short_texts(spark):
+    rng = random.Random(6)
+    docs = []
+    for k in range(300):
+        text = [f"w{rng.randint(0, 3000)}" for _ in range((9, 14, 19, 24, 31)[k % 5])]
+        docs += [(10 * k, " ".join(text)), (10 * k + 1, " ".join(text[: len(text) - max(1, len(text) // 9)])), (10 * k + 2, " ".join(text[len(text) // 9 :])), (10 * k + 3, " ".join(["new", *text]))]
+    groups = {r.doc_id: r.group_id for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert groups == similar_components(docs) and len(set(groups.values())) < 600
+
+
 def test_keys_with_many_members_are_compared_in_rounds(spark, monkeypatch):
     """Pairs of similar texts among many that share their rarest shingles, with one pivot at first."""
     monkeypatch.setattr(simhash, "PIVOTS", 1)
