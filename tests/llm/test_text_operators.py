@@ -195,18 +195,72 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.clean(odd, items).columns == odd.columns
 
 
+def edit_rows(p, t, anchored=False):
+    """The edit distance of p to the nearest substring of t that ends at each place."""
+    row = list(range(len(t) + 1)) if anchored else [0] * (len(t) + 1)
+    for i in range(1, len(p) + 1):
+        new = [i]
+        for j in range(1, len(t) + 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p[i - 1] != t[j - 1])))
+        row = new
+    return row
+
+
 def test_bit_parallel_distance():
     rng = random.Random(3)
     for _ in range(500):
         p, t = "".join(rng.choice("ab") for _ in range(rng.randint(1, 12))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))
         for anchored in (False, True):
-            row = list(range(len(t) + 1)) if anchored else [0] * (len(t) + 1)
-            for i in range(1, len(p) + 1):
-                new = [i]
-                for j in range(1, len(t) + 1):
-                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p[i - 1] != t[j - 1])))
-                row = new
-            assert decontaminate.myers(p, t, anchored)[0] == min(row)
+            row = edit_rows(p, t, anchored)
+            assert decontaminate.distances(p, t, 3, anchored) == [(j, d) for j, d in enumerate(row) if j and d <= 3]
+
+
+def test_decontamination_equals_brute_force(spark, none):
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    items = [(i, say(n)) for i, n in enumerate([1, 2, 3, 5, 6, 7, 10, 12, 14, 16, 20, 30] * 2)] + [(None, say(8)), (3, say(9)), (50, "ab " * 30), (51, ""), (52, None)]
+    docs = []
+    for i in range(60):
+        text = say(rng.randint(0, 30))
+        for _ in range(rng.randint(0, 4)):
+            planted = list(rng.choice(items)[1] or "")
+            for _ in range(rng.randint(0, 3)):
+                if planted:
+                    planted[rng.randrange(len(planted))] = rng.choice(["", "x", "a", "bb", " "])
+            text += rng.choice([" ", "", "c"]) + "".join(planted) + rng.choice([" ", "", "c"]) + say(rng.randint(0, 6))
+        docs.append((i, text))
+    docs += [(60, "ab " * 50), (60, docs[0][1]), (None, docs[1][1]), (61, None), (62, items[9][1]), (63, LONG[:3000] + " " + items[11][1])]
+    want = []
+    for key, text in docs:
+        t = decontaminate.padded(text or "")
+        for item_id, item in items:
+            p = decontaminate.padded(item or "")
+            if not p:
+                continue
+            most, runs = int(0.05 * (len(p) - 2)), []
+            for j, d in enumerate(edit_rows(p, t)):
+                if j and d <= most:
+                    if runs and runs[-1][-1][0] == j - 1:
+                        runs[-1].append((j, d))
+                    else:
+                        runs.append([(j, d)])
+            for run in runs:
+                end, edits = min(run, key=lambda x: (x[1], x[0]))
+                back = edit_rows(p[::-1], t[:end][::-1], True)
+                want.append((str(key), str(item_id), edits, end - next(k for k, d in enumerate(back) if k and d == edits), end))
+    frames = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")]
+    got = [(str(r.doc_id), str(r.item_id), r.edits, r.start, r.stop) for r in decontaminate.matches(*frames).collect()]
+    assert len(want) > 100 and sorted(got) == sorted(want)
+    bad = lambda t: any(p and min(edit_rows(p, t)[1:], default=99) <= int(0.05 * (len(p) - 2)) for _, i in items for p in [decontaminate.padded(i or "")])
+    clean = [(k, t) for k, t in docs if not bad(decontaminate.padded(t or ""))]
+    assert sorted(map(str, decontaminate.clean(*frames).collect())) == sorted(f"Row(doc_id={k}, text={t!r})" for k, t in clean)
+
+
+def test_items_get_all_their_edits(spark):
+    item = "seven small boats left the old harbour at"
+    docs = spark.createDataFrame([(1, "x seven smoll boats left tha old harbour at y"), (2, f"zz{item[:20]}zz"), (3, f"zz{item}zz"), (4, item.replace("o", ""))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, item[:20])], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs, items).collect()) == [(1, 1, 2), (3, 1, 2)]
 
 
 def test_token_files(spark, odd, none):
@@ -234,10 +288,15 @@ def test_pieces_as_the_tokenizer_cuts_them():
     with open(path, encoding="utf-8") as f:
         own = token_store.PieceEncoder(f.read())
     plain, rng = Tokenizer.from_file(path), random.Random(2)
-    letters = ["a", "B", " ", "\n", "'", "s", "'s", "'ll", "''", ".", "!!", "é", "İ", "ß", "5", "½", "\xa0", "\x85", "\x1c", "ǅ", "Σ", "世", "🙂", "é", "≮", "​", "|", "_"]
+    letters = ["a", "B", " ", "\n", "'", "s", "'s", "'ll", "''", ".", "!!", "é", "İ", "ß", "5", "½", "\xa0", "\x85", "\x1c", "<|endoftext|>", "<|StartOfText|>", "ǅ", "Σ", "世", "🙂", "é", "≮", "​", "|", "_"]
     for _ in range(1500):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
         assert own.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    path = public_tokenizers.path("byte_bpe_50k.json")  # other steps
+    with open(path, encoding="utf-8") as f:
+        own = token_store.PieceEncoder(f.read())
+    texts = ["Hello  World's\n", "", "a <|endoftext|> b"]
+    assert [x.tolist() for x in own.encode(texts)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("seed", range(3))
