@@ -12,11 +12,14 @@ A task writes each file under a name of its own attempt and then renames it, so
 speculative task leaves the same files. The whole texts are dealt out by ranges of doc_id before
 they are encoded; equal doc_ids are ordered by text.
 
-Nulls count as the empty text, which has the end id alone; documents with a null doc_id come first.
+Ids are those of the tokenizer's `encode` with its own settings, so the strings of its added tokens
+get their ids where a text quotes them. Nulls count as the empty text, which has the end id alone;
+documents with a null doc_id come first.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -130,22 +133,42 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
 
 
+#: The steps that `_latin_pieces` and `_byte_letters` take, as a definition names them.
+SPLIT_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class PieceEncoder:
     """Encodes texts by pieces that no token crosses, each distinct piece once.
 
     Texts of characters under U+0250, which all are in composed form, are lower-cased and split as
     the tokenizer's definition does it, and the pieces go to its model; other texts are split at
-    ASCII white space alone, and those words go to the whole tokenizer.
+    ASCII white space alone, and those words go to the whole tokenizer. A text that holds the string
+    of an added token goes to the whole tokenizer undivided, as do all texts where the definition
+    has other steps than SPLIT_STEPS.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        said = json.loads(definition)
+        self.known_steps = all(said.get(step) == known for step, known in SPLIT_STEPS.items())
+        added = [x["content"] for x in said.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
         self.memo: dict[str, bytes] = {}
         self.latin, self.model, self.letters = _latin_pieces().findall, self.tokenizer.model, _byte_letters()
 
     def pieces(self, text: str) -> list[str]:
-        """Words of the second kind of text are marked by a leading blank."""
+        """What goes to the whole tokenizer is marked by a leading blank."""
+        if not self.known_steps or self.added(text):
+            return [" " + text]
         return [" " + x for x in _WORDS(text)] if _BEYOND(text) else self.latin(text.lower())
 
     def encode_piece(self, piece: str) -> bytes:
