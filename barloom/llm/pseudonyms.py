@@ -7,7 +7,7 @@ format, so equal values get equal pseudonyms in all documents and written forms:
 - payment cards (13 to 19 digits, Luhn sum valid): the digits before the check digit are permuted
   and the check digit is computed anew;
 - IBANs (mod 97 valid): the digits of the account part are permuted, the check digits made anew;
-- telephone numbers: all digits but the country code; US social security numbers with valid parts:
+- telephone numbers: all digits but the country calling code; US social security numbers with valid parts:
   within the valid ones; IPv4 addresses: within 32 bits; calendar dates from 1900 to 2099, as
   year-month-day or day/month/year (month/day/year where that alone is a date) or with points:
   within those 200 years.
@@ -15,7 +15,8 @@ format, so equal values get equal pseudonyms in all documents and written forms:
 Domains that are no power of ten are walked through until the value is in the domain. E-mail
 addresses, access keys and the values of password, token, secret and key assignments have no number
 to permute: they are replaced by keyed digests of their kind, e-mail addresses and assigned values by
-those of their small letters. What no rule confirms stays as it is.
+those of their small letters. An assigned value of 8 or more characters always goes, even if it looks
+like a number that its rule does not confirm. What else no rule confirms stays as it is.
 
 Round function: the leading 60 bits of SHA-256 over key, kind, round and the other half. Ten rounds.
 A null text stays null and has no replacements; an empty text stays empty. All columns of the input
@@ -33,7 +34,7 @@ WALKS = 64
 EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9][\p{L}0-9._%+\-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<=(?i:token|password|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{8,}+"
+SECRET = r"(?<=(?i:token|password|passwd|pwd|secret|api_key|apikey)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?<![A-Za-z0-9+/_\-])(?=[^\s\"'<>,;]{8})[A-Za-z0-9+/_\-][^\s\"'<>,;]*[A-Za-z0-9+/_\-=]"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 DAY_DATE = r"(?<![\d/.])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.)\d{4}(?!\d)"
@@ -41,7 +42,10 @@ SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+(?=(?:[ .\-()]{0,2}\d){8})[1-9]\d{0,2}(?:[ .\-]\(?\d{1,10}\)?){2,6}(?!\d)|(?<!\d)\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d.\-])"
 CARD = r"(?<![\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"
 KINDS = {"email": EMAIL, "iban": IBAN, "access": ACCESS, "secret": SECRET, "ipv4": IPV4, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
-ANY = "|".join(KINDS.values())
+#: The only group is that of assigned secrets, which may look like anything else.
+ANY = "|".join(f"({pattern})" if kind == "secret" else pattern for kind, pattern in KINDS.items())
+#: The country calling codes of one and two digits; all others have three.
+CALLING_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
 
@@ -171,7 +175,7 @@ def _ssn(key: str, m):
 
 
 def _phone(key: str, m):
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-(])", 0)
+    code = F.regexp_extract(m, CALLING_CODE, 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     return F.concat(code, refill(rest, permute_digits(key, "phone", digits_of(rest))))
 
@@ -180,10 +184,16 @@ def _digest(key: str, kind: str, m):
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), m), 256)
 
 
-def _pseudonym(key: str, m):
+def _secret(key: str, m):
+    return F.substring(F.repeat(_digest(key, "secret", F.lower(m)), F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m))
+
+
+def _pseudonym(key: str, m, secret):
+    """Of a match and what of it is an assigned secret: all of it or nothing."""
     full = lambda pattern: m.rlike(f"^(?:{pattern})$")
     return (
-        F.when(F.contains(m, F.lit("@")), F.concat(F.substring(_digest(key, "email", F.lower(m)), 1, 12), F.lit("@mail.invalid")))
+        F.when(secret != "", _secret(key, m))
+        .when(F.contains(m, F.lit("@")), F.concat(F.substring(_digest(key, "email", F.lower(m)), 1, 12), F.lit("@mail.invalid")))
         .when(full(IPV4), _ipv4(key, m))
         .when(full(ISO_DATE), _iso_date(key, m))
         .when(full(DAY_DATE), _day_date(key, m))
@@ -192,7 +202,7 @@ def _pseudonym(key: str, m):
         .when(full(CARD), _card(key, m))
         .when(full(ACCESS), F.concat(F.lit("AKIA"), F.upper(F.substring(_digest(key, "access", m), 1, 16))))
         .when(full(IBAN), _iban(key, m))
-        .otherwise(F.substring(F.repeat(_digest(key, "secret", F.lower(m)), F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m)))
+        .otherwise(m)
     )
 
 
@@ -200,10 +210,12 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Replaces `text`, and adds n_replaced: the matches that were changed."""
     kept = [c for c in docs.columns if c.lower() not in ("text", "n_replaced")]
     text = F.col("text").cast("string")
-    # a text without a digit or an @ holds nothing to replace but a secret, which has letters alone
-    found = F.when(text.rlike("[0-9@]|(?i:token|password|secret|api_?key)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    # a text without a digit or an @ holds nothing to replace but a secret, which may have letters alone
+    found = F.when(text.rlike("[0-9@]|(?i:token|passw|pwd|secret|api_?key)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     taken = docs.select(*kept, text.alias("_t"), found.alias("_m"))
-    made = taken.withColumn("_p", F.transform("_m", lambda m: _pseudonym(key, m)))
+    # a text with matches is searched once more, for which of them are secrets
+    secrets = F.when(F.size("_m") > 0, F.regexp_extract_all("_t", F.lit(ANY), F.lit(1)))
+    made = taken.withColumn("_s", secrets).withColumn("_p", F.transform("_m", lambda m, i: _pseudonym(key, m, F.get("_s", i))))
     gaps = F.split("_t", ANY, -1)
     joined = F.concat(F.array_join(F.transform("_p", lambda p, i: F.concat(F.get("_g", i), p)), ""), F.element_at("_g", -1))
     out = made.withColumn("_g", F.when(F.size("_m") > 0, gaps))

@@ -435,6 +435,37 @@ def test_pseudonyms_of_whole_values(spark):
     assert out[3] != texts[3] and re.fullmatch(r"call \+33 \d( \d\d){4} now", out[3])
 
 
+def feistel(key, kind, digits):
+    """A second, plain version of the permutation of digit strings."""
+    u = len(digits) // 2
+    v = len(digits) - u
+    a, b = int(digits[:u]), int(digits[u:])
+    for i in range(1, 11):
+        size = 10 ** (u if i % 2 else v)
+        a, b = b, (a + int(hashlib.sha256(f"{key}|{kind}|{i}|{b}".encode()).hexdigest()[:15], 16) % size) % size
+    return f"{a:0{u}d}{b:0{v}d}"
+
+
+def test_pseudonyms_equal_a_second_version(spark):
+    rng = random.Random(4)
+    card = lambda n: next(c for d in range(10) for c in [n + str(d)] if luhn(c))
+    secret = lambda x: (hashlib.sha256(f"k|secret|{x.lower()}".encode()).hexdigest() * 9)[: len(x)]
+    texts, want = [], []
+    for i in range(40):
+        n = "".join(rng.choice("0123456789") for _ in range(rng.randint(12, 18)))
+        local = "".join(rng.choice("0123456789") for _ in range(10))
+        code = rng.choice(["+1", "+44", "+353"])
+        moved = feistel("k", "phone", local)
+        forms = [lambda d, c=code: c + d, lambda d, c=code: f"{c} ({d[:3]}) {d[3:6]}-{d[6:]}", lambda d, c=code: f"{c}.{d[:3]}.{d[3:6]}.{d[6:]}"]
+        form = forms[i % 3]
+        value = rng.choice(["1234567890123", "4111111111111112", "2024-13-45", "300.1.1.1 x"[:9], "Ey12.ab-_9.zz=", "P@ss,"[:4] + "w0rd!x9"])
+        said = rng.choice(["password=", "password: ", 'SECRET = "', '"api_key": "', "pwd='"])
+        texts.append(f"a {card(n)} b {form(local)} c {said}{value}'\" d")
+        want.append(f"a {card(feistel('k', 'card', n))} b {form(moved)} c {said}{secret(value)}'\" d")
+    out = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert out == want
+
+
 def test_quality(spark, data, odd, none):
     docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
     more = docs.union(spark.read.parquet(f"{data}/../sf0.01/documents.parquet").where("doc_id >= 200"))
