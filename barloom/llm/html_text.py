@@ -2,14 +2,19 @@
 
 Every page's containers are scored by the share of the page's running text that they hold and by
 how little of what they hold is links or known page furniture. A container's path is generalised to
-tags with their class names, numbers removed. Spark sums the scores of each path over the pages of
-a host, and every page is then extracted again from its host's best path that it has. A page with
-none of its host's paths uses its own best container.
+tags with their class names, numbers removed, and kept as a 64-bit hash of its parent's path and
+its own label. Spark sums the scores of each path over the pages of a host, and every page is then
+extracted again from its host's best path that it has. A page with none of its host's paths uses
+its own best container.
 
 Inside the container, menus, footers, side matter, notices, adverts, forms, scripts, styles and
-reader comments are left out, by tag or by the words of class and id; of headers only headings stay.
-Character references are decoded, white space inside a block becomes one space, blocks are trimmed
-and joined in page order by an empty line; `br` counts as white space. Nothing else is dropped.
+reader comments are left out, by tag or by a class, id or role that is made of furniture words and
+neutral ones (`site-footer`, not `comment-policy-news`); of headers only headings stay. Character
+references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
+in page order by an empty line; `br` counts as white space. Nothing else is dropped.
+
+Pages are read in one pass whose time grows with the page alone, however deep or broken it is: a
+quote that never closes is an ordinary character, a tag that never closes is text.
 
 A null or empty page, or one without such text, gives the empty string. A page with a null url
 counts to the host named by the empty string. Every row gives a row.
@@ -17,186 +22,209 @@ counts to the host named by the empty string. Every row gives a row.
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style textarea title xmp iframe noembed noframes".split()}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
 SKIP_TAGS = frozenset("nav footer aside form script style noscript template button select textarea svg iframe object canvas dialog menu head title".split())
 SKIP_WORDS = frozenset(
     "nav navbar navigation menu sidebar footer ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager toolbar masthead topbar copyright widget skip".split()
 )
+NEUTRAL_WORDS = frozenset("site page main top bottom left right upper lower inner outer global primary secondary box block bar wrap wrapper container content list item items section area region panel group row col column links buttons form js div header head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What holds text but is no container.
+NO_CONTAINER = INLINE | HEADINGS | frozenset("p li ul ol pre tr td".split())
 #: A start tag on the left closes an open element of those on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORD = re.compile(r"[A-Za-z]+")
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+STOP = re.compile(r"""(>)|=\s*+(["'])""")
+NAMES = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+WORDS = re.compile(r"[A-Za-z][a-z]*|[^\W\d_]+")
+
+
+@lru_cache(1 << 12)
+def kind_of(name: str) -> str:
+    """"all" for a class, id or role that is made of furniture words and neutral ones, "header" for a header's."""
+    words = {w.lower() for w in WORDS.findall(name)}
+    if words <= SKIP_WORDS | NEUTRAL_WORDS and words & SKIP_WORDS:
+        return "all"
+    return "header" if "header" in words and words <= NEUTRAL_WORDS else ""
 
 
 class Element:
-    __slots__ = ("content", "depth", "label", "link", "parent", "skipped", "tag")
+    __slots__ = ("bad", "block", "depth", "good", "link", "parent", "path", "skipped", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         self.tag, self.parent = tag, parent
-        names = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in NAMES.finditer(attributes)} if attributes else {}
+        names = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in NAMES.finditer(attributes)} if "=" in attributes else {}
         classes = sorted({re.sub(r"\d+", "", c) for c in names.get("class", "").split()} - {""})
-        self.label = ".".join([tag, *classes])
-        words = {w.lower() for w in WORD.findall(f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}")}
-        outer = parent.skipped if parent else ""
-        own = "all" if tag in SKIP_TAGS or words & SKIP_WORDS and tag not in ("body", "html", "article", "main") else "header" if tag == "header" or "header" in words and tag != "article" else ""
-        self.skipped = outer or own
-        if outer == "header":
-            self.skipped = "all" if own == "all" else "header"
+        label = f"{parent.path if parent else 0:x}/{'.'.join([tag, *classes])}"
+        self.path = xxhash.xxh64_intdigest(label) >> 1  # fits a signed long
+        kinds = {kind_of(name) for said in names.values() for name in said.split()} if tag not in ("body", "html", "article", "main") else set()
+        kinds.add("all" if tag in SKIP_TAGS else "header" if tag == "header" else "")
+        kinds.add(parent.skipped if parent else "")
+        self.skipped = "all" if "all" in kinds else "header" if "header" in kinds else ""
         self.link = tag == "a" or bool(parent and parent.link)
+        self.block: Element = parent.block if parent and tag in INLINE else self  # the nearest that is not inline
         self.depth = parent.depth + 1 if parent else 0
-        self.content = [0, 0]  # running text, and links and furniture
-
-    def path(self) -> str:
-        parts: list[str] = []
-        at: Element | None = self
-        while at is not None:
-            parts.append(at.label)
-            at = at.parent
-        return "/".join(reversed(parts))
-
-
-def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
-    """All elements, and the blocks in page order with the element that each stands in."""
-    root = Element("#page", "", None)
-    at, elements, blocks = root, [root], []
-    text: list[str] = []
-    linked = place = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if text:
-            block = " ".join(html.unescape("".join(text)).split())
+        self.good = self.bad = 0  # running text, and links and furniture
+
+
+class Page:
+    """All elements in page order, and the blocks with the element that each stands in."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.at = Element("#page", "", None)
+        self.elements, self.blocks = [self.at], []
+        self.open: Counter[str] = Counter()
+        self.text: list[str] = []
+        self.linked = 0
+        self._read()
+        self._flush()
+        for e in reversed(self.elements[1:]):  # children stand behind their parents
+            e.parent.good += e.good
+            e.parent.bad += e.bad
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the > that closes a tag; -1 if nothing does. Once quotes fail to lead to one, they count no more."""
+        place = at
+        while self.quotes:
+            m = STOP.search(self.page, place)
+            if m is None:
+                self.quotes = False
+            elif m[1]:
+                return m.start()
+            else:
+                close = self.page.find(m[2], m.end())
+                place = m.end() if close < 0 else close + 1
+        return self.page.find(">", at)
+
+    def _flush(self) -> None:
+        if self.text:
+            block = " ".join(html.unescape("".join(self.text)).split())
             if block:
-                owner = at
-                while owner.tag in INLINE and owner.parent:
-                    owner = owner.parent
+                owner = self.at.block
                 kept = owner.skipped == "" or owner.skipped == "header" and owner.tag in HEADINGS
                 if kept:
-                    blocks.append((owner, block))
-                size = len(block)
-                bad = size if not kept else min(size, linked)
-                up: Element | None = owner
-                while up is not None:
-                    up.content[0] += size - bad
-                    up.content[1] += bad
-                    up = up.parent
-            text.clear()
-            linked = 0
-
-    def add(piece: str) -> None:
-        nonlocal linked
-        if piece and at.skipped != "all":
-            text.append(piece)
-            if at.link:
-                linked += len(piece)
-        elif piece:
-            at_furniture(piece)
-
-    def at_furniture(piece: str) -> None:
-        size = len(piece.strip())
-        up: Element | None = at
-        while size and up is not None:
-            up.content[1] += size
-            up = up.parent
-
-    def close(upto: Element) -> None:
-        nonlocal at
-        while at is not upto.parent:
-            if at.tag not in INLINE:
-                flush()
-            at = at.parent
-
-    while True:
-        m = TAG.search(page, place)
-        if m is None:
-            add(page[place:])
-            break
-        add(page[place : m.start()])
-        place = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            up = at
-            while up.parent is not None and up.tag != tag:
+                    self.blocks.append((owner, block))
+                bad = min(len(block), self.linked) if kept else len(block)
+                owner.good += len(block) - bad
+                owner.bad += bad
+            self.text.clear()
+            self.linked = 0
+
+    def _add(self, piece: str) -> None:
+        if not piece:
+            return
+        if self.at.skipped == "all":
+            self.at.bad += len(piece.strip())
+        else:
+            self.text.append(piece)
+            if self.at.link:
+                self.linked += len(piece)
+
+    def _close(self, upto: Element) -> None:
+        while self.at is not upto.parent:
+            if self.at.tag not in INLINE:
+                self._flush()
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+
+    def _end_tag(self, tag: str) -> None:
+        if self.open[tag] > 0:
+            up = self.at
+            while up.tag != tag:
                 up = up.parent
-            if up.parent is not None:
-                close(up)
-            elif tag not in INLINE:
-                flush()
-            continue
-        if tag == "br":
-            add(" ")
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, place)
-            place = end.end() if end else len(page)
-            continue
+            self._close(up)
+        elif tag not in INLINE:
+            self._flush()
+
+    def _start_tag(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
-            flush()
+            self._flush()
             shut = CLOSES.get(tag, frozenset()) | {"p"}
-            up = at
-            while up.parent is not None and up.tag in INLINE | {"p"} | shut:
+            if any(self.open[t] > 0 for t in shut):
+                up = self.at
+                while up.parent is not None and up.tag not in shut and up.tag in INLINE:
+                    up = up.parent
                 if up.tag in shut:
-                    close(up)
-                    break
-                up = up.parent
+                    self._close(up)
         if tag in VOID:
-            continue
-        at = Element(tag, m[3], at)
-        elements.append(at)
-        if m[3].rstrip().endswith("/") and tag in ("path", "g", "circle", "rect", "use"):
-            at = at.parent
-    flush()
-    return elements, blocks
-
-
-def container_scores(page: str) -> dict[str, float]:
-    """Scores of the page's containers by generalised path; 0 to about 1.5."""
-    elements, _ = parse(page)
-    whole = elements[0].content[0]
-    out: dict[str, float] = {}
-    if whole:
-        for e in elements:
-            good, bad = e.content
-            if good * 4 >= whole and not e.skipped and e.tag not in INLINE and e.tag not in HEADINGS and e.tag not in ("p", "li", "ul", "ol", "pre", "tr", "td"):
-                score = good / whole * (good / (good + bad)) * (1 + 0.01 * min(e.depth, 10)) * (1.3 if e.tag in ("article", "main") else 1)
-                path = e.path()
-                out[path] = out.get(path, 0.0) + score
-    return out
-
-
-def extract(page: str, paths: list[str]) -> str:
-    """The text under the first of `paths` that the page has, or under its own best container."""
-    elements, blocks = parse(page)
-    by_path: dict[str, set[int]] = {}
-    for e in elements:
-        by_path.setdefault(e.path(), set()).add(id(e))
-    chosen = next((by_path[p] for p in paths if p in by_path), None)
-    if chosen is None:
-        own = container_scores(page)
-        chosen = by_path[max(own, key=lambda p: (own[p], p))] if own else {id(elements[0])}
-    out = []
-    for owner, block in blocks:
-        up = owner
-        while up is not None and id(up) not in chosen:
-            up = up.parent
-        if up is not None:
-            out.append(block)
-    return "\n\n".join(out)
+            return
+        child = Element(tag, attributes, self.at)
+        self.elements.append(child)
+        if not (attributes.endswith("/") and tag in ("path", "g", "circle", "rect", "use")):
+            self.at = child
+            self.open[tag] += 1
+
+    def _read(self) -> None:
+        page, place, said = self.page, 0, 0  # said: up to where text has been added
+        while True:
+            at = page.find("<", place)
+            if at < 0:
+                break
+            m = TAG.match(page, at)
+            if m is None and page[at + 1 : at + 2] not in ("!", "?"):
+                place = at + 1
+                continue
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end = len(page) if end < 0 else end + 2
+            else:
+                end = self._tag_end(m.end()) if m else page.find(">", at)
+                if end < 0:  # nor will any later tag close
+                    break
+            self._add(page[said:at])
+            place = said = end + 1
+            if m is None:
+                continue
+            tag = m[1].lower()
+            if page[at + 1] == "/":
+                self._end_tag(tag)
+            elif tag == "br":
+                self._add(" ")
+            elif tag in RAW:
+                shut = RAW[tag].search(page, place)
+                place = said = shut.end() if shut else len(page)
+            else:
+                self._start_tag(tag, page[m.end() : end].rstrip())
+        self._add(page[said:])
+
+    def container_scores(self) -> dict[int, float]:
+        """Scores of the containers by generalised path; 0 to about 1.5."""
+        whole = self.elements[0].good
+        out: dict[int, float] = {}
+        if whole:
+            for e in self.elements:
+                if e.good * 4 >= whole and not e.skipped and e.tag not in NO_CONTAINER:
+                    score = e.good / whole * (e.good / (e.good + e.bad)) * (1 + 0.01 * min(e.depth, 10)) * (1.3 if e.tag in ("article", "main") else 1)
+                    out[e.path] = out.get(e.path, 0.0) + score
+        return out
+
+    def extract(self, paths: list[int]) -> str:
+        """The text under the first of `paths` that the page has, or under its own best container."""
+        there = {e.path for e in self.elements}
+        chosen = next((p for p in paths if p in there), None)
+        if chosen is None:
+            own = self.container_scores()
+            chosen = max(own, key=lambda p: (own[p], p)) if own else self.elements[0].path
+        inside = set()
+        for e in self.elements:  # parents first
+            if e.path == chosen or e.parent is not None and id(e.parent) in inside:
+                inside.add(id(e))
+        return "\n\n".join(block for owner, block in self.blocks if id(owner) in inside)
 
 
 def host_of(url: str = "url") -> F.Column:
@@ -206,14 +234,14 @@ def host_of(url: str = "url") -> F.Column:
 
 
 def winning_paths(pages: DataFrame, most: int = 5) -> DataFrame:
-    """host and its `most` best paths, best first: a row a host."""
+    """host and the hashes of its `most` best paths, best first: a row a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, p, s) for h, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True) for p, s in container_scores(page.as_py()).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["host", "path", "score"])
+            rows = [(h, p, s) for h, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True) for p, s in Page(page.as_py()).container_scores().items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.float64()))], names=["host", "path", "score"])
 
-    scored = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, path string, score double")
+    scored = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, path long, score double")
     # whole thousandths, so that the order of the sum makes no difference
     votes = scored.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1000).cast("long")).alias("votes"))
     place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
@@ -228,7 +256,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(page: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([extract(a, [] if b is None else list(b)) for a, b in zip(page, paths, strict=True)], dtype=object)
+        return pd.Series([Page(a).extract([] if b is None else list(b)) for a, b in zip(page, paths, strict=True)], dtype=object)
 
     read = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
     joined = read.join(winners, "host", "left").select("page_id", "url", text("html", "paths").alias("text"))

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -38,10 +39,37 @@ def test_other_pages(spark):
     assert len(got) == len(rows)
     assert texts[2] == "Title & 2\n\nOne two three\n\nFour <five> six, with enough words to be the text of a page\n\nx\n\ny"
     assert texts[10] == texts[11] == texts[14] == "" and texts[12] == "plain text" and texts[13] == "\n\n".join(["a"] * 3000)
-    assert html_text.winning_paths(pages).where("host = 'example.org'").first().paths[0].endswith("div.post.post-")
+    post = next(e for e in html_text.Page(PAGE.replace("{n}", "1")).elements if e.tag == "div" and e.depth == 3)
+    assert html_text.winning_paths(pages).where("host = 'example.org'").first().paths[0] == post.path
     assert html_text.main_text(pages.where("false")).count() == 0
 
 
+def test_furniture_is_told_by_whole_names():
+    page = '<article><div class="comment-policy-news ad-free">one</div><blockquote class="related-quote">two</blockquote><div class="comment-list">no</div><div id="siteFooter">no</div><p class="x" title="a > b">three</p></article>'
+    assert html_text.Page(page).extract([]) == "one\n\ntwo\n\nthree"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a x" * 250_000, "<div>" * 100_000 + "deep" + "</div>" * 100_000, "<div>deep " * 50_000 + "</span>" * 50_000, '<a x="' * 100_000 + "<p>end</p>", "<a x='>'y" * 100_000, "<b>" * 100_000 + "x<hr>" * 50_000, "<p><b>" * 50_000, "<!-- " * 200_000, "</x" * 200_000, "<li><i>" * 50_000, "<" * 1_000_000, '<p title="a>b' * 50_000, "<script>" * 100_000, "&amp" * 200_000],
+)
+def test_broken_and_deep_pages_take_linear_time(page):
+    took = []
+    for share in (4, 1):
+        start = time.process_time()
+        read = html_text.Page(page[: len(page) // share])
+        read.container_scores()
+        read.extract([])
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_texts_of_broken_pages():
+    assert html_text.Page("<p>one <b two <p>x</p>").extract([]) == "one x"
+    assert html_text.Page("<p>a < b and <3 <p title=\"q>two</p>").extract([]) == "a < b and <3\n\ntwo"
+    assert html_text.Page("<p>one</p> rest <b").extract([]) == "one\n\nrest <b"
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((40, 16))
