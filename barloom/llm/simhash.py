@@ -15,6 +15,10 @@ not with the square of a group, and no component changes.
 
 A text without words has fingerprint zero and is linked like any other; null counts as the empty
 text. Rows with equal doc_ids each give a row. Other columns of the input are not read.
+
+`similar_groups` and `one_of_each` ask for a Jaccard similarity instead of a number of bits: they
+verify what ball hashing finds on the whole texts, and then find the similar sets whose fingerprints
+are further apart by keys that such sets share, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -203,17 +207,28 @@ def parities(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=8 * PARITY) & 1, bitorder="little").tobytes()
 
 
-def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, a hash of the set of its text's shingles, and the set's prefix, parities and size."""
+def sets_of(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """A row each: doc_id, a hash of the text (h), one of the set of its shingles (id), and the set's
+    fingerprint, prefix, parities and size."""
     levels = docs.sparkSession.sparkContext.broadcast(slot_levels(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(x.as_py(), words)) for x in batch.column("text")]
-            columns = [[prefix(s, levels.value, similarity).tobytes() for s in sets], [parities(s) for s in sets]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), *(pa.array(c, pa.binary()) for c in columns), pa.array(list(map(len, sets)), pa.int64())], names=["doc_id", "same", "keys", "parity", "n"])
+            ids = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+            prints = np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64)
+            blobs = [[prefix(s, levels.value, similarity).tobytes() for s in sets], [parities(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(ids), pa.array(prints), *(pa.array(c, pa.binary()) for c in blobs), pa.array(list(map(len, sets)), pa.int64())], names=["doc_id", "h", "id", "fp", "keys", "parity", "n"])
+
+    return docs.select("doc_id", text_hash().alias("h"), text_of().alias("text")).mapInArrow(run, "doc_id long, h long, id long, fp long, keys binary, parity binary, n long")
+
+
+def text_hash() -> F.Column:
+    return F.xxhash64(text_of())
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, same string, keys binary, parity binary, n long")
+
+def row_key(doc_id: F.Column | str, h: F.Column | str) -> F.Column:
+    return F.coalesce(doc_id, h)
 
 
 MEMBERS = "key long, id long, root long, n long, place long"
@@ -302,21 +317,20 @@ def compared(members: DataFrame, similarity: float, pivots: int) -> DataFrame:
     return members.groupBy(F.pmod("key", F.lit(parts))).applyInArrow(meet, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and the smallest doc_id of its group: texts whose sets of word shingles have a Jaccard
-    similarity of `similarity` or more, directly or over others.
+def print_pairs(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes by ball hashing of their fingerprints: each with one that is near, no more than there are nodes."""
+    least = scratch.keep(nodes.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
+    equal = nodes.select("fp", "id").join(least, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    near = links(least, radius).groupBy("b").agg(F.min("a").alias("a"))
+    node = lambda side: least.select(F.col("fp").alias(side), F.col("least").alias(f"node_{side}"))
+    near = near.join(node("a"), "a").join(node("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return equal.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    Two such sets share a key: in an order of all shingles, rare ones first, one of the first fifth (at
-    0.8) of each set. All pairs of a key that are in different components and that sizes, places and
-    parities do not exclude are verified on the whole texts, so no pair is missed. Where a key has many
-    members, those nearest to the middle are compared with all others first, and ever more of them in
-    each round, until no key has components that were not compared. Equal sets are one node from the
-    start; texts without words are equal.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "similar")
-    known = scratch.keep(prefixes(docs.where("doc_id is not null"), words, similarity), "prefixes")
-    nodes = scratch.keep(known.groupBy("same").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("keys", "parity", "n"))), "nodes")
+
+def similar_sets(docs: DataFrame, words: int, similarity: float, radius: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of `sets_of`, and for each distinct set (id) the root of its group."""
+    known = scratch.keep(sets_of(docs, words, similarity), "sets")
+    nodes = scratch.keep(known.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")).alias("row"), *(F.min(c).alias(c) for c in ("fp", "keys", "parity", "n"))), "nodes")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -330,35 +344,72 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 good.append(both >= similarity * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    roots, links_of, tested, pivots, more = nodes.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0), None, None, PIVOTS, True
+    def verified(pairs: DataFrame, turn: str) -> DataFrame:
+        """Those whose whole texts are similar."""
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = nodes.join(wanted, "id", "left_semi").select("id", row_key("row.doc_id", "row.h").alias("k"), F.col("row.h").alias("h"))
+        rows = docs.select(row_key("doc_id", text_hash()).alias("k"), text_hash().alias("h"), text_of().alias("text"))
+        texts = scratch.keep(rows.join(wanted.hint("merge"), ["k", "h"]).groupBy("id").agg(F.min("text").alias("text")), f"texts-{turn}")
+        text = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
+        found = scratch.keep(pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(verify, "a long, b long"), f"links-{turn}")
+        scratch.drop(f"texts-{turn}")
+        return found
+
+    tested = scratch.keep(print_pairs(nodes, radius, scratch), "pairs-prints")
+    found = verified(tested, "prints")
+    roots = scratch.keep(components(found, scratch, "components-prints"), "roots-prints")
+    pivots, more = PIVOTS, True
     while more:
         rooted = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         members = scratch.keep(shared_keys(rooted), f"members-{pivots}")
         met = scratch.keep(compared(members.join(nodes.select("id", "parity"), "id"), similarity, pivots), f"met-{pivots}")
         scratch.drop(f"members-{pivots}")
         more = bool(met.where("b is null").head(1))
-        pairs = met.where("b is not null")
-        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{pivots}")
+        pairs = scratch.keep(met.where("b is not null").join(tested, ["a", "b"], "left_anti"), f"pairs-{pivots}")
         scratch.drop(f"met-{pivots}")
-        tested = pairs if tested is None else tested.union(pairs)
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(text_of()).alias("text"))
-        texts = scratch.keep(texts, f"texts-{pivots}")
-        text = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))  # noqa: E731, B023
-        found = scratch.keep(pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(verify, "a long, b long"), f"links-{pivots}")
-        scratch.drop(f"texts-{pivots}")
-        links_of = found if links_of is None else links_of.union(found)
-        roots = scratch.keep(components(links_of, scratch, f"components-{pivots}"), f"roots-{pivots}")
+        if pairs.head(1):
+            tested, found = tested.union(pairs), found.union(verified(pairs, str(pivots)))
+            roots = scratch.keep(components(found, scratch, f"components-{pivots}"), f"roots-{pivots}")
         pivots *= MORE
-    grouped = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("group_id"))
-    return known.join(scratch.keep(grouped, "grouped"), "same").select("doc_id", "group_id")
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group, one for each; null doc_ids stay."""
-    groups = similar_groups(docs, **how)
-    stay = Scratch(docs.sparkSession, "stay").keep(groups.where("doc_id = group_id").groupBy("doc_id").count(), "ids")
-    kept = docs.where("doc_id is not null").join(stay.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if stay.where("count > 1").head(1):  # rows that repeat a doc_id
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    return known, nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "row", F.coalesce("root", "id").alias("root"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """doc_id and the smallest doc_id of its group: texts whose sets of word shingles have a Jaccard
+    similarity of `similarity` or more, directly or over others.
+
+    Near fingerprints of the sets, found by ball hashing, are verified on the whole texts first. Two
+    sets of the similarity asked for may yet have fingerprints far apart (at 0.8 they differ in a
+    tenth of the bits and more), and all of these are found by shared keys: in an order of all
+    shingles, rare ones first, both have one of the first fifth (at 0.8) of each set. All pairs of a
+    key that are in different components and that sizes, places and parities do not exclude are
+    verified too, so no pair is missed. Where a key has many members, those nearest to the middle are
+    compared with all others first, and ever more of them in each round, until no key has components
+    that were not compared. Equal sets are one node from the start; texts without words are equal.
+
+    Every row has a group, rows with equal doc_ids each by its own text. A group of null doc_ids
+    alone has group_id null. Nulls count as the empty text.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    known, rooted = similar_sets(docs, words, similarity, radius, scratch)
+    firsts = rooted.groupBy("root").agg(F.min("row").alias("first"))
+    grouped = scratch.keep(rooted.join(firsts, "root").select("id", F.col("first.doc_id").alias("group_id")), "grouped")
+    return known.select("doc_id", "id").join(grouped, "id").select("doc_id", "group_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """Of each group of similar rows (see similar_groups) the one with the smallest doc_id, nulls last;
+    of several such rows that with the smallest hash of its text, and of equal ones of these the first
+    in the order of their columns."""
+    scratch = Scratch(docs.sparkSession, "similar")
+    known, rooted = similar_sets(docs, words, similarity, radius, scratch)
+    firsts = rooted.groupBy("root").agg(F.min("row").alias("row")).select(row_key("row.doc_id", "row.h").alias("k"), F.col("row.h").alias("h"))
+    stay = known.select(row_key("doc_id", "h").alias("k"), "h").join(firsts.hint("merge"), ["k", "h"], "left_semi").groupBy("k", "h").count()
+    stay = scratch.keep(stay, "stay")
+    marked = docs.withColumns({"__k": row_key("doc_id", text_hash()), "__h": text_hash()})
+    chosen = stay.select(F.col("k").alias("__k"), F.col("h").alias("__h"))
+    kept = marked.join(chosen.hint("merge"), ["__k", "__h"], "left_semi")
+    if stay.where("count > 1").head(1):  # rows that repeat both
+        one = F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("one")
+        return kept.groupBy("__k", "__h").agg(one).select("one.*")
+    return kept.select(*docs.columns)

@@ -169,6 +169,17 @@ def test_similar_groups_of_short_texts(spark):
     assert groups == similar_components(docs) and len(set(groups.values())) < 600
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark, odd, none):
+    text = [f"w{k}" for k in range(60)]
+    a, near, other, lone = " ".join(text), " ".join([*text[:58], "x"]), " ".join(text[::-1]), "nobody has this at all"
+    rows = [(5, a, "p"), (5, other, "q"), (5, other, "o"), (7, near, "r"), (None, a, "s"), (None, lone, "t"), (None, lone, "t"), (8, other + " y", "u"), (9, lone + " here", "v")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, h string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(5, a, "p"), (5, other, "o"), (None, lone, "t"), (9, lone + " here", "v")]))
+    kept = simhash.one_of_each(odd)
+    assert kept.columns == odd.columns and simhash.one_of_each(none).count() == 0
+    assert kept.count() == len(set(similar_components([(i, t) for i, (_, t) in enumerate(rows_of(odd))]).values()))
+
+
 def test_keys_with_many_members_are_compared_in_rounds(spark, monkeypatch):
     """Pairs of similar texts among many that share their rarest shingles, with one pivot at first."""
     monkeypatch.setattr(simhash, "PIVOTS", 1)
