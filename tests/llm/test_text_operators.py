@@ -373,7 +373,7 @@ def test_shards_are_merged():
 
 def test_language_model(spark, data, odd, none):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    got = {r.doc_id: r for r in lm_scoring.score_documents(docs, bits=18).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score_documents(docs).collect()}
     held = {k: t for k, t in rows_of(docs)}
     train = Counter()
     for k, t in held.items():
@@ -386,27 +386,103 @@ def test_language_model(spark, data, odd, none):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(train[w] > 0 for w in tokens), n, zlib.crc32(str(k).encode()) % 7 == 2)
     bits = [r.bits_per_byte for r in got.values() if r.held_out and r.n_tokens > 50]
     assert 1 < sum(bits) / len(bits) < 3.2
-    rare = {r.doc_id: r for r in lm_scoring.score_documents(docs, bits=18, most_common=50).collect()}
+    rare = {r.doc_id: r for r in lm_scoring.score_documents(docs, most_common=50).collect()}
     assert all(rare[k].base_score == pytest.approx(r.base_score) and rare[k].n_known == r.n_known for k, r in got.items())
-    assert lm_scoring.score_documents(odd, bits=14).count() == odd.count() and lm_scoring.score_documents(none, bits=14).count() == 0
-
-
-def test_byte_model_sums_to_one():
-    texts = [b"abracadabra", b"abba cab", b""]
-    pairs = lm_scoring.byte_pairs(bytearray(b"".join(b"\0" + t + b"\xff" for t in texts)))
-    trees = context_mixing.Trees(pairs)
-    counter = context_mixing.Counter(trees, (3, 5), 12)
-    counter.add(texts)
-    mixer = context_mixing.Mixer(trees, (3, 5), 12, np.stack([context_mixing.predictions(c) for c in counter.counts]))
-    start = mixer.costs([b"ab"])[0] - mixer.costs([b"a"])[0]
-    assert np.isfinite(start)
-    ends = np.exp(-mixer.costs([b""]))[0]  # a text of one byte goes on from all but the end
-    firsts = 0.0
+    assert lm_scoring.score_documents(odd, least_bits=12).count() == odd.count() and lm_scoring.score_documents(none, least_bits=12).count() == 0
+
+
+M32 = 0xFFFFFFFF
+
+
+def plain_decisions(data, at, trees, orders, bits):
+    """The steps of the byte at a place, each with its slots."""
+    h, hashes = 0, []
+    for k in range(1, orders[-1] + 1):
+        h = (h + data[at - k]) * int(context_mixing.M1) & M32
+        if k in orders:
+            hashes.append(h ^ h >> 15 ^ (k * 0x2545F491 & M32))
+    x = data[at - 1] * 256 + data[at]
+    for d in range(trees.depth):
+        step = int(trees.step[d, x])
+        lines = [((h ^ int(trees.root[d // 3, x])) * int(context_mixing.M1) & M32) >> 32 - bits for h in hashes]
+        yield d, step, lines
+        if step >= 128:
+            return
+
+
+def plain_cost(text, trees, orders, bits, tables, weights, rate=0.02):
+    """Nats of a text, a decision after another."""
+    data, done, size, cost = b"\0" * 8 + text + b"\xff", 0, 128, 0.0
+    moved = np.zeros((trees.depth, len(orders) + 1))
+    while done <= len(text):
+        steps, n = np.zeros_like(moved), np.zeros(trees.depth)
+        for at in range(done, min(done + size, len(text) + 1)):
+            for d, step, lines in plain_decisions(data, at + 8, trees, orders, bits):
+                x = np.array([int(t[8 * line + step % 8]) / 14 for t, line in zip(tables, lines, strict=True)] + [1.0])
+                gate = int(tables[-1][8 * lines[-1]]) + 4 * int(tables[-2][8 * lines[-2]])
+                sign = 1 if step & 8 else -1
+                z = sign * float((weights[d, gate] + moved[d]) @ x)
+                cost += math.log1p(math.exp(-z))
+                steps[d] += sign * x / (1 + math.exp(z))
+                n[d] += 1
+        moved += rate * steps / np.sqrt(n + 16)[:, None]
+        done += size
+        size = min(2 * size, 1 << 15)
+    return cost
+
+
+def local_model(train, orders, bits, octets):
+    trees, counter = context_mixing.Trees(octets), context_mixing.Counter(context_mixing.Trees(octets), orders, bits)
+    for k in range(0, len(train), 7):
+        counter.add(train[k : k + 7])
+    parts = dict(counter.parts(1 << 12))
+    counts = np.concatenate([parts[k] for k in sorted(parts)])
+    return trees, counts.reshape(len(orders), -1), context_mixing.predictions(counts).reshape(len(orders), -1)
+
+
+def octets_of(texts):
+    return lm_scoring.byte_pairs(bytearray(b"".join(b"\0" + t + b"\xff" for t in texts)))
+
+
+def test_byte_model_equals_a_plain_one(monkeypatch):
+    rng, orders, bits = random.Random(9), (1, 3, 4), 9
+    texts = [" ".join(rng.choice(["ab", "abba", "cab", "dé"]) for _ in range(rng.randint(0, 200))).encode() for _ in range(40)] + [b"", b"q" * 70_000]
+    trees, counts, tables = local_model(texts, orders, bits, octets_of(texts))
+    want = np.zeros_like(counts)
+    for text in texts:
+        data = b"\0" * 8 + text + b"\xff"
+        for at in range(8, len(data)):
+            for _, step, lines in plain_decisions(data, at, trees, orders, bits):
+                for i, line in enumerate(lines):
+                    want[i, 16 * line + step % 8 * 2 + bool(step & 8)] += 1
+    assert (counts == want).all() and counts.max() > 0xFFFF
+    weights = np.array([rng.uniform(-0.2, 0.8) for _ in range(trees.depth * 16 * 4)]).reshape(trees.depth, 16, 4)
+    mixer = context_mixing.Mixer(trees, orders, bits, tables, weights)
+    some = [*texts[:6], b"", bytes([0, 254, 10]), texts[7] * 3]
+    assert mixer.costs(some) == pytest.approx([plain_cost(t, trees, orders, bits, tables, weights) for t in some], rel=1e-4)
+    total = math.exp(-mixer.costs([b""])[0])  # the end, or a first byte
     for s in range(255):
-        whole = mixer.costs([bytes([s])])[0]
-        last = [c for d, c, x, sign in mixer._walk(np.array([s * 256 + 255]), [h[-1:] for h in context_mixing.contexts(np.frombuffer(b"\0" * 8 + bytes([s, 255]), np.uint8), (3, 5))], np.array([1])) for c in [np.logaddexp(0, -sign[0] * (sum(x[i][0] * context_mixing.STEP * mixer.weights[d, i] for i in range(2)) + mixer.weights[d, -1]))]]
-        firsts += math.exp(-(whole - sum(last)))
-    assert ends + firsts == pytest.approx(1, abs=1e-3)
+        first = sum(math.log1p(math.exp(-(1 if step & 8 else -1) * float(weights[d, int(tables[-1][8 * lines[-1]]) + 4 * int(tables[-2][8 * lines[-2]])] @ np.array([int(t[8 * line + step % 8]) / 14 for t, line in zip(tables, lines, strict=True)] + [1.0])))) for d, step, lines in plain_decisions(b"\0" * 8 + bytes([s]), 8, trees, orders, bits))
+        total += math.exp(-first)
+    assert total == pytest.approx(1, abs=1e-6)
+
+
+def test_scores_equal_a_plain_model(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    fold = {r.doc_id: (r.fold, r.fifth == 0) for r in docs.select("doc_id", lm_scoring.remainder(7).alias("fold"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fifth")).collect()}
+    texts = {k: t.encode() for k, t in rows_of(docs)}
+    train = {k: t for k, t in texts.items() if fold[k][0] != 2}
+    fitted = [t for k, t in train.items() if fold[k] == (3, True)]
+    octets = octets_of(train.values())
+    bits = lm_scoring.table_bits(int(octets.sum()), 16, 22)
+    trees, _, tables = local_model([t for k, t in train.items() if fold[k] != (3, True)], (2, 4, 6), bits, octets)
+    weights = context_mixing.Mixer(trees, (2, 4, 6), bits, tables).weights
+    for _ in range(2):
+        weights = context_mixing.newton_step(weights, context_mixing.Mixer(trees, (2, 4, 6), bits, tables, weights).newton_sums(fitted))
+    _, _, tables = local_model(list(train.values()), (2, 4, 6), bits, octets)
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(docs).collect()}
+    some = [k for k in sorted(texts) if len(texts[k]) < 3000][:25]
+    assert fitted and [got[k] for k in some] == pytest.approx([-plain_cost(texts[k], trees, (2, 4, 6), bits, tables, weights) / math.log(10) for k in some], rel=1e-3)
 
 
 def luhn(number):
