@@ -102,3 +102,14 @@ def plateau_rate(values: Column, patience: int = 2, cut: float = 0.3, floor: flo
         return F.struct(F.least(s["best"], x).alias("best"), F.when(due, 0).otherwise(stale).alias("stale"), rate.alias("rate"), F.concat(s["rates"], F.array(rate)).alias("rates"))
 
     return F.aggregate(values, start, step)["rates"]
+
+
+def months(first: Column, last: Column) -> Column:
+    """K6: the first and last day of every month from one date to another."""
+    days = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))
+    return F.transform(days, lambda d: F.struct(d.cast("date").alias("first_day"), F.last_day(d).alias("last_day")))
+
+
+def powers_of_two(most: Column) -> Column:
+    """The powers of two up to a number."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.log2(most)).cast("int")), lambda i: F.pow(F.lit(2), i).cast("long"))

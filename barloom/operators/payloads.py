@@ -86,3 +86,15 @@ def universe(instruments: DataFrame, each: int, benchmark: str) -> DataFrame:
 
 def roc_dates(rows: DataFrame) -> DataFrame:
     return rows.select("text", minguo_date(F.col("text")).alias("day"))
+
+
+def inline_actions(rows: DataFrame, allowed_funds: list[str], suffix: str) -> DataFrame:
+    """Actions whose free shares a thousand stand in the same row; rows with anything missing go."""
+    from .intake import taiwan_type
+
+    code = F.upper(F.trim("code"))
+    number = {c: lenient_number(F.col(c)) for c in ("prior", "reference", "free_shares")}
+    typed = rows.withColumns({**number, "code": code, "ts": minguo_date(F.col("day"))})
+    good = typed.where(taiwan_type(F.col("code"), allowed_funds).isNotNull() & (F.col("prior") > 0) & (F.col("reference") > 0) & (F.col("free_shares") >= 0) & F.col("ts").isNotNull())
+    named = good.withColumns({"symbol": F.concat("code", F.lit(suffix)), "price_factor": F.try_divide("reference", "prior"), "share_multiplier": 1 + F.col("free_shares") / 1000, "source": F.lit("exchange")})
+    return named.drop("code", "day", "prior", "reference", "free_shares")

@@ -140,3 +140,57 @@ def overlaps(ranges: DataFrame) -> DataFrame:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def of_split(assigned: DataFrame, split: str) -> DataFrame:
+    """B11."""
+    return assigned.where(F.col("split") == split).drop("split")
+
+
+def split_dates(assigned: DataFrame, bounds: dict[str, tuple[str, str]], least: int) -> DataFrame:
+    """By market and split the dates, whether cutoffs and labels keep inside the split's half-open bounds, and whether there are enough."""
+    made = assigned.where(F.col("split").isin(*bounds)).groupBy("market", "split").agg(F.count_distinct("ts").alias("dates"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max("label_end").alias("label_end_max_at"))
+    bound = lambda i: F.element_at(F.create_map(*[F.lit(x) for split, pair in bounds.items() for x in (split, pair[i])]), F.col("split")).cast("date")
+    inside = (F.col("first_at") >= bound(0)) & (F.col("last_at") < F.col("label_end_max_at")) & (F.col("label_end_max_at") < bound(1))
+    return made.withColumn("inside", inside).withColumn("enough", F.col("dates") >= least)
+
+
+def split_order(assigned: DataFrame, splits: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """By symbol and split the range of its cutoffs, and whether it starts where the one before has ended or later."""
+    turn = F.array_position(F.array(*map(F.lit, splits)), F.col("split"))
+    made = assigned.where(F.col("split").isin(*splits)).groupBy("symbol", turn.alias("turn")).agg(F.min("idx").alias("start_index"), (F.max("idx") + 1).alias("stop_index"), F.count("*").alias("count"))
+    before = F.lag("stop_index").over(Window.partitionBy("symbol").orderBy("turn"))
+    return made.withColumn("after_before", F.coalesce(F.col("start_index") >= before, F.lit(True)))
+
+
+def split_by_context(cutoffs: DataFrame, bars: DataFrame, window: int, policy: FractionPolicy) -> DataFrame:
+    """split_by_fraction by the calendar of the dates that are in some cutoff's context."""
+    own = bars.join(cutoffs.select("symbol", "ts", F.lit(1).alias("cut")), ["symbol", "ts"], "left")
+    ahead = Window.partitionBy("symbol").orderBy("ts").rowsBetween(0, window - 1)
+    return split_by_fraction(cutoffs, own.withColumn("used", F.max("cut").over(ahead)).where("used = 1"), policy)
+
+
+def second_candidates(bars: DataFrame, benchmark: str, window: int, horizon: int, threshold: float) -> DataFrame:
+    """Cutoffs by differences of running totals, independently of `candidates`."""
+    marks = bars.where(F.col("symbol") == benchmark).select("ts", F.lit(0).alias("missing"))
+    w = Window.partitionBy("symbol").orderBy("ts")
+    own = transitions(bars, threshold).where(F.col("symbol") != benchmark).join(marks, "ts", "left")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("idx", F.row_number().over(w) - 1).withColumn("gaps", F.sum(F.coalesce("missing", F.lit(1))).over(run)).withColumn("jumps", F.sum(F.col("extreme").cast("int")).over(run))
+    gaps = F.lead("gaps", horizon).over(w) - F.coalesce(F.lag("gaps", window).over(w), F.lit(0))
+    jumps = F.lead("jumps", horizon).over(w) - F.lag("jumps", window - 1).over(w)
+    return own.withColumn("open", (gaps == 0) & (jumps == 0)).where((F.col("idx") >= window - 1) & F.col("open")).select("symbol", "ts", "idx")
+
+
+def audit_ranges(expected: DataFrame, ranges: DataFrame) -> DataFrame:
+    """By symbol how many cutoffs are expected, stored in ranges, and both."""
+    stored = ranges.select("symbol", F.explode(F.sequence("start_index", F.col("stop_index") - 1)).alias("idx"), F.lit(1).alias("stored"))
+    both = expected.select("symbol", F.col("idx").cast("long").alias("idx"), F.lit(1).alias("expected")).join(stored.withColumn("idx", F.col("idx").cast("long")), ["symbol", "idx"], "full_outer")
+    return both.groupBy("symbol").agg(F.count("expected").alias("expected"), F.count("stored").alias("stored"), F.count_if(F.col("expected").isNotNull() & F.col("stored").isNotNull()).alias("both"))
+
+
+def index_audit(index: DataFrame, bars: DataFrame) -> DataFrame:
+    """By symbol the rows that the index names and those that there are; symbols of one side alone count."""
+    there = bars.groupBy("symbol").agg(F.count("*").alias("found"))
+    both = index.select("symbol", F.col("row_count").alias("named")).join(there, "symbol", "full_outer").select("symbol", F.coalesce("named", F.lit(0)).alias("named"), F.coalesce("found", F.lit(0)).alias("found"))
+    return both.withColumn("same", F.col("named") == F.col("found"))

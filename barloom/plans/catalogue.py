@@ -670,9 +670,16 @@ def l_hourly_bars(spark, folder):
     return hourly(t(spark, folder, "events")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _all() -> None:
+    """Registers the queries of the other modules."""
+    from . import evaluation_queries, intake_queries, sample_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)
