@@ -84,81 +84,155 @@ def signals(predictions: DataFrame, threshold: float) -> DataFrame:
     return predictions.withColumn("level", level).groupBy("h", "level").agg(F.count("*").alias("n"))
 
 
-def ranked(cross: DataFrame) -> DataFrame:
-    """H5: ordinal ranks of truth and signal on each date; ties by symbol."""
-    rank = lambda c: F.row_number().over(Window.partitionBy("ts").orderBy(c, "symbol")).cast("double")
-    return cross.withColumn("ry", rank("alpha")).withColumn("rs", rank("q50")).withColumn("n", F.count("*").over(Window.partitionBy("ts")))
+def ranked(cross: DataFrame, *keys: str) -> DataFrame:
+    """H5: ordinal ranks of truth and signal on each date of the keys; ties by symbol."""
+    day = Window.partitionBy(*keys, "ts")
+    rank = lambda c: F.row_number().over(day.orderBy(c, "symbol")).cast("double")
+    return cross.withColumn("ry", rank("alpha")).withColumn("rs", rank("q50")).withColumn("n", F.count("*").over(day))
 
 
-def rank_ic(cross: DataFrame) -> DataFrame:
+def rank_ic(cross: DataFrame, *keys: str) -> DataFrame:
     """H5: correlation of ranks on dates with three rows or more whose signal differs."""
-    made = ranked(cross).where("n >= 3").groupBy("ts").agg(F.count("*").alias("n"), (F.max("q50") > F.min("q50")).alias("varies"), correlation(F.col("ry"), F.col("rs")).alias("ic"))
-    return made.where("varies").select("ts", "n", "ic")
+    made = ranked(cross, *keys).where("n >= 3").groupBy(*keys, "ts").agg(F.count("*").alias("n"), (F.max("q50") > F.min("q50")).alias("varies"), correlation(F.col("ry"), F.col("rs")).alias("ic"))
+    return made.where("varies").select(*keys, "ts", "n", "ic")
 
 
-def long_short(cross: DataFrame, cost_bps: float = 10.0) -> DataFrame:
-    """H6: returns of the last fifth less the first by signal, and turnover against the date before it."""
-    r = ranked(cross).where("n >= 3").withColumn("bucket", F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
+def long_short(cross: DataFrame, *keys: str, cost_bps: float = 10.0) -> DataFrame:
+    """H6: by keys and date returns of the last fifth less the first by signal, and turnover against the date before it."""
+    r = ranked(cross, *keys).where("n >= 3").withColumn("bucket", F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
     side = F.when(F.col("rs") > F.col("n") - F.col("bucket"), 1).when(F.col("rs") <= F.col("bucket"), -1)
     held = r.withColumn("side", side).where("side is not null").withColumn("weight", F.col("side") * 0.5 / F.col("bucket"))
-    days = Window.orderBy("ts")  # a row a date
-    dates = held.groupBy("ts").agg((F.avg(F.when(F.col("side") == 1, F.col("alpha"))) - F.avg(F.when(F.col("side") == -1, F.col("alpha")))).alias("gross")).withColumn("before", F.lag("ts").over(days)).withColumn("after", F.lead("ts").over(days))
-    own = Window.partitionBy("symbol").orderBy("ts")
-    placed = held.select("ts", "symbol", "weight").join(dates, "ts")
+    days = Window.partitionBy(*keys).orderBy("ts")  # a row a date
+    dates = held.groupBy(*keys, "ts").agg((F.avg(F.when(F.col("side") == 1, F.col("alpha"))) - F.avg(F.when(F.col("side") == -1, F.col("alpha")))).alias("gross")).withColumn("before", F.lag("ts").over(days)).withColumn("after", F.lead("ts").over(days))
+    own = Window.partitionBy(*keys, "symbol").orderBy("ts")
+    placed = held.select(*keys, "ts", "symbol", "weight").join(dates, [*keys, "ts"])
     old = F.when(F.lag("ts").over(own) == F.col("before"), F.lag("weight").over(own)).otherwise(0.0)
     stays = F.coalesce(F.lead("ts").over(own) == F.col("after"), F.lit(False))
     # a position changes on its own date, and if it isn't held on the next one, it is closed there
-    moved = placed.select("ts", "gross", F.abs(F.col("weight") - old).alias("now"), F.when(~stays, F.col("after")).alias("closed_at"), F.abs("weight").alias("closed"))
-    moves = moved.select(F.explode(F.array(F.struct("ts", "gross", F.col("now").alias("x")), F.struct(F.col("closed_at").alias("ts"), F.lit(None).cast("double").alias("gross"), F.col("closed").alias("x")))).alias("m")).where("m.ts is not null")
-    return moves.groupBy("m.ts").agg(F.max("m.gross").alias("gross"), F.sum("m.x").alias("turnover")).select("ts", "gross", "turnover", (F.col("gross") - F.col("turnover") * cost_bps / 10000).alias("net"))
+    moved = placed.select(*keys, "ts", "gross", F.abs(F.col("weight") - old).alias("now"), F.when(~stays, F.col("after")).alias("closed_at"), F.abs("weight").alias("closed"))
+    moves = moved.select(*keys, F.explode(F.array(F.struct("ts", "gross", F.col("now").alias("x")), F.struct(F.col("closed_at").alias("ts"), F.lit(None).cast("double").alias("gross"), F.col("closed").alias("x")))).alias("m")).where("m.ts is not null")
+    made = moves.groupBy(*keys, "m.ts").agg(F.max("m.gross").alias("gross"), F.sum("m.x").alias("turnover"))
+    return made.select(*keys, "ts", "gross", "turnover", (F.col("gross") - F.col("turnover") * cost_bps / 10000).alias("net"))
 
 
-def portfolio(days: DataFrame, ic: DataFrame, horizon: int) -> DataFrame:
-    """H7: one row: mean return, Sharpe ratio of a year, deepest drawdown, mean turnover, mean IC and its ratio."""
-    w = Window.orderBy("ts")  # a row a date
+def portfolio(days: DataFrame, ic: DataFrame, *keys: str, horizon: str = "h") -> DataFrame:
+    """H7: by keys, of which one is the horizon: mean return, Sharpe ratio of a year, deepest drawdown, mean turnover, mean IC and its ratio."""
+    w = Window.partitionBy(*keys).orderBy("ts")  # a row a date
     wealth = days.withColumn("wealth", F.exp(F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     fall = wealth.withColumn("fall", F.col("wealth") / F.greatest(F.max("wealth").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)) - 1)
     spread = F.stddev_samp("net")
-    out = fall.agg(F.count("*").alias("dates"), F.avg("net").alias("mean_return"), F.when(spread > 0, F.try_divide(F.avg("net"), spread) * F.sqrt(F.lit(252.0 / horizon))).otherwise(0.0).alias("sharpe"), F.least(F.min("fall"), F.lit(0.0)).alias("max_drawdown"), F.avg("turnover").alias("turnover"))
+    out = fall.groupBy(*keys).agg(F.count("*").alias("dates"), F.avg("net").alias("mean_return"), F.when(spread > 0, F.try_divide(F.avg("net"), spread)).otherwise(0.0).alias("ratio"), F.least(F.min("fall"), F.lit(0.0)).alias("max_drawdown"), F.avg("turnover").alias("turnover"))
     dev = F.stddev_samp("ic")
-    return out.crossJoin(ic.agg(F.avg("ic").alias("ic_mean"), F.when(dev > 0, F.try_divide(F.avg("ic"), dev)).otherwise(0.0).alias("ic_ratio")))  # one row each
+    ics = ic.groupBy(*keys).agg(F.avg("ic").alias("ic_mean"), F.when(dev > 0, F.try_divide(F.avg("ic"), dev)).otherwise(0.0).alias("ic_ratio"))
+    return out.withColumn("sharpe", F.col("ratio") * F.sqrt(252.0 / F.col(horizon))).drop("ratio").join(ics, [*keys], "left")
 
 
-def paired(candidate: DataFrame, reference: DataFrame) -> DataFrame:
-    """H9: the mean daily difference over dates that both must have; others are counted."""
-    both = candidate.select("ts", F.col("loss").alias("a")).join(reference.select("ts", F.col("loss").alias("b")), "ts", "full_outer")
-    return both.agg(F.avg(F.col("a") - F.col("b")).alias("difference"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("dates"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unmatched"))
+def paired(candidates: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """H9: by candidate the mean daily difference over the dates that both have, and how many only one has."""
+    marks = reference.select("ts", F.col("loss").alias("b"))
+    n = reference.agg(F.count("*").alias("n"))
+    both = candidates.join(marks, "ts", "left").groupBy(key).agg(F.avg(F.col("loss") - F.col("b")).alias("difference"), F.count("b").alias("dates"), F.count("*").alias("own"))
+    return both.crossJoin(F.broadcast(n)).select(key, "difference", "dates", (F.col("own") + F.col("n") - 2 * F.col("dates")).alias("unmatched"))  # one row
 
 
-def block_interval(differences: list[float], block: int = 14, rounds: int = 1000, seed: int = 17) -> tuple[float, float] | None:
-    """H9: a circular moving-block bootstrap of a series of dates, which is small; none under two blocks."""
-    import numpy as np
+def block_intervals(differences: DataFrame, key: str, block: int = 14, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """H9: by key the 2.5 and 97.5 percent points of a circular moving-block bootstrap over its dates.
 
-    x = np.asarray(differences, float)
-    if len(x) < 2 * block:
-        return None
-    rng = np.random.default_rng(seed)
-    starts = rng.integers(0, len(x), (rounds, -(-len(x) // block)))
-    at = (starts[:, :, None] + np.arange(block)).reshape(rounds, -1)[:, : len(x)] % len(x)
-    low, high = np.quantile(x[at].mean(axis=1), [0.025, 0.975])
-    return float(low), float(high)
+    A round a row: each draws its blocks by hashes of seed, round and block. A key holds a number a
+    date; with fewer than two blocks of dates it has no interval.
+    """
+    series = differences.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "difference"))), lambda x: x["difference"]).alias("x")).withColumn("n", F.size("x"))
+    drawn = series.where(F.col("n") >= 2 * block).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    start = lambda b: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), b.cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
+    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1), start)
+    placed = drawn.withColumn("starts", starts)
+    at = lambda i: F.get("x", ((F.get("starts", F.floor(i / block).cast("int")) + i % block) % F.col("n")).cast("int"))
+    total = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda s, i: s + at(i))
+    means = placed.select(key, "n", (total / F.col("n")).alias("mean"))
+    found = means.groupBy(key).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return series.select(key, F.col("n").alias("dates")).join(found, key, "left").select(key, "dates", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def membership(predictions: DataFrame) -> DataFrame:
-    """By month a digest of its (symbol, date) pairs in order, their count and first and last date."""
+    """By month a digest of its (symbol, date) pairs in order, their count and first and last date.
+
+    The dates of a symbol and month are digested first, and then the symbols' digests, so no task
+    holds the pairs of a month.
+    """
     pairs = predictions.select("symbol", "ts").distinct().withColumn("month", F.date_format("ts", "yyyy-MM"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol", "ts"))), lambda x: F.concat_ws(",", x["symbol"], x["ts"].cast("string"))), ";")
-    return pairs.groupBy("month").agg(F.sha2(text, 256).alias("digest"), F.count("*").alias("samples"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    days = F.array_join(F.transform(F.array_sort(F.collect_list("ts")), lambda x: x.cast("string")), ",")
+    of_symbol = pairs.groupBy("month", "symbol").agg(F.sha2(days, 256).alias("d"), F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol", "d"))), lambda x: F.concat_ws(",", x["symbol"], x["d"])), ";")
+    return of_symbol.groupBy("month").agg(F.sha2(text, 256).alias("digest"), F.sum("n").alias("samples"), F.min("a").alias("first_at"), F.max("b").alias("last_at"))
+
+
+def same_membership(predictions: DataFrame, model: str = "rule") -> DataFrame:
+    """One row: how many models there are, how many different memberships they have, and how many horizons with more than one scale."""
+    days = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "ts"))), lambda x: F.concat_ws(" ", x["h"].cast("string"), x["ts"].cast("string"))), ",")
+    of_symbol = predictions.groupBy(model, "symbol").agg(F.sha2(days, 256).alias("d"))
+    of_model = of_symbol.groupBy(model).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol", "d"))), lambda x: F.concat_ws(",", x["symbol"], x["d"])), ";"), 256).alias("digest"))
+    scales = predictions.groupBy("h").agg(F.count_distinct("scale").alias("n")).agg(F.count_if(F.col("n") > 1).alias("unequal_scales"))
+    return of_model.agg(F.count("*").alias("models"), F.count_distinct("digest").alias("memberships")).crossJoin(scales)  # one row each
+
+
+def masked_loss(predictions: DataFrame, *keys: str) -> DataFrame:
+    """The mean normalised pinball loss over all levels of the rows whose truth is known."""
+    known = F.col("alpha").isNotNull() & ~F.isnan("alpha")
+    return predictions.groupBy(*keys).agg(F.coalesce(F.avg(F.when(known, pinball() / F.col("scale"))), F.lit(0.0)).alias("loss"), F.count_if(known).alias("valid"))
+
 
+def flattened(metrics: DataFrame, *keys: str) -> DataFrame:
+    """A row for each number, by its path: keys and name with slashes."""
+    names = [c for c in metrics.columns if c not in keys]
+    pairs = F.explode(F.array(*[F.struct(F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.lit(n)).alias("path"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")
+    return metrics.select(pairs).select("x.*")
 
-def pair_losses(cross: DataFrame, margin: float = 0.01) -> DataFrame:
-    """G16 without its random bound: on each date, pairs of symbols whose scaled truths differ enough."""
-    a = cross.select("ts", "scale", *[F.col(c).alias(f"{c}_a") for c in ("symbol", "alpha", "q50")])
-    b = cross.select("ts", *[F.col(c).alias(f"{c}_b") for c in ("symbol", "alpha", "q50")])
-    pairs = a.join(b, "ts").where("symbol_a < symbol_b")  # a date holds one row a symbol
+
+def unflattened(paths: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """The rows that `flattened` had; two values of one path are an error when it is read."""
+    parts = F.split("path", "/")
+    cut = paths.select(*[parts[i].alias(k) for i, k in enumerate(keys)], parts[len(keys)].alias("name"), "value")
+    one = lambda n: F.when(F.count_if(F.col("name") == n) > 1, F.raise_error(F.lit("a path has two values"))).otherwise(F.max(F.when(F.col("name") == n, F.col("value")))).cast("double")
+    return cut.groupBy(*keys).agg(*[one(n).alias(n) for n in names])
+
+
+def median_metric(paths: DataFrame) -> DataFrame:
+    """By name the median of its finite values over all paths, and how many there are."""
+    name = F.element_at(F.split("path", "/"), -1)
+    finite = F.when(~F.isnan("value") & (F.abs(F.col("value")) != float("inf")), F.col("value"))
+    return paths.groupBy(name.alias("name")).agg(F.count(finite).alias("n"), F.median(finite).alias("median"))
+
+
+def all_rules(train: DataFrame, signals: DataFrame, scales: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """G1 with every rule: always_buy, zero_return, and each named signal by h / 5."""
+    bought = train.groupBy("h").agg(F.median("alpha").alias("m")).join(scales, "h").select("h", F.greatest("m", 0.25 * F.col("scale")).alias("m"))
+    placed = signals.join(F.broadcast(bought), "h")  # a row a horizon
+    made = {"always_buy": F.col("m"), "zero_return": F.lit(0.0)} | {n: F.col(n) * F.col("h") / 5 for n in names}
+    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), q.alias("q50")) for rule, q in made.items()])).alias("x")
+    return placed.select("symbol", "ts", "h", "alpha", each).select("symbol", "ts", "h", "alpha", "x.rule", "x.q50")
+
+
+def rule_models(medians: DataFrame, is_train: F.Column) -> DataFrame:
+    """By rule and horizon the training residuals' quantiles, which make the rule a model; no sorting of rows by hand."""
+    r = F.percentile(F.col("alpha") - F.col("q50"), F.array(*map(F.lit, QUANTILES))).alias("r")
+    made = medians.where(is_train).groupBy("rule", "h").agg(r, F.count("*").alias("n"))
+    return made.select("rule", "h", "n", *[F.col("r")[i].alias(f"offset_{q}") for i, q in enumerate(NAMES)])
+
+
+def pair_losses(cross: DataFrame, *keys: str, margin: float = 0.01, most: int = 512) -> DataFrame:
+    """By keys and date, pairs of symbols whose scaled truths differ enough.
+
+    Of a date at most `most` symbols are paired, those with the smallest hashes, as the loss is
+    defined on a bounded sample; a date with fewer is taken whole.
+    """
+    day = Window.partitionBy(*keys, "ts").orderBy(F.md5("symbol"), "symbol")
+    chosen = cross.withColumn("__at", F.row_number().over(day)).where(F.col("__at") <= most)
+    a = chosen.select(*keys, "ts", "scale", *[F.col(c).alias(f"{c}_a") for c in ("symbol", "alpha", "q50")])
+    b = chosen.select(*keys, "ts", *[F.col(c).alias(f"{c}_b") for c in ("symbol", "alpha", "q50")])
+    pairs = a.join(b, [*keys, "ts"]).where("symbol_a < symbol_b")
     gap = (F.col("alpha_a") - F.col("alpha_b")) / F.col("scale")
     loss = F.ln(1 + F.exp(-F.signum(gap) * (F.col("q50_a") - F.col("q50_b")) / F.col("scale")))
-    return pairs.where(F.abs(gap) > margin).groupBy("ts").agg(F.count("*").alias("pairs"), F.avg(loss).alias("loss"))
+    return pairs.where(F.abs(gap) > margin).groupBy(*keys, "ts").agg(F.count("*").alias("pairs"), F.avg(loss).alias("loss"))
 
 
 def regression(rows: DataFrame, truth: str, prediction: str, *keys: str) -> DataFrame:

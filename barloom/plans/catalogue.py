@@ -106,18 +106,17 @@ def a15_split_ratio(spark, folder):
     return t(spark, folder, "lineitem").withColumn("r", fn.split_ratio(text)).where("r is not null").select("l_orderkey", "l_linenumber", "r.price_factor", "r.share_multiplier")
 
 
-@query(f"WITH {BARS}, ret AS (SELECT ts, arg_max(price, k) AS ac FROM o WHERE k % 3 = 0 GROUP BY ts) SELECT b.ts, {r('close')}, round(ac, 6) + 0 AS adjusted_close, 0.0::DOUBLE AS volume FROM bars b JOIN ret ON b.ts = ret.ts WHERE symbol = 'ALL'")
+@query(f"WITH {BARS}, ret AS (SELECT ts, arg_max(price, k) AS ac FROM o GROUP BY ts) SELECT b.ts, {r('close')}, round(ac, 6) + 0 AS adjusted_close, 0.0::DOUBLE AS volume FROM bars b JOIN ret ON b.ts = ret.ts WHERE symbol = 'ALL'")
 def a21_index_join(spark, folder):
     prices = src.region_bars(spark, folder).where("symbol = 'ALL'").select("ts", "close")
-    totals = src.order_trades(spark, folder).where("k % 3 = 0").select("ts", F.col("price").alias("total_return"), F.col("k").alias("line"))
+    totals = src.order_trades(spark, folder).select("ts", F.col("price").alias("total_return"), F.col("k").alias("line"))
     return payloads.index_bars(prices, totals)
 
 
-@query("SELECT CAST(o_orderdate AS DATE) AS ts FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1996-01-01' AND isodow(o_orderdate) < 6 GROUP BY 1")
+@query("SELECT CAST(o_orderdate AS DATE) AS ts FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY 1")
 def a31_sessions(spark, folder):
     days = t(spark, folder, "orders").select(F.to_date("o_orderdate").alias("ts")).distinct()
-    year = spark.sql("select explode(sequence(date'1995-01-01', date'1995-12-31', interval 1 day)) as ts").where("weekday(ts) < 5")
-    return days.join(year, "ts")
+    return days.join(src.sessions(days), "ts")
 
 
 # checks
@@ -207,9 +206,9 @@ def d4_transitions(spark, folder):
     return store.transitions(m.bars(spark, folder), m.THRESHOLD).select("symbol", "ts", "extreme", "gap_days")
 
 
-@query("SELECT CAST(l_suppkey AS BIGINT) AS l_suppkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN max(l_returnflag) END AS flag, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN max(l_linestatus) END AS status FROM lineitem WHERE l_linenumber > 5 AND l_quantity > 40 GROUP BY l_suppkey")
+@query("SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN max(l_returnflag) END AS flag, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN max(l_linestatus) END AS status FROM lineitem GROUP BY l_orderkey")
 def d5_consistent_meta(spark, folder):
-    return t(spark, folder, "lineitem").where("l_linenumber > 5 and l_quantity > 40").groupBy("l_suppkey").agg(store.consistent("l_returnflag").alias("flag"), store.consistent("l_linestatus").alias("status"))
+    return t(spark, folder, "lineitem").groupBy("l_orderkey").agg(store.consistent("l_returnflag").alias("flag"), store.consistent("l_linestatus").alias("status"))
 
 
 INDEX = "ix AS (SELECT symbol, count(*) AS row_count, min(ts) AS start_at, max(ts) AS end_at, count(*) FILTER (extreme) AS extreme_count, count(*) FILTER (gap_days > 10) AS long_gap_count, 'ALL' AS benchmark_symbol, CASE WHEN symbol = 'ALL' THEN 'benchmark_self' ELSE 'eligible' END AS reason, symbol <> 'ALL' AS eligible FROM tr GROUP BY symbol)"
@@ -383,10 +382,13 @@ def f6_strength(spark, folder):
     return features.strength(m.bars(spark, folder))
 
 
-@query(f"WITH {FEATURES}, fr AS (SELECT symbol, ts, ret_1, ret_5, ret_20, vol, atr, sma_20, sma_50, {RSI} AS rsi FROM ft) SELECT a.symbol, a.ts, " + ", ".join(f"round(a.{c}, 5) + 0 AS {c}, round(b.{c}, 5) + 0 AS bench_{c}, round(a.{c} - b.{c}, 5) + 0 AS diff_{c}" for c in ("ret_1", "ret_5", "ret_20", "vol", "atr", "sma_20", "sma_50", "rsi")) + " FROM fr a JOIN (SELECT * FROM fr WHERE symbol = 'ALL') b ON a.ts = b.ts WHERE a.symbol <> 'ALL'", digits=5)
+ROWS = f", fr AS (SELECT f.symbol, f.ts, ret_1, ret_5, ret_20, vol, atr, volume_score, sma_20, sma_50, {RSI} AS rsi FROM ft f JOIN vs ON f.symbol = vs.symbol AND f.ts = vs.ts)"
+FEATURE_NAMES = ("ret_1", "ret_5", "ret_20", "vol", "atr", "volume_score", "sma_20", "sma_50", "rsi")
+
+
+@query(f"WITH {FEATURES}{VOLUME}{ROWS} SELECT a.symbol, a.ts, " + ", ".join(f"round(a.{c}, 4) + 0 AS {c}, round(b.{c}, 4) + 0 AS bench_{c}, round(a.{c} - b.{c}, 4) + 0 AS diff_{c}" for c in FEATURE_NAMES) + " FROM fr a JOIN (SELECT * FROM fr WHERE symbol = 'ALL') b ON a.ts = b.ts WHERE a.symbol <> 'ALL'", digits=4)
 def f7_feature_rows(spark, folder):
-    made = features.feature_rows(m.bars(spark, folder), m.BENCHMARK)
-    return made.select(*[c for c in made.columns if not c.endswith("volume_score")])
+    return features.feature_rows(m.bars(spark, folder), m.BENCHMARK)
 
 
 EMA = "list_reduce(list_prepend([{x}[1]], list_transform({x}[2:], lambda v: [v])), lambda a, v: list_append(a, a[len(a)] * (1 - {k}) + v[1] * {k}))"
@@ -498,24 +500,28 @@ def h3_multi(spark, folder):
     return metrics.over_horizons(metrics.by_horizon(m.predictions(spark, folder), "rule"), "rule")
 
 
-def cross_section(spark, folder):
-    return m.predictions(spark, folder).where("rule = 'momentum' and h = 5")
-
-
-@query(f"WITH {CROSS} SELECT ts, n, round(ic, 6) + 0 AS ic FROM ic")
+@query(f"WITH {CROSS} SELECT rule, CAST(h AS BIGINT) AS h, ts, n, round(ic, 6) + 0 AS ic FROM ic")
 def h5_rank_ic(spark, folder):
-    return metrics.rank_ic(cross_section(spark, folder))
+    return metrics.rank_ic(m.predictions(spark, folder), "rule", "h")
 
 
-@query(f"WITH {CROSS} SELECT ts, {r('gross', 'turnover', 'net')} FROM ls")
+@query(f"WITH {CROSS} SELECT rule, CAST(h AS BIGINT) AS h, ts, {r('gross', 'turnover', 'net')} FROM ls")
 def h6_turnover(spark, folder):
-    return metrics.long_short(cross_section(spark, folder))
+    return metrics.long_short(m.predictions(spark, folder), "rule", "h")
 
 
-@query(f"WITH {CROSS}, wl AS (SELECT *, exp(sum(net) OVER (ORDER BY ts)) AS wealth FROM ls), fl AS (SELECT *, wealth / greatest(max(wealth) OVER (ORDER BY ts), 1) - 1 AS fall FROM wl) SELECT count(*) AS dates, round(avg(net), 5) + 0 AS mean_return, round(avg(net) / stddev_samp(net) * sqrt(252.0 / 5), 5) + 0 AS sharpe, round(least(min(fall), 0), 5) + 0 AS max_drawdown, round(avg(turnover), 5) + 0 AS turnover, round((SELECT avg(ic) FROM ic), 5) + 0 AS ic_mean, round((SELECT avg(ic) / stddev_samp(ic) FROM ic), 5) + 0 AS ic_ratio FROM fl", digits=5)
+@query(
+    f"""
+WITH {CROSS}, wl AS (SELECT *, exp(sum(net) OVER (PARTITION BY rule, h ORDER BY ts)) AS wealth FROM ls),
+fl AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY rule, h ORDER BY ts), 1) - 1 AS fall FROM wl),
+ik AS (SELECT rule, h, avg(ic) AS ic_mean, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) ELSE 0 END AS ic_ratio FROM ic GROUP BY rule, h),
+fs AS (SELECT rule, h, count(*) AS dates, avg(net) AS mean_return, CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) ELSE 0 END * sqrt(252.0 / h) AS sharpe, least(min(fall), 0) AS max_drawdown, avg(turnover) AS turnover FROM fl GROUP BY rule, h)
+SELECT fs.rule, CAST(fs.h AS BIGINT) AS h, dates, {r('mean_return', 'sharpe', 'max_drawdown', 'turnover', 'ic_mean', 'ic_ratio', digits=5)} FROM fs LEFT JOIN ik ON fs.rule = ik.rule AND fs.h = ik.h""",
+    digits=5,
+)
 def h7_portfolio(spark, folder):
-    cross = cross_section(spark, folder)
-    return metrics.portfolio(metrics.long_short(cross), metrics.rank_ic(cross), 5)
+    cross = m.predictions(spark, folder)
+    return metrics.portfolio(metrics.long_short(cross, "rule", "h"), metrics.rank_ic(cross, "rule", "h"), "rule", "h")
 
 
 @query(f"WITH {PREDICTIONS} SELECT rule, ts, round(avg(pin / scale), 6) + 0 AS loss, count(*) AS n FROM pd GROUP BY rule, ts")
@@ -523,13 +529,19 @@ def h8_daily(spark, folder):
     return metrics.daily(m.predictions(spark, folder), "rule")
 
 
-@query(f"WITH {PREDICTIONS}, dl AS (SELECT rule, ts, avg(pin / scale) AS loss FROM pd GROUP BY rule, ts) SELECT round(avg(a.loss - b.loss), 6) + 0 AS difference, count(*) FILTER (a.ts IS NOT NULL AND b.ts IS NOT NULL) AS dates, count(*) FILTER (a.ts IS NULL OR b.ts IS NULL) AS unmatched FROM (SELECT * FROM dl WHERE rule = 'momentum') a FULL JOIN (SELECT * FROM dl WHERE rule = 'zero') b ON a.ts = b.ts")
+LOSSES = ", dl AS (SELECT rule, ts, avg(pin / scale) AS loss FROM pd GROUP BY rule, ts), zl AS (SELECT ts, loss AS b FROM dl WHERE rule = 'zero'), dd AS (SELECT rule, a.ts, loss, b FROM dl a LEFT JOIN zl ON a.ts = zl.ts WHERE rule <> 'zero')"
+
+
+@query(f"WITH {PREDICTIONS}{LOSSES} SELECT rule, round(avg(loss - b), 6) + 0 AS difference, count(b) AS dates, count(*) + (SELECT count(*) FROM zl) - 2 * count(b) AS unmatched FROM dd GROUP BY rule")
 def h9_paired_mean(spark, folder):
     losses = metrics.daily(m.predictions(spark, folder), "rule")
-    return metrics.paired(losses.where("rule = 'momentum'"), losses.where("rule = 'zero'"))
+    return metrics.paired(losses.where("rule <> 'zero'"), losses.where("rule = 'zero'"), "rule")
+
+
+DIGESTS = "ds AS (SELECT month, symbol, sha256(string_agg(CAST(ts AS VARCHAR), ',' ORDER BY ts)) AS d, count(*) AS n, min(ts) AS a, max(ts) AS b FROM p GROUP BY month, symbol)"
 
 
-@query(f"WITH {LABELS}, p AS (SELECT DISTINCT symbol, ts, strftime(ts, '%Y-%m') AS month FROM lab) SELECT month, sha256(string_agg(symbol || ',' || CAST(ts AS VARCHAR), ';' ORDER BY symbol, ts)) AS digest, count(*) AS samples, min(ts) AS first_at, max(ts) AS last_at FROM p GROUP BY month")
+@query(f"WITH {LABELS}, p AS (SELECT DISTINCT symbol, ts, strftime(ts, '%Y-%m') AS month FROM lab), {DIGESTS} SELECT month, sha256(string_agg(symbol || ',' || d, ';' ORDER BY symbol)) AS digest, CAST(sum(n) AS BIGINT) AS samples, min(a) AS first_at, max(b) AS last_at FROM ds GROUP BY month")
 def h10_membership(spark, folder):
     return metrics.membership(m.labels(spark, folder))
 
@@ -555,9 +567,9 @@ def h20_state_reduce(spark, folder):
     return t(spark, folder, "orders").groupBy("o_custkey").agg(F.min_by("o_orderstatus", level).alias("state"))
 
 
-@query(f"WITH {CROSS}, x AS (SELECT a.ts, (a.alpha - b.alpha) / a.scale AS gap, (a.q50 - b.q50) / a.scale AS d FROM rk a JOIN rk b ON a.ts = b.ts AND a.symbol < b.symbol) SELECT ts, count(*) AS pairs, round(avg(ln(1 + exp(-sign(gap) * d))), 6) + 0 AS loss FROM x WHERE abs(gap) > 0.01 GROUP BY ts")
+@query(f"WITH {CROSS}, x AS (SELECT a.rule, a.h, a.ts, (a.alpha - b.alpha) / a.scale AS gap, (a.q50 - b.q50) / a.scale AS d FROM rk a JOIN rk b ON a.rule = b.rule AND a.h = b.h AND a.ts = b.ts AND a.symbol < b.symbol) SELECT rule, CAST(h AS BIGINT) AS h, ts, count(*) AS pairs, round(avg(ln(1 + exp(-sign(gap) * d))), 6) + 0 AS loss FROM x WHERE abs(gap) > 0.01 GROUP BY rule, h, ts")
 def g16_pairs(spark, folder):
-    return metrics.pair_losses(cross_section(spark, folder))
+    return metrics.pair_losses(m.predictions(spark, folder), "rule", "h")
 
 
 def probe_rows(spark, folder):
@@ -603,15 +615,15 @@ def i9_union(spark, folder):
     return store.union_all([src.region_bars(spark, folder).select("symbol", "ts", "close"), src.brand_bars(spark, folder).select("symbol", "ts", "close")])
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT l_suppkey FROM lineitem")
 def i11_except(spark, folder):
-    return t(spark, folder, "customer").select("c_custkey").exceptAll(t(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    return t(spark, folder, "customer").select("c_custkey").exceptAll(t(spark, folder, "lineitem").select(F.col("l_suppkey").alias("c_custkey")).distinct())
 
 
-@query(f"WITH {CUTOFFS}{FIXED} SELECT symbol, ts FROM fx WHERE split = 'train' INTERSECT SELECT symbol, ts FROM fx WHERE split <> 'train'")
+@query(f"WITH {CUTOFFS}{FIXED} SELECT ts FROM fx WHERE split = 'train' INTERSECT SELECT ts FROM fx WHERE split = 'label_crosses'")
 def i12_intersect(spark, folder):
     s = fixed_split(spark, folder)
-    return s.where("split = 'train'").select("symbol", "ts").intersect(s.where("split <> 'train'").select("symbol", "ts"))
+    return s.where("split = 'train'").select("ts").intersect(s.where("split = 'label_crosses'").select("ts"))
 
 
 NUMBERS = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN format('{:,.2f}', o_totalprice) WHEN 1 THEN '+' || CAST(o_orderkey AS VARCHAR) WHEN 2 THEN '--' WHEN 3 THEN ' ' ELSE 'x1' END AS s FROM orders"

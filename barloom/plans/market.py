@@ -14,20 +14,16 @@ TRAIN_END, VALIDATION_END, TEST_END = "1996-01-01", "1997-01-01", "1998-01-01"
 
 
 def bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Adjusted daily bars of the regions and the benchmark.
-
-    Bars, labels and forecasts are read many times by what follows, so they are persisted: Spark
-    makes them once a session, spills them to disk, and makes lost blocks again.
-    """
-    return adjust.back_adjust(src.region_bars(spark, folder), src.order_actions(spark, folder)).persist()
+    """Adjusted daily bars of the regions and the benchmark. A caller that reads them often persists them itself."""
+    return adjust.back_adjust(src.region_bars(spark, folder), src.order_actions(spark, folder))
 
 
 def cutoffs(spark: SparkSession, folder: str) -> DataFrame:
-    return store.candidates(bars(spark, folder), BENCHMARK, WINDOW, HORIZON, THRESHOLD).persist()
+    return store.candidates(bars(spark, folder), BENCHMARK, WINDOW, HORIZON, THRESHOLD)
 
 
 def labels(spark: SparkSession, folder: str) -> DataFrame:
-    return adjust.alphas(bars(spark, folder), BENCHMARK, HORIZONS).persist()
+    return adjust.alphas(bars(spark, folder), BENCHMARK, HORIZONS)
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +34,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     scales = adjust.robust_scales(train).select("h", "scale")
     signals = all_labels.join(features.momentum(bars(spark, folder), BENCHMARK), ["symbol", "ts"])
     made = metrics.calibrated(metrics.rule_medians(train, signals, scales), is_train)
-    return made.where(~is_train).join(F.broadcast(scales), "h").persist()  # a row a horizon
+    return made.where(~is_train).join(F.broadcast(scales), "h")  # a row a horizon
 
 
 def candidate_ranges(spark: SparkSession, folder: str) -> DataFrame:

@@ -61,14 +61,14 @@ CORR = "CASE WHEN (count(*) * sum({x} * {x}) - sum({x}) * sum({x})) * (count(*)
 CROSS = (
     PREDICTIONS
     + """,
-rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY ts ORDER BY alpha, symbol) AS DOUBLE) AS ry, CAST(row_number() OVER (PARTITION BY ts ORDER BY q50, symbol) AS DOUBLE) AS rs_, count(*) OVER (PARTITION BY ts) AS n FROM pd WHERE rule = 'momentum' AND h = 5),
-ic AS (SELECT ts, count(*) AS n, """
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY rule, h, ts ORDER BY alpha, symbol) AS DOUBLE) AS ry, CAST(row_number() OVER (PARTITION BY rule, h, ts ORDER BY q50, symbol) AS DOUBLE) AS rs_, count(*) OVER (PARTITION BY rule, h, ts) AS n FROM pd),
+ic AS (SELECT rule, h, ts, count(*) AS n, """
     + CORR.format(x="ry", y="rs_")
-    + """ AS ic FROM rk WHERE n >= 3 GROUP BY ts HAVING max(q50) > min(q50)),
-sd AS (SELECT ts, symbol, alpha, CASE WHEN rs_ > n - b THEN 1 WHEN rs_ <= b THEN -1 END AS side, b FROM (SELECT *, greatest(1, n // 5) AS b FROM rk WHERE n >= 3)),
-hw AS (SELECT ts, symbol, alpha, side, side * 0.5 / b AS weight, dense_rank() OVER (ORDER BY ts) AS turn FROM sd WHERE side IS NOT NULL),
-ch AS (SELECT coalesce(a.turn, b.turn + 1) AS turn, sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))) AS turnover FROM hw a FULL JOIN hw b ON a.turn = b.turn + 1 AND a.symbol = b.symbol GROUP BY 1),
-ls AS (SELECT g.ts, gross, turnover, gross - turnover * 10.0 / 10000 AS net FROM (SELECT ts, any_value(turn) AS turn, avg(alpha) FILTER (side = 1) - avg(alpha) FILTER (side = -1) AS gross FROM hw GROUP BY ts) g JOIN ch ON g.turn = ch.turn)"""
+    + """ AS ic FROM rk WHERE n >= 3 GROUP BY rule, h, ts HAVING max(q50) > min(q50)),
+sd AS (SELECT rule, h, ts, symbol, alpha, CASE WHEN rs_ > n - b THEN 1 WHEN rs_ <= b THEN -1 END AS side, b FROM (SELECT *, greatest(1, n // 5) AS b FROM rk WHERE n >= 3)),
+hw AS (SELECT rule, h, ts, symbol, alpha, side, side * 0.5 / b AS weight, dense_rank() OVER (PARTITION BY rule, h ORDER BY ts) AS turn FROM sd WHERE side IS NOT NULL),
+ch AS (SELECT coalesce(a.rule, b.rule) AS rule, coalesce(a.h, b.h) AS h, coalesce(a.turn, b.turn + 1) AS turn, sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))) AS turnover FROM hw a FULL JOIN hw b ON a.rule = b.rule AND a.h = b.h AND a.turn = b.turn + 1 AND a.symbol = b.symbol GROUP BY 1, 2, 3),
+ls AS (SELECT g.rule, g.h, g.ts, gross, turnover, gross - turnover * 10.0 / 10000 AS net FROM (SELECT rule, h, ts, any_value(turn) AS turn, avg(alpha) FILTER (side = 1) - avg(alpha) FILTER (side = -1) AS gross FROM hw GROUP BY rule, h, ts) g JOIN ch ON g.rule = ch.rule AND g.h = ch.h AND g.turn = ch.turn)"""
 )
 
 

@@ -85,3 +85,9 @@ def synthetic_bars(spark: SparkSession, symbols: int, days: int, start: str = "2
     close = F.col("base") * F.exp(0.0003 * F.col("i") + 0.01 * F.sin(F.col("i") / 13 + F.col("base")))
     made = moved.withColumn("close", close)
     return made.select("symbol", "ts", (F.col("close") * 0.998).alias("open"), (F.col("close") * 1.006).alias("high"), (F.col("close") * 0.994).alias("low"), "close", (1e6 + 100 * F.col("i")).alias("volume"))
+
+
+def sessions(days: DataFrame) -> DataFrame:
+    """The weekdays from the first to the last of some dates."""
+    span = days.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).where("a is not null")
+    return span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("ts")).where(F.weekday("ts") < 5)
