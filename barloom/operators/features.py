@@ -123,12 +123,14 @@ def decomposed(bars: DataFrame, size: int = 25) -> DataFrame:
     return made.select("symbol", "ts", "trend", (F.col("adjusted_close") - F.col("trend")).alias("seasonal"))
 
 
-def relative_windows(bars: DataFrame, size: int = 20) -> DataFrame:
-    """Closes as logs against the last one, and volumes as scores of their logs, in whole windows."""
+def relative_windows(bars: DataFrame, size: int = 20, floored: bool = False) -> DataFrame:
+    """Closes as logs against the last one, and volumes as scores of their logs, in whole windows;
+    F8 if `floored`: a deviation under 1e-6 counts as that, and not as one."""
     held = bars.withColumn("c", F.collect_list("adjusted_close").over(_w(1 - size))).withColumn("n", F.collect_list(F.log1p("split_adjusted_volume")).over(_w(1 - size))).where(F.size("c") == size)
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / size
     made = held.withColumn("m", mean(F.col("n"))).withColumn("s", F.sqrt(mean(F.transform("n", lambda x: (x - F.col("m")) * (x - F.col("m"))))))
-    score = F.transform("n", lambda x: (x - F.col("m")) / F.when(F.col("s") <= 1e-6, 1.0).otherwise(F.col("s")))
+    least = F.greatest("s", F.lit(1e-6)) if floored else F.when(F.col("s") <= 1e-6, 1.0).otherwise(F.col("s"))
+    score = F.transform("n", lambda x: (x - F.col("m")) / least)
     return made.select("symbol", "ts", F.transform("c", lambda x: F.ln(F.greatest(x, F.lit(TINY)) / F.greatest("adjusted_close", F.lit(TINY)))).alias("closes"), score.alias("volumes"))
 
 
@@ -160,3 +162,73 @@ def amounts(bars: DataFrame, size: int = 20) -> DataFrame:
     spread = F.greatest(F.stddev_pop("amount").over(_w(1 - size)), F.lit(1e-5))
     score = (F.col("amount") - F.avg("amount").over(_w(1 - size))) / spread
     return made.select("symbol", "ts", F.least(F.greatest(score, F.lit(-5.0)), F.lit(5.0)).alias("amount_score"))
+
+
+SIGNALS = ("momentum_5d", "reversal_5d", "ma_crossover", "rsi", "macd", "volatility_scaled")
+
+
+def all_signals(bars: DataFrame, benchmark: str, size: int = 50) -> DataFrame:
+    """G1's six signals against the benchmark: momentum and its reverse, and in units of the relative
+    volatility of the last 20 changes the crossing of averages, relative strength, the distance of the
+    relative MACD (over up to `size` bars) from its line, and scaled momentum."""
+    base = rule_signals(bars, benchmark)
+    price = F.ln(F.greatest("adjusted_close", F.lit(TINY)))
+    marks = bars.where(F.col("symbol") == benchmark).select("ts", price.alias("b"))
+    own = bars.where(F.col("symbol") != benchmark).join(marks, "ts").withColumn("rel", price - F.col("b"))
+    held = own.withColumn("mom", F.col("rel") - F.lag("rel", 5).over(_w())).withColumn("spread", F.greatest(F.stddev_pop("rel").over(_w(1 - size)), F.lit(1e-6))).withColumn("x", F.collect_list("rel").over(_w(1 - size)))
+    made = held.where("mom is not null").withColumn("line", F.zip_with(ema(F.col("x"), 12), ema(F.col("x"), 26), lambda f, s: f - s))
+    gap = (F.element_at("line", -1) - F.element_at(ema(F.col("line"), 9), -1)) / F.col("spread")
+    made = made.select("symbol", "ts", "mom", F.least(F.greatest(gap, F.lit(-4.0)), F.lit(4.0)).alias("gap"))
+    both = base.join(made, ["symbol", "ts"])
+    return both.select("symbol", "ts", F.col("mom").alias("momentum_5d"), (-F.col("mom")).alias("reversal_5d"), F.col("crossing").alias("ma_crossover"), F.col("strength_signal").alias("rsi"), (F.col("gap") * F.col("relvol")).alias("macd"), F.col("scaled_momentum").alias("volatility_scaled"))
+
+
+def historical_scales(bars: DataFrame, benchmark: str, size: int = 64) -> DataFrame:
+    """Eight scales and twelve descriptors of the last 61 bars or more, volumes as of the
+    cutoff. a is the asset, b the benchmark, d their difference; dates of both alone count."""
+    marks = bars.where(F.col("symbol") == benchmark).select("ts", F.col("adjusted_close").alias("b_close"), F.col("split_adjusted_volume").alias("b_shares"), F.col("volume").alias("b_volume"))
+    own = bars.where(F.col("symbol") != benchmark).join(marks, "ts")
+    price, mark = (F.ln(F.greatest(c, F.lit(TINY))) for c in ("adjusted_close", "b_close"))
+    made = own.withColumn("a", price - F.lag(price).over(_w())).withColumn("b", mark - F.lag(mark).over(_w())).withColumn("d", F.col("a") - F.col("b"))
+    std = {f"std_{c}_{n}": F.stddev_pop(c).over(_w(1 - n)) for n in (20, 60) for c in "abd"}
+    cv = {f"cv_{c}": F.stddev_pop(x).over(_w(1 - size)) / F.avg(x).over(_w(1 - size)) for c, x in (("a", "adjusted_close"), ("b", "b_close"))}
+    mean = {f"mean_{c}_{n}": F.avg(c).over(_w(1 - n)) for n in (5, 20) for c in "abd"}
+    cov = F.covar_pop("a", "b").over(_w(-59))
+    floor = lambda x: F.greatest(x, F.lit(1e-8))
+    made = made.select("symbol", "ts", *[v.alias(k) for k, v in (std | cv | mean).items()], cov.alias("cov"), F.sqrt(F.avg(F.pow(F.least("d", F.lit(0.0)), 2)).over(_w(-19))).alias("downside_20"), *[_volume_ratio(v, s).alias(n) for n, v, s in (("volume_a", "volume", "split_adjusted_volume"), ("volume_b", "b_volume", "b_shares"))], F.ln(F.col("b_close") / floor(F.max("b_close").over(_w(-59)))).alias("drawdown_b"), F.count("a").over(_w(-59)).alias("n"))
+    made = made.where("n = 60").withColumn("corr", F.col("cov") / floor(F.col("std_a_60") * F.col("std_b_60"))).withColumn("beta", F.col("cov") / floor(F.pow("std_b_60", 2)))
+    return made.select("symbol", "ts", *SCALE_NAMES)
+
+
+SCALE_NAMES = ("std_a_20", "std_b_20", "std_d_20", "std_a_60", "std_b_60", "std_d_60", "cv_a", "cv_b", "mean_a_5", "mean_b_5", "mean_d_5", "mean_a_20", "mean_b_20", "mean_d_20", "corr", "beta", "downside_20", "volume_a", "volume_b", "drawdown_b")
+
+
+def _volume_ratio(volume: str, shares: str):
+    rate = F.when(F.col(volume) > 0, F.col(shares) / F.col(volume)).otherwise(1.0)
+    return F.ln((F.col(volume) + 1) / (F.avg(shares).over(_w(-19)) / rate + 1))
+
+
+def scale_calibration(rows: DataFrame, positive: int = 8) -> DataFrame:
+    """of each scale feature the median and quartile distance (a thousandth at least), of logs for
+    the first `positive` and asinh for the others. All features of a row go through one aggregation."""
+    shaped = [(F.ln(F.col(c) + 1e-8) if i < positive else F.asinh(c)).alias(c) for i, c in enumerate(SCALE_NAMES)]
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("x")) for c, x in zip(SCALE_NAMES, shaped, strict=True)])).alias("y"))
+    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    return long.select(F.col("y.feature").alias("feature"), F.col("y").getField("x").alias("x")).groupBy("feature").agg(q, F.count("*").alias("n")).select("feature", "n", F.col("q")[1].alias("center"), F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-3)).alias("scale"))
+
+
+def causal_features(rows: DataFrame, columns: list[str], outputs: int) -> DataFrame:
+    """tanh of a fixed sine projection of the values, half their mean so far and a quarter of their change."""
+    import math
+
+    so_far = _w(Window.unboundedPreceding)
+    mixed = rows.withColumns({c: F.col(c) + 0.5 * F.avg(c).over(so_far) + 0.25 * (F.col(c) - F.coalesce(F.lag(c).over(_w()), F.col(c))) for c in columns})
+    sines = [[math.sin(i * outputs + j + 1.0) for j in range(outputs)] for i in range(len(columns))]
+    norm = [max(1e-6, math.sqrt(sum(row[j] ** 2 for row in sines))) for j in range(outputs)]
+    out = []
+    for j in range(outputs):
+        total = F.lit(0.0)
+        for i, c in enumerate(columns):
+            total = total + F.col(c) * (sines[i][j] / norm[j])
+        out.append(F.tanh(total).alias(f"hidden_{j}"))
+    return mixed.select("symbol", "ts", *out)

@@ -138,19 +138,17 @@ def paired(candidates: DataFrame, reference: DataFrame, key: str) -> DataFrame:
 def block_intervals(differences: DataFrame, key: str, block: int = 14, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """H9: by key the 2.5 and 97.5 percent points of a circular moving-block bootstrap over its dates.
 
-    A round a row: each draws its blocks by hashes of seed, round and block. A key holds a number a
-    date; with fewer than two blocks of dates it has no interval.
+    Each round draws its blocks by hashes of seed, round and block, and is a row for each of its dates;
+    with fewer than two blocks of dates a key has no interval.
     """
-    series = differences.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "difference"))), lambda x: x["difference"]).alias("x")).withColumn("n", F.size("x"))
-    drawn = series.where(F.col("n") >= 2 * block).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    start = lambda b: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), b.cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1), start)
-    placed = drawn.withColumn("starts", starts)
-    at = lambda i: F.get("x", ((F.get("starts", F.floor(i / block).cast("int")) + i % block) % F.col("n")).cast("int"))
-    total = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda s, i: s + at(i))
-    means = placed.select(key, "n", (total / F.col("n")).alias("mean"))
-    found = means.groupBy(key).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return series.select(key, F.col("n").alias("dates")).join(found, key, "left").select(key, "dates", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    numbered = differences.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("ts")) - 1)  # a row a date
+    sizes = differences.groupBy(key).agg(F.count("*").alias("n"))
+    drawn = sizes.where(F.col("n") >= 2 * block).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)))
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
+    placed = drawn.select(key, "n", "round", "b", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j")).where(F.col("b") * block + F.col("j") < F.col("n"))
+    taken = placed.select(key, "round", ((F.col("start") + F.col("j")) % F.col("n")).cast("int").alias("at")).join(numbered.select(key, "at", "difference"), [key, "at"])
+    found = taken.groupBy(key, "round").agg(F.avg("difference").alias("mean")).groupBy(key).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return sizes.join(found, key, "left").select(key, F.col("n").alias("dates"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def membership(predictions: DataFrame) -> DataFrame:
@@ -260,7 +258,8 @@ def codes(rows: DataFrame) -> DataFrame:
     return rows.select("symbol", "ts").join(dates, "ts").join(names, "symbol")
 
 
-def forecast_payload(predictions: DataFrame) -> DataFrame:
-    """By symbol and date one JSON text of the horizons' quantiles and interval widths."""
-    by_h = F.array_sort(F.collect_list(F.struct("h", *[F.round(n, 6).alias(n) for n in NAMES])))
-    return predictions.groupBy("symbol", "ts").agg(F.to_json(by_h).alias("forecast"), F.count("*").alias("horizons"))
+def forecast_payload(predictions: DataFrame, *keys: str) -> DataFrame:
+    """By the keys one JSON text of the horizons' quantiles, in four digits."""
+    one = F.format_string('{"h":%d,"q10":%.4f,"q50":%.4f,"q90":%.4f}', F.col("h"), *[F.round(n, 4) + 0.0 for n in NAMES])
+    by_h = F.transform(F.array_sort(F.collect_list(F.struct(F.col("h"), one.alias("text")))), lambda x: x["text"])
+    return predictions.groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(by_h, ","), F.lit("]")).alias("forecast"), F.count("*").alias("horizons"))

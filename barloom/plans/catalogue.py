@@ -57,7 +57,12 @@ def a6_envelope_roundtrip(spark, folder):
     return src.from_envelopes(src.to_envelopes(made), made.schema)
 
 
-@query()
+@query(
+    """
+WITH x AS (SELECT 'S' || lpad(CAST(k AS VARCHAR), 4, '0') AS symbol, CAST(DATE '2022-01-03' + CAST(i AS INTEGER) AS DATE) AS ts, i, (50 + 10 * k) * exp(0.0003 * i + 0.01 * sin(i / 13.0::DOUBLE + 50 + 10 * k)) AS c FROM range(0, 511) d(i), range(0, 4) n(k))
+SELECT symbol, ts, round(c * 0.998::DOUBLE, 5) + 0 AS open, round(c * 1.006::DOUBLE, 5) + 0 AS high, round(c * 0.994::DOUBLE, 5) + 0 AS low, round(c, 5) + 0 AS close, CAST(1e6 + 100 * i AS DOUBLE) AS volume FROM x WHERE isodow(ts) < 6""",
+    digits=5,
+)
 def a8_synthetic(spark, folder):
     return src.synthetic_bars(spark, 4, 360)
 
@@ -666,15 +671,24 @@ def p5_warm_cosine(spark, folder):
     return t(spark, folder, "events").select("event_id", fn.warm_cosine(F.col("event_id") % 200, 20, 200).alias("factor"))
 
 
-@query()
+@query(
+    """
+WITH v AS (SELECT o_custkey, list(o_totalprice ORDER BY o_orderkey) AS v FROM orders GROUP BY 1),
+f AS (SELECT o_custkey, list_reduce(list_prepend({'best': 'Infinity'::DOUBLE, 'stale': 0, 'rate': 1.0::DOUBLE}, list_transform(v, lambda x: {'best': x, 'stale': 0, 'rate': 1.0::DOUBLE})),
+      lambda a, b: {'best': least(a.best, b.best), 'stale': CASE WHEN b.best < a.best OR a.stale >= 1 THEN 0 ELSE a.stale + 1 END, 'rate': CASE WHEN b.best < a.best OR a.stale < 1 THEN a.rate ELSE greatest(a.rate * 0.3::DOUBLE, 0.09::DOUBLE) END}) AS s FROM v)
+SELECT o_custkey, round(s.rate, 6) + 0 AS rate FROM f"""
+)
 def p4_plateau(spark, folder):
     held = t(spark, folder, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("v"))
     return held.select("o_custkey", F.element_at(fn.plateau_rate(F.transform("v", lambda x: x["o_totalprice"])), -1).alias("rate"))
 
 
-@query()
+PAYLOAD = """'{"h":' || h || ',"q10":' || printf('%.4f', round(q10, 4) + 0) || ',"q50":' || printf('%.4f', round(q50, 4) + 0) || ',"q90":' || printf('%.4f', round(q90, 4) + 0) || '}'"""
+
+
+@query(f"WITH {PREDICTIONS} SELECT rule, symbol, ts, '[' || string_agg({PAYLOAD}, ',' ORDER BY h) || ']' AS forecast, count(*) AS horizons FROM pd GROUP BY rule, symbol, ts")
 def h14_payload(spark, folder):
-    return metrics.forecast_payload(m.predictions(spark, folder).where("rule = 'momentum'"))
+    return metrics.forecast_payload(m.predictions(spark, folder), "rule", "symbol", "ts")
 
 
 @query("SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, round(arg_min(value, (ts, event_id)), 6) + 0 AS open, round(max(value), 6) + 0 AS high, round(min(value), 6) + 0 AS low, round(arg_max(value, (ts, event_id)), 6) + 0 AS close, CAST(count(*) AS DOUBLE) AS volume FROM events WHERE value > 0 GROUP BY 1, 2")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom import functions as fn
-from barloom.operators import adjust, features, metrics, models, payloads, store, windows
+from barloom.operators import adjust, features, intake, metrics, models, payloads, samples, store, windows
 from barloom.plans import market
 from barloom.sources import bars as src
 from barloom.streaming import append_bars, hourly
@@ -146,9 +146,64 @@ def test_empty_tables(spark):
     assert features.feature_rows(none, "ALL").count() == 0
 
 
-def test_bootstrap_interval():
-    assert metrics.block_interval([-0.02] * 100) == (pytest.approx(-0.02), pytest.approx(-0.02))
-    assert metrics.block_interval([0.1]) is None
+def test_bootstrap_interval(spark):
+    days = [(k, n) for n in ("a", "b") for k in range(100 if n == "a" else 20)]
+    rows = spark.createDataFrame([(n, k, -0.02) for k, n in days] + [("c", k, float(k % 10)) for k in range(60)], "rule string, ts int, difference double")
+    got = {r.rule: r for r in metrics.block_intervals(rows, "rule", rounds=100).collect()}
+    assert got["a"].low == pytest.approx(-0.02) and got["a"].high == pytest.approx(-0.02) and got["a"].dates == 100
+    assert got["b"].low is None and got["b"].dates == 20
+    assert 3.5 < got["c"].low < 4.5 < got["c"].high < 5.5
+
+
+def test_names_and_types_of_vendors(spark):
+    rows = spark.createDataFrame([("2024-01-02", " ab ", "1", "2", "0.5", "x", "7", None)], "`Date` string, `TICKER` string, open string, High string, low string, close string, volume string, Extra string")
+    made = intake.normalised(rows)
+    assert made.columns == ["ts", "symbol", "asset_type", "open", "high", "low", "close", "volume"]
+    r = made.first()
+    assert (r.symbol, r.asset_type, r.open, r.close) == ("AB", "stock", 1.0, None)
+    with pytest.raises(ValueError, match="missing columns: volume"):
+        intake.normalised(rows.drop("volume"))
+    with pytest.raises(ValueError, match="same meaning: ts"):
+        intake.normalised(rows.withColumn("timestamp", F.lit("x")))
+    assert intake.normalised(rows.drop("TICKER"), default_symbol="zz").first().symbol == "ZZ"
+
+
+@pytest.mark.parametrize(
+    ("change", "rule"),
+    [({"ts": None}, "missing_ts"), ({"symbol": " "}, "empty_symbol"), ({"asset_type": "coin"}, "asset_type"), ({"provider": ""}, "empty_provider"), ({"close": float("nan")}, "non_finite"), ({"volume": float("inf")}, "non_finite"), ({"low": 0.0}, "non_positive_price"), ({"adjusted_close": 0.0}, "non_positive_adjusted_close"), ({"split_adjusted_volume": -1.0}, "negative_split_volume"), ({"volume": -1.0}, "negative_volume"), ({"high": 1.5}, "high_below"), ({"low": 1.7}, "low_above"), ({}, "duplicate_key")],
+)
+def test_checks_fail_closed(spark, change, rule):
+    good = {"ts": 1, "symbol": "A", "asset_type": "stock", "open": 1.6, "high": 2.0, "low": 1.0, "close": 1.7, "volume": 5.0, "adjusted_close": 1.7, "split_adjusted_volume": 5.0, "provider": "p"}
+    schema = "ts int, symbol string, asset_type string, open double, high double, low double, close double, volume double, adjusted_close double, split_adjusted_volume double, provider string"
+    frame = lambda *rows: spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    assert intake.validated(frame(good, good | {"ts": 2})).count() == 2
+    with pytest.raises(Exception, match=rule):
+        intake.validated(frame(good, good | {"ts": 2 if change else 1} | change)).collect()
+
+
+def test_observation_of_one_symbol(spark, bars):
+    with_type = adjust.ensure_anchors(bars)
+    name = with_type.where(F.col("symbol") != "ALL").first().symbol
+    last = with_type.where(F.col("symbol") == name).agg(F.max("ts")).first()[0]
+    try:
+        one = intake.observation(with_type, "ALL", 3, str(last), name).first()
+    except ValueError:
+        one = None
+    if one:
+        assert one.symbol == name and len(one.window) == 3 and one.window[-1].bench_close == 1
+    with pytest.raises(ValueError, match="is not among"):
+        intake.observation(with_type, "ALL", 3, str(last), "nobody")
+    with pytest.raises(ValueError, match="bars up to"):
+        intake.observation(with_type, "ALL", 10_000, str(last), name)
+    with pytest.raises(ValueError, match="1, 2 or 3"):
+        intake.horizons_from(4)
+    assert intake.horizons_from(2)[-1] == 14
+    with pytest.raises(ValueError, match="cache_hit"):
+        intake.merged_requests([with_type])
+    with pytest.raises(Exception, match="not finite"):
+        intake.strict_json(spark.createDataFrame([(float("nan"),)], "x double")).collect()
+    with pytest.raises(ValueError, match="same columns"):
+        samples.joined_batches([with_type, with_type.drop("ts")])
 
 
 def test_ridge_and_quantile_models(spark):
