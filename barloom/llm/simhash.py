@@ -38,11 +38,11 @@ from .components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at once, variants that are sorted at once, and fingerprints that a task shall hold.
-SHINGLES, VARIANTS, HELD = 1 << 15, 1 << 21, 1 << 20
+SHINGLES, VARIANTS, HELD = 1 << 15, 1 << 20, 1 << 20
 #: Slots by whose counts shingles are ordered, parts of these, bytes of a set's parities, members of a key that are paired by shifts.
 SLOTS, SLOT_PARTS, PARITY, SHIFTED = 1 << 20, 64, 64, 32
-#: Keys that a task shall hold, and members that all others of a key are compared with in the first round and times more in each further one.
-KEYS, PIVOTS, MORE = 1 << 20, 4, 16
+#: Keys that a task shall hold, rows that are taken apart at once, and members that all others of a key are compared with in the first round and times more in each further one.
+KEYS, SLICE, PIVOTS, MORE = 1 << 18, 1024, 4, 16
 
 
 def shingle_hashes(text: str, size: int, seed: int = 42) -> np.ndarray:
@@ -239,7 +239,7 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     parts = max(1, -(-int(nodes.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0]) // 8 // KEYS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             blobs = batch.column("keys").to_pylist()
             keys, m = np.frombuffer(b"".join(blobs), np.int64), np.array([len(x) // 8 for x in blobs], np.int64)
             place = np.arange(len(keys)) - np.repeat(np.cumsum(m) - m, m)
@@ -262,7 +262,7 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
 
 
 def compared(members: DataFrame, similarity: float, pivots: int) -> DataFrame:
-    """Pairs (a, b) of different roots that share a key and can be similar; (count, null) for keys with more to compare.
+    """Pairs (a, b) of different roots that share a key and can be similar; (key, null) for keys with more to compare.
 
     Of a key's members so many are compared with all others: those outside the largest root, which
     leaves nothing, or else those nearest to the majority of the members' parities.
@@ -275,7 +275,7 @@ def compared(members: DataFrame, similarity: float, pivots: int) -> DataFrame:
         bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(key), -1)[order]
         firsts = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
         sizes = np.diff(np.append(firsts, len(key)))
-        out, left = [np.zeros((0, 2), np.int64)], 0
+        out, left = [np.zeros((0, 2), np.int64)], []
 
         def add(i: np.ndarray, j: np.ndarray) -> None:
             go = np.flatnonzero(roots[i] != roots[j])
@@ -304,16 +304,16 @@ def compared(members: DataFrame, similarity: float, pivots: int) -> DataFrame:
                 spread = np.unpackbits(bits[own].view(np.uint8), axis=1, bitorder="little")
                 middle = np.packbits(2 * spread.sum(axis=0, dtype=np.int64) > m, bitorder="little").view(np.uint64)
                 chosen = own[np.argsort(np.bitwise_count(bits[own] ^ middle).sum(axis=1), kind="stable")[:pivots]]
-                left += 1
+                left.append(key[a])
             for i in chosen.tolist():
                 add(np.full(m, i), own)
             if len(out) > 256:
                 out[:] = [np.unique(np.concatenate(out), axis=0)]
         both = np.unique(np.concatenate(out), axis=0)
         both = pa.table({"a": both[:, 0], "b": both[:, 1]})
-        return pa.concat_tables([both, pa.table({"a": pa.array([left], pa.int64()), "b": pa.array([None], pa.int64())})]) if left else both
+        return pa.concat_tables([both, pa.table({"a": pa.array(left, pa.int64()), "b": pa.array([None] * len(left), pa.int64())})])
 
-    parts = max(1, -(-members.count() // (KEYS // 16)))
+    parts = max(1, -(-members.count() // (KEYS // 4)))
     return members.groupBy(F.pmod("key", F.lit(parts))).applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -348,42 +348,46 @@ def similar_sets(docs: DataFrame, words: int, similarity: float, radius: int, sc
         """Those whose whole texts are similar."""
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         wanted = nodes.join(wanted, "id", "left_semi").select("id", row_key("row.doc_id", "row.h").alias("k"), F.col("row.h").alias("h"))
+        wanted = scratch.keep(wanted, f"wanted-{turn}")  # a table, so that few of them are broadcast and the texts stay where they are
         rows = docs.select(row_key("doc_id", text_hash()).alias("k"), text_hash().alias("h"), text_of().alias("text"))
-        texts = scratch.keep(rows.join(wanted.hint("merge"), ["k", "h"]).groupBy("id").agg(F.min("text").alias("text")), f"texts-{turn}")
+        texts = scratch.keep(rows.join(wanted, ["k", "h"]).groupBy("id").agg(F.min("text").alias("text")), f"texts-{turn}")
         text = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
         found = scratch.keep(pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(verify, "a long, b long"), f"links-{turn}")
         scratch.drop(f"texts-{turn}")
         return found
 
-    tested = scratch.keep(print_pairs(nodes, radius, scratch), "pairs-prints")
-    found = verified(tested, "prints")
-    roots = scratch.keep(components(found, scratch, "components-prints"), "roots-prints")
-    pivots, more = PIVOTS, True
-    while more:
-        rooted = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        members = scratch.keep(shared_keys(rooted), f"members-{pivots}")
-        met = scratch.keep(compared(members.join(nodes.select("id", "parity"), "id"), similarity, pivots), f"met-{pivots}")
-        scratch.drop(f"members-{pivots}")
-        more = bool(met.where("b is null").head(1))
-        pairs = scratch.keep(met.where("b is not null").join(tested, ["a", "b"], "left_anti"), f"pairs-{pivots}")
-        scratch.drop(f"met-{pivots}")
-        if pairs.head(1):
-            tested, found = tested.union(pairs), found.union(verified(pairs, str(pivots)))
-            roots = scratch.keep(components(found, scratch, f"components-{pivots}"), f"roots-{pivots}")
-        pivots *= MORE
-    return known, nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "row", F.coalesce("root", "id").alias("root"))
+    members = scratch.keep(shared_keys(nodes.withColumn("root", F.col("id"))), "members-0")
+    pairs, left, found, tested, turn, pivots = print_pairs(nodes, radius, scratch), None, None, None, 0, PIVOTS
+    while True:
+        met = scratch.keep(compared(members.join(nodes.select("id", "parity"), "id"), similarity, pivots), f"met-{turn}")
+        more = met.where("b is not null")
+        pairs = scratch.keep(more.union(pairs).distinct() if tested is None else more.join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        tested = pairs if tested is None else tested.union(pairs)
+        left = scratch.keep(met.where("b is null").select(F.col("a").alias("key")), f"left-{turn}")
+        scratch.drop(f"met-{turn}")
+        if turn == 0 or pairs.head(1):
+            found = verified(pairs, str(turn)) if found is None else found.union(verified(pairs, str(turn)))
+            roots = scratch.keep(components(found, scratch, f"components-{turn}"), f"roots-{turn}").withColumnRenamed("node", "id")
+        if not left.head(1):
+            break
+        turn, pivots = turn + 1, pivots * MORE  # only the keys that are left, with the roots as they are now
+        again = members.join(left, "key", "left_semi").drop("root").join(roots, "id", "left")
+        again = scratch.keep(again.select("key", "id", F.coalesce("root", "id").alias("root"), "n", "place"), f"members-{turn}")
+        scratch.drop(f"members-{turn - 1}")
+        members = again
+    return known, nodes.join(roots, "id", "left").select("id", "row", F.coalesce("root", "id").alias("root"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """doc_id and the smallest doc_id of its group: texts whose sets of word shingles have a Jaccard
     similarity of `similarity` or more, directly or over others.
 
-    Near fingerprints of the sets, found by ball hashing, are verified on the whole texts first. Two
-    sets of the similarity asked for may yet have fingerprints far apart (at 0.8 they differ in a
-    tenth of the bits and more), and all of these are found by shared keys: in an order of all
-    shingles, rare ones first, both have one of the first fifth (at 0.8) of each set. All pairs of a
-    key that are in different components and that sizes, places and parities do not exclude are
-    verified too, so no pair is missed. Where a key has many members, those nearest to the middle are
+    Near fingerprints of the sets, found by ball hashing, are verified on the whole texts. Two sets of
+    the similarity asked for may yet have fingerprints far apart (at 0.8 they differ in a tenth of the
+    bits and more), and all of these are found by shared keys: in an order of all shingles, rare ones
+    first, both have one of the first fifth (at 0.8) of each set. All pairs of a key that are in
+    different components and that sizes, places and parities do not exclude are verified too, so no
+    pair is missed. Where a key has many members, those nearest to the middle are
     compared with all others first, and ever more of them in each round, until no key has components
     that were not compared. Equal sets are one node from the start; texts without words are equal.
 
