@@ -328,9 +328,11 @@ def print_pairs(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, words: int, similarity: float, radius: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The rows of `sets_of`, and for each distinct set (id) the root of its group."""
-    known = scratch.keep(sets_of(docs, words, similarity), "sets")
-    nodes = scratch.keep(known.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")).alias("row"), *(F.min(c).alias(c) for c in ("fp", "keys", "parity", "n"))), "nodes")
+    """doc_id, text hash and set (id) of each row; and for each set a row that stands for it and the root of its group."""
+    sets = scratch.keep(sets_of(docs, words, similarity), "sets")
+    nodes = scratch.keep(sets.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")).alias("row"), *(F.min(c).alias(c) for c in ("fp", "keys", "parity", "n"))), "nodes")
+    known = scratch.keep(sets.select("doc_id", "h", "id"), "rows")
+    scratch.drop("sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -375,7 +377,9 @@ def similar_sets(docs: DataFrame, words: int, similarity: float, radius: int, sc
         again = scratch.keep(again.select("key", "id", F.coalesce("root", "id").alias("root"), "n", "place"), f"members-{turn}")
         scratch.drop(f"members-{turn - 1}")
         members = again
-    return known, nodes.join(roots, "id", "left").select("id", "row", F.coalesce("root", "id").alias("root"))
+    rooted = scratch.keep(nodes.join(roots, "id", "left").select("id", "row", F.coalesce("root", "id").alias("root")), "rooted")
+    scratch.only("rows", "rooted")
+    return known, rooted
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
@@ -410,6 +414,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     firsts = rooted.groupBy("root").agg(F.min("row").alias("row")).select(row_key("row.doc_id", "row.h").alias("k"), F.col("row.h").alias("h"))
     stay = known.select(row_key("doc_id", "h").alias("k"), "h").join(firsts.hint("merge"), ["k", "h"], "left_semi").groupBy("k", "h").count()
     stay = scratch.keep(stay, "stay")
+    scratch.only("stay")
     marked = docs.withColumns({"__k": row_key("doc_id", text_hash()), "__h": text_hash()})
     chosen = stay.select(F.col("k").alias("__k"), F.col("h").alias("__h"))
     kept = marked.join(chosen.hint("merge"), ["__k", "__h"], "left_semi")
