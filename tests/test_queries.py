@@ -29,16 +29,16 @@ def rows_of(rows, columns):
     return sorted(columns), sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_sql(spark, data, duck, name):
-    df = catalogue.QUERIES[name](spark, data)
-    want = duck.sql(catalogue.SQL[name])
+    df = catalogue.queries()[name](spark, data)
+    want = duck.sql(catalogue.oracle_sql()[name])
     assert rows_of([tuple(r) for r in df.collect()], df.columns) == rows_of(want.fetchall(), want.columns)
 
 
 def test_every_query_runs(spark, data):
-    for name in set(catalogue.QUERIES) - set(catalogue.SQL):
-        assert catalogue.QUERIES[name](spark, data).count() > 0, name
+    for name in set(catalogue.queries()) - set(catalogue.oracle_sql()):
+        assert catalogue.queries()[name](spark, data).count() > 0, name
 
 
 def test_entry(spark):
