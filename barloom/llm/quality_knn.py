@@ -1,25 +1,28 @@
 """Quality scores by nearest-neighbour voting among latent-semantic vectors (operator 8).
 
-A text's terms are the runs of three character kinds (letters, capitals, digits, blanks, single
-signs and so on) and how often a word repeats the word before it or the one before that; both
-groups are taken as root frequencies. A singular value decomposition of labelled training texts
-gives the latent space. The labelled vectors are broadcast; every document is compared with all of
-them by exact cosine, in blocks, and its `neighbours` nearest vote with weights that fall with the
-angle. The score is the weighted share of label 1.
+A text's terms are its words, hashed and weighed by how few documents have them (counted in Spark over
+all documents), the runs of three character kinds (letters, capitals, digits, blanks, single signs and
+so on), and how often a word repeats the word before it or the one before that; each group is taken as
+root frequencies. A singular value decomposition of labelled training texts gives the latent space.
+The labelled vectors are broadcast; every document is compared with all of them by exact cosine, in
+blocks, and its `neighbours` nearest vote with weights that fall with the angle. The score is the
+weighted share of label 1.
 
 The labelled rows used are at most `reference_rows`, those with the smallest hash of doc_id, so the
 broadcast is bounded by that parameter; everything else covers all documents. Scores depend on the
-text alone. Null and empty texts, and texts without usable terms, get the share of label 1 among
-the reference rows; so do all texts when no label can be learned from (0.5 without any row).
-Several labels of one doc_id count as their mean; null labels are left out. A row is returned for
-each document row.
+text and on the counts of words alone. Null and empty texts, and texts without usable terms, get the
+share of label 1 among the reference rows; so do all texts when no label can be learned from (0.5
+without any row). Several labels of one doc_id count as their mean; null labels are left out. A row is
+returned for each document row.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,11 @@ from .common import text_of
 
 KINDS = 12
 GRAMS = KINDS**3
-TERMS = GRAMS + 3
+WORDS = 1024
+TERMS = GRAMS + 3 + WORDS
 CHUNK = 1 << 20
+#: How much words count against the forms of a text.
+WORD_SHARE = 0.5
 
 
 def _kinds() -> np.ndarray:
@@ -44,8 +50,15 @@ def _kinds() -> np.ndarray:
 KIND_OF = _kinds()
 
 
-def terms(text: str) -> np.ndarray:
-    """The two groups of root frequencies, each of length one (zero where there is nothing)."""
+def word_counts(words: list[bytes]) -> np.ndarray:
+    """How often words fall on each place, in small letters."""
+    seen = Counter(words)
+    at = np.fromiter((xxhash.xxh64_intdigest(w.lower()) % WORDS for w in seen), np.int64, len(seen))
+    return np.bincount(at, np.fromiter(seen.values(), np.float64, len(seen)), WORDS)
+
+
+def terms(text: str, rarity: np.ndarray) -> np.ndarray:
+    """The three groups of root frequencies, each of one length (zero where there is nothing)."""
     raw = text.encode("utf-8")
     counts = np.zeros(GRAMS, np.int64)
     for at in range(0, max(0, len(raw) - 2), CHUNK):
@@ -55,7 +68,24 @@ def terms(text: str) -> np.ndarray:
     again = sum(map(bytes.__eq__, words[1:], words))
     later = sum(map(bytes.__eq__, words[2:], words))
     repeats = np.array([again, later, max(0, 2 * len(words) - 3 - again - later)], np.float64)
-    return np.concatenate([np.sqrt(x / max(1, x.sum())) for x in (counts, repeats)]).astype(np.float32)
+    said = word_counts(words) * rarity
+    return np.concatenate([np.sqrt(x / max(1e-300, x.sum()) * share) for x, share in ((counts, 1.0), (repeats, 1.0), (said, WORD_SHARE))]).astype(np.float32)
+
+
+def rarities(docs: DataFrame) -> np.ndarray:
+    """For each place of words the logarithm of all documents by those that have one there; sums of so many numbers come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, n = np.zeros(WORDS, np.int64), 0
+        for batch in batches:
+            for x in batch.column("text"):
+                have += word_counts(x.as_py().encode("utf-8").split()) > 0
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(range(WORDS + 1), pa.int64()), pa.array([*have.tolist(), n], pa.int64())], names=["at", "n"])
+
+    got = docs.select(text_of().alias("text")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()
+    counts = np.array([r["n"] for r in got], np.float64) if got else np.zeros(WORDS + 1)
+    return np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -63,16 +93,30 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def leading_directions(x: np.ndarray, count: int, rounds: int = 12) -> np.ndarray:
+    """The first right singular vectors of x, as columns, by repeated multiplication of a start that is fixed."""
+    count = min(count, *x.shape)
+    q = np.random.default_rng(5).standard_normal((x.shape[1], min(count + 12, *x.shape))).astype(np.float32)
+    for _ in range(rounds if count else 0):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    if not count:
+        return q[:, :0]
+    _, vectors = np.linalg.eigh(((x @ q).T @ (x @ q)).astype(np.float64))
+    return (q @ vectors[:, ::-1][:, :count]).astype(np.float32)
+
+
 class Voters:
     """Labelled vectors in the latent space."""
 
-    def __init__(self, features: np.ndarray, labels: np.ndarray, dimensions: int, neighbours: int, sharpness: float):
-        self.neighbours, self.sharpness = min(neighbours, len(labels)), sharpness
+    def __init__(self, features: np.ndarray, labels: np.ndarray, rarity: np.ndarray, dimensions: int, neighbours: int, sharpness: float):
+        self.neighbours, self.sharpness, self.rarity = min(neighbours, len(labels)), sharpness, rarity
         self.labels, self.prior = labels.astype(np.float64), float(labels.mean()) if len(labels) else 0.5
-        _, vectors = np.linalg.eigh((features.T @ features).astype(np.float64))
-        self.basis = vectors[:, ::-1][:, :dimensions].astype(np.float32)
+        self.basis = leading_directions(features, dimensions)
         self.vectors = _unit(features @ self.basis)
 
+    def terms(self, texts: list[str]) -> np.ndarray:
+        return np.stack([terms(x, self.rarity) for x in texts])
+
     def score(self, features: np.ndarray) -> np.ndarray:
         if not self.neighbours:
             return np.full(len(features), self.prior)
@@ -88,10 +132,10 @@ def is_held_out(remainder_of: int = 5) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % remainder_of == 0
 
 
-def _features(docs: DataFrame, keep: str, kind: str) -> DataFrame:
+def _features(docs: DataFrame, rarity: np.ndarray, keep: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [terms(x.as_py()).tobytes() for x in batch.column("text")]
+            made = [terms(x.as_py(), rarity).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(made, pa.binary())], names=[keep, "terms"])
 
     return docs.mapInArrow(run, f"{keep} {kind}, terms binary")
@@ -99,13 +143,14 @@ def _features(docs: DataFrame, keep: str, kind: str) -> DataFrame:
 
 def fit_voters(docs: DataFrame, labels: DataFrame, reference_rows: int = 6000, dimensions: int = 48, neighbours: int = 15, sharpness: float = 60.0) -> Voters:
     """Learns from the rows that aren't held out. What comes to the driver is reference_rows vectors at most."""
+    rarity = rarities(docs)
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("label")).where(~is_held_out())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(reference_rows)
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").where("text <> ''")
     # repeated rows of a document count once
-    rows = _features(texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text"), "label", "double").toPandas()
+    rows = _features(texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text"), rarity, "label", "double").toPandas()
     labelled, blob = rows["label"].to_numpy(), b"".join(rows.pop("terms"))
-    return Voters(np.frombuffer(blob, np.float32).reshape(-1, TERMS), labelled, dimensions, neighbours, sharpness)
+    return Voters(np.frombuffer(blob, np.float32).reshape(-1, TERMS), labelled, rarity, dimensions, neighbours, sharpness)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
@@ -118,7 +163,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         voters = shared.value
         for texts in parts:
-            out = [voters.score(np.stack([terms(x) for x in texts.iloc[k : k + 512]])) for k in range(0, len(texts), 512)]
+            out = [voters.score(voters.terms(texts.iloc[k : k + 512])) for k in range(0, len(texts), 512)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     scored = docs.select(*held, is_held_out().alias("held_out"), score(text_of()).alias("score"))

@@ -141,7 +141,7 @@ def test_stages_against_plain_versions(spark, data):
     rows = docs.collect()
     stages = dict(corpus_pipeline.STAGES)
     voters = quality_knn.fit_voters(docs, spark.read.parquet(f"{data}/labels.parquet"))
-    good = [r for r in rows if voters.score(quality_knn.terms(r.text or "")[None])[0] >= 0.3]
+    good = [r for r in rows if voters.score(voters.terms([r.text or ""]))[0] >= 0.3]
     assert sorted(map(repr, stages["quality"](spark, docs, data).collect())) == sorted(map(repr, good))
     sets = [frozenset(simhash.shingle_hashes(r.text or "", 5).tolist()) for r in rows]
     group = list(range(len(rows)))

@@ -553,6 +553,29 @@ def test_pseudonyms_equal_a_second_version(spark):
     assert out == want
 
 
+def test_votes_equal_plain_ones(spark, data, odd):
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    voters = quality_knn.fit_voters(docs, labels, reference_rows=60, dimensions=8, neighbours=5, sharpness=20.0)
+    assert len(voters.labels) <= 60 and voters.basis.shape == (quality_knn.TERMS, 8)
+    texts = [t for _, t in rows_of(docs)][:30] + [t for _, t in rows_of(odd)]
+    got = voters.score(voters.terms(texts))
+    cos = lambda a, b: float(a @ b) / (math.sqrt(float(a @ a)) * math.sqrt(float(b @ b)))
+    for text, score in zip(texts, got, strict=True):
+        own = quality_knn.terms(text, voters.rarity).astype(float) @ voters.basis.astype(float)
+        if not own.any():
+            assert score == voters.prior
+            continue
+        near = sorted(((cos(own, v.astype(float)), y) for v, y in zip(voters.vectors, voters.labels, strict=True)), reverse=True)
+        if near[4][0] - near[5][0] < 1e-5:
+            continue  # a tie at the edge
+        w = [math.exp(20.0 * (c - 1)) for c, _ in near[:5]]
+        assert score == pytest.approx(sum(x * y for x, (_, y) in zip(w, near, strict=False)) / sum(w), abs=1e-3)
+    said = Counter(xxhash.xxh64_intdigest(w.lower()) % quality_knn.WORDS for _, t in rows_of(docs) for w in set(t.encode().split()))
+    places = [{xxhash.xxh64_intdigest(w.lower()) % quality_knn.WORDS for w in t.encode().split()} for _, t in rows_of(docs)]
+    at = max(said, key=said.get)
+    assert voters.rarity[at] == pytest.approx(math.log((len(places) + 1) / (sum(at in p for p in places) + 1)) + 0.1)
+
+
 def test_quality(spark, data, odd, none):
     docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
     more = docs.union(spark.read.parquet(f"{data}/../sf0.01/documents.parquet").where("doc_id >= 200"))
