@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts that vendors write for a missing number.
-MISSING = ("", "-", "--", "---", "N/A", "nan", "None")
+MISSING = ("", "--", "---", "N/A", "nan", "None")
+#: The forms of the exchanges' codes of stocks.
+LISTED_STOCK, COUNTER_STOCK = "^(?:[1-9][0-9]{3}|91[0-9]{4})[.]TW$", "^[1-9][0-9]{3}[.]TWO$"
 
 
 def lenient_number(text: Column) -> Column:
@@ -40,8 +42,8 @@ def training_scope(symbol: Column, asset_type: Column, market: Column) -> Column
     """B5 without the fund lists: which stocks are training targets, by market and symbol form."""
     stock = (
         F.when(market == "US", symbol.endswith(".US") & (F.length(symbol) > 3))
-        .when(market == "TWSE", symbol.rlike("^(?:[1-9][0-9]{3}|91[0-9]{4})[.]TW$"))
-        .when(market == "TPEX", symbol.rlike("^[1-9][0-9]{3}[.]TWO$"))
+        .when(market == "TWSE", symbol.rlike(LISTED_STOCK))
+        .when(market == "TPEX", symbol.rlike(COUNTER_STOCK))
         .otherwise(F.lit(False))
     )
     return (asset_type == "stock") & stock

@@ -62,7 +62,7 @@ def exchange_actions(actions: DataFrame, details: DataFrame) -> DataFrame:
     """Reference by prior close; free shares a thousand from the detail, where the kind has them."""
     joined = actions.join(details.select("code", "ts", lenient_number(F.col("free_shares")).alias("free")), ["code", "ts"], "left")
     free = F.when(F.col("kind").contains("權"), F.coalesce(1 + F.col("free") / 1000, F.lit(1.0))).otherwise(1.0)
-    source = F.when(F.col("kind").contains("權") & F.col("free").isNull(), "price_only_missing_detail").otherwise("exchange")
+    source = F.when(F.col("kind").contains("權") & F.col("free").isNull(), "no_share_detail").otherwise("exchange")
     return joined.where("prior > 0 and reference > 0").select("code", "ts", (F.col("reference") / F.col("prior")).alias("price_factor"), free.alias("share_multiplier"), source.alias("source"))
 
 

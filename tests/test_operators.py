@@ -117,7 +117,7 @@ def test_vendor_payloads(spark):
     acts = spark.createDataFrame([("1", date(2024, 1, 2), "權", 100.0, 90.0), ("2", date(2024, 1, 2), "息", 100.0, 95.0), ("3", date(2024, 1, 2), "權息", 50.0, 40.0)], "code string, ts date, kind string, prior double, reference double")
     more = spark.createDataFrame([("1", date(2024, 1, 2), "100")], "code string, ts date, free_shares string")
     got = {r.code: (round(r.price_factor, 6), r.share_multiplier, r.source) for r in payloads.exchange_actions(acts, more).collect()}
-    assert got == {"1": (0.9, 1.1, "exchange"), "2": (0.95, 1.0, "exchange"), "3": (0.8, 1.0, "price_only_missing_detail")}
+    assert got == {"1": (0.9, 1.1, "exchange"), "2": (0.95, 1.0, "exchange"), "3": (0.8, 1.0, "no_share_detail")}
 
 
 def test_streamed_bars_equal_batch(spark, data, tmp_path):
