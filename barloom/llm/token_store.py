@@ -217,7 +217,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         count = 0
 
         def flush() -> pa.RecordBatch:
-            name = f"ids-{part:06d}-{number:06d}.bin"
+            name = f"ids-{part:09d}-{number:09d}.bin"  # in the order of names
             store_file(folder, name, file_bytes(doc_ids, [len(x) for x in held], np.concatenate(held), bits))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([count], pa.int64())], names=["file", "n_docs", "n_ids"])
 
