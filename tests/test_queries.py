@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from barloom.plans import catalogue
+from barloom.plans import catalogue, market
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,6 +18,29 @@ def duck(data):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def held(spark):
+    """The tables that most queries share are made once here, as a caller with many queries would."""
+    plain = {name: getattr(market, name) for name in ("bars", "cutoffs", "labels", "predictions")}
+    kept = {}
+
+    def once(name):
+        def get(spark, folder):
+            if name not in kept:
+                kept[name] = plain[name](spark, folder).persist()
+            return kept[name]
+
+        return get
+
+    for name in plain:
+        setattr(market, name, once(name))
+    yield
+    for name, made in plain.items():
+        setattr(market, name, made)
+    for df in kept.values():
+        df.unpersist()
+
+
 def rows_of(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
 
