@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,15 @@ def fit_ridge(train: DataFrame, columns: list[str], target: str, alpha: float =
     return Ridge(tuple(columns), tuple(mean[:k].tolist()), tuple(scale.tolist()), tuple(weights.tolist()), float(mean[k]))
 
 
+def shuffled_labels(rows: DataFrame, label: str, seed: int) -> DataFrame:
+    """G11's control: on each date the labels change hands by a seeded hash of the symbol."""
+    day = Window.partitionBy("ts")
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("symbol")))
+    placed = rows.withColumn("__at", F.row_number().over(day.orderBy("symbol")))
+    given = rows.select("ts", F.col(label).alias("__label"), F.row_number().over(day.orderBy(mixed, "symbol")).alias("__at"))
+    return placed.join(given, ["ts", "__at"]).withColumn(label, F.col("__label")).drop("__at", "__label")
+
+
 @dataclass
 class QuantileBoost:
     """A sum of one-split trees for one quantile."""

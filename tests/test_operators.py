@@ -222,3 +222,10 @@ def test_ridge_and_quantile_models(spark):
     assert 0.8 < below < 0.97 and loss(fit.predict()) < 0.9 * loss(F.lit(fit.base))
     none = rows.where("false")
     assert models.fit_ridge(none, ["a"], "y") is None and models.fit_quantile(none, ["a"], "y", 0.5) is None
+
+
+def test_labels_change_hands_within_a_date(spark):
+    rows = spark.createDataFrame([(s, t, float(10 * t + s)) for t in range(4) for s in range(9)], "symbol int, ts int, alpha double").withColumn("symbol", F.col("symbol").cast("string"))
+    made = models.shuffled_labels(rows, "alpha", 3).collect()
+    assert len(made) == 36 and sorted(r.alpha for r in made) == sorted(float(10 * t + s) for t in range(4) for s in range(9))
+    assert all(int(r.alpha) // 10 == r.ts for r in made) and sum(int(r.alpha) % 10 != int(r.symbol) for r in made) > 20
