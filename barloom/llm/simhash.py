@@ -231,34 +231,37 @@ def row_key(doc_id: F.Column | str, h: F.Column | str) -> F.Column:
     return F.coalesce(doc_id, h)
 
 
-MEMBERS = "key long, id long, root long, n long, place long"
+#: What a task sends of each key.
+OWN = np.dtype([("key", "<i8"), ("id", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """Key, id, root, set size and place in the prefix, of the keys that nodes of different roots have."""
+    """Key, id, set size and place in the prefix, of the keys that more than one node has."""
     parts = max(1, -(-int(nodes.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0]) // 8 // KEYS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             blobs = batch.column("keys").to_pylist()
-            keys, m = np.frombuffer(b"".join(blobs), np.int64), np.array([len(x) // 8 for x in blobs], np.int64)
-            place = np.arange(len(keys)) - np.repeat(np.cumsum(m) - m, m)
-            own = np.stack([keys, *(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), m) for c in ("id", "root", "n")), place], axis=1)
-            part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            m = np.array([len(x) // 8 for x in blobs], np.int64)
+            own = np.empty(m.sum(), OWN)
+            own["key"] = np.frombuffer(b"".join(blobs), np.int64)
+            own["place"] = np.arange(len(own)) - np.repeat(np.cumsum(m) - m, m)
+            for c in ("id", "n"):
+                own[c] = np.repeat(batch.column(c).to_numpy(zero_copy_only=False), m)
+            part = (own["key"].view(np.uint64) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
             yield pa.RecordBatch.from_arrays([pa.array(part[order][cuts]), pa.array([x.tobytes() for x in np.split(own[order], cuts[1:])] if len(cuts) else [], pa.binary())], names=["part", "own"])
 
     def shared(table: pa.Table) -> pa.Table:
-        own = np.frombuffer(b"".join(table.column("own").to_pylist()), np.int64).reshape(-1, 5)
-        own = own[np.argsort(own[:, 0], kind="stable")]
-        firsts = np.flatnonzero(np.diff(own[:, 0], prepend=own[0, 0] ^ 1))
+        own = np.frombuffer(b"".join(table.column("own").to_pylist()), OWN)
+        own = own[np.argsort(own["key"], kind="stable")]
+        firsts = np.flatnonzero(np.diff(own["key"], prepend=own["key"][0] ^ 1))
         sizes = np.diff(np.append(firsts, len(own)))
-        mixed = np.minimum.reduceat(own[:, 2], firsts) != np.maximum.reduceat(own[:, 2], firsts)
-        own = own[np.repeat(mixed, sizes)]
-        return pa.table({name.split()[0]: own[:, k] for k, name in enumerate(MEMBERS.split(", "))})
+        own = own[np.repeat(sizes > 1, sizes)]  # a node has a key once
+        return pa.table({c: own[c].astype(np.int64) for c in OWN.names})
 
-    return nodes.select("id", "root", "n", "keys").mapInArrow(emit, "part long, own binary").groupBy("part").applyInArrow(shared, MEMBERS)
+    return nodes.select("id", "n", "keys").mapInArrow(emit, "part long, own binary").groupBy("part").applyInArrow(shared, "key long, id long, n long, place long")
 
 
 def compared(members: DataFrame, similarity: float, pivots: int) -> DataFrame:
@@ -346,19 +349,21 @@ def similar_sets(docs: DataFrame, words: int, similarity: float, radius: int, sc
                 good.append(both >= similarity * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def verified(pairs: DataFrame, turn: str) -> DataFrame:
+    def verified(pairs: DataFrame, turn: int) -> DataFrame:
         """Those whose whole texts are similar."""
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         wanted = nodes.join(wanted, "id", "left_semi").select("id", row_key("row.doc_id", "row.h").alias("k"), F.col("row.h").alias("h"))
-        wanted = scratch.keep(wanted, f"wanted-{turn}")  # a table, so that few of them are broadcast and the texts stay where they are
+        wanted = scratch.keep(wanted, f"wanted-{turn}")
+        if turn == 0:  # most of those that have a similar one; later ones are few, and the texts stay where they are
+            wanted = wanted.hint("merge")
         rows = docs.select(row_key("doc_id", text_hash()).alias("k"), text_hash().alias("h"), text_of().alias("text"))
-        texts = scratch.keep(rows.join(wanted, ["k", "h"]).groupBy("id").agg(F.min("text").alias("text")), f"texts-{turn}")
+        texts = scratch.keep(rows.join(wanted, ["k", "h"]).groupBy("k", "h", "id").agg(F.min("text").alias("text")), f"texts-{turn}")
         text = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
         found = scratch.keep(pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(verify, "a long, b long"), f"links-{turn}")
         scratch.drop(f"texts-{turn}")
         return found
 
-    members = scratch.keep(shared_keys(nodes.withColumn("root", F.col("id"))), "members-0")
+    members = scratch.keep(shared_keys(nodes).withColumn("root", F.col("id")), "members-0")
     pairs, left, found, tested, turn, pivots = print_pairs(nodes, radius, scratch), None, None, None, 0, PIVOTS
     while True:
         met = scratch.keep(compared(members.join(nodes.select("id", "parity"), "id"), similarity, pivots), f"met-{turn}")
@@ -368,7 +373,7 @@ def similar_sets(docs: DataFrame, words: int, similarity: float, radius: int, sc
         left = scratch.keep(met.where("b is null").select(F.col("a").alias("key")), f"left-{turn}")
         scratch.drop(f"met-{turn}")
         if turn == 0 or pairs.head(1):
-            found = verified(pairs, str(turn)) if found is None else found.union(verified(pairs, str(turn)))
+            found = verified(pairs, turn) if found is None else found.union(verified(pairs, turn))
             roots = scratch.keep(components(found, scratch, f"components-{turn}"), f"roots-{turn}").withColumnRenamed("node", "id")
         if not left.head(1):
             break
