@@ -474,7 +474,7 @@ def test_scores_equal_a_plain_model(spark, data):
     train = {k: t for k, t in texts.items() if fold[k][0] != 2}
     fitted = [t for k, t in train.items() if fold[k] == (3, True)]
     octets = octets_of(train.values())
-    bits = lm_scoring.table_bits(int(octets.sum()), 16, 22)
+    bits = lm_scoring.table_bits(int(octets.sum()), 21, 22)
     trees, _, tables = local_model([t for k, t in train.items() if fold[k] != (3, True)], (2, 4, 6), bits, octets)
     weights = context_mixing.Mixer(trees, (2, 4, 6), bits, tables).weights
     for _ in range(2):
