@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, decontaminate, html_text, lm_scoring, pseudonyms, quality_knn, simhash, substring_dedup, token_store
+from . import ann, byte_bpe, chunk_recipes, decontaminate, delta_lloyd, divergence, html_text, lm_scoring, pseudonyms, quality_knn, simhash, substring_dedup, token_store
 from .common import documents
 
 
@@ -56,8 +56,20 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(documents(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+def op11_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_recipes.copies(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir), least_documents=10, top=10)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.clusters(documents(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, size=64)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_token_ids": op3_token_ids, "op4_repeats": op4_repeats, "op5_lm_score": op5_lm_score, "op6_main_text": op6_main_text, "op7_pseudonyms": op7_pseudonyms, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours}
+    return {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_token_ids": op3_token_ids, "op4_repeats": op4_repeats, "op5_lm_score": op5_lm_score, "op6_main_text": op6_main_text, "op7_pseudonyms": op7_pseudonyms, "op8_quality": op8_quality, "op9_byte_bpe": op9_byte_bpe, "op10_neighbours": op10_neighbours, "op11_exact_copies": op11_exact_copies, "op12_divergence": op12_divergence, "op13_clusters": op13_clusters}
 
 
 #: The main text of the test pages is what stands in their article, in headings and paragraphs.
@@ -70,7 +82,48 @@ c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda v: v <> ''
 SELECT page_id, url, text, length(text) AS n_chars FROM c"""
 
 
+#: Blank runs are the six bytes 20 and 09 to 0D.
+OP11_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
+g AS (SELECT doc_id, sha256(x) AS text_sha256, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
+
+#: Every group meets every other one term by term; zero counts are written out.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT k, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT k) >= 10),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+full_counts AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, s.v FROM groups g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+own AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v)::HUGEINT AS p FROM full_counts),
+langs AS (SELECT lang, term, sum(n) AS n, any_value(v) AS v FROM full_counts GROUP BY 1, 2),
+whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 2 * v)::HUGEINT AS q FROM langs),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT o.lang, o.source, r.source AS item, sum(((o.p - r.p) * (o.p - r.p)) // (o.p + r.p)) AS value FROM own o JOIN own r ON o.lang = r.lang AND o.term = r.term AND o.source <> r.source GROUP BY 1, 2, 3) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT o.lang, o.source, o.term AS item, ((o.p - w.q) * (o.p - w.q)) // (o.p + w.q) AS value FROM own o JOIN whole w ON o.lang = w.lang AND o.term = w.term WHERE o.n > 0 AND o.p > w.q),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10"""
+
+
+def lloyd_sql(k: int, rounds: int, seed: int, size: int) -> str:
+    """Lloyd's rounds written out one after the other, each with all distances."""
+    steps = [f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS cluster, x AS c FROM v QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) <= {k})"""]
+    for turn in range(rounds + 1):
+        steps.append(f"""d{turn} AS MATERIALIZED (SELECT vec_id, x, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM v, c{turn}),
+a{turn} AS MATERIALIZED (SELECT * FROM d{turn} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)""")
+        if turn < rounds:
+            steps.append(f"""s{turn} AS (SELECT cluster, i, sum(x[i]) AS s, count(*) AS n FROM a{turn}, range(1, {size + 1}) t(i) GROUP BY 1, 2),
+m{turn} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{turn} GROUP BY 1),
+c{turn + 1} AS MATERIALIZED (SELECT c{turn}.cluster, coalesce(m{turn}.c, c{turn}.c) AS c FROM c{turn} LEFT JOIN m{turn} ON m{turn}.cluster = c{turn}.cluster)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a{rounds}.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY a{rounds}.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.cluster = a{rounds}.cluster"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL cannot express the other queries' hashes, tokenizers, models and edit distances, and 50-byte
     strings of all documents (op4) are too many rows for it; the tests hold these against brute force."""
-    return {"op6_main_text": OP6_SQL}
+    return {"op6_main_text": OP6_SQL, "op11_exact_copies": OP11_SQL, "op12_divergence": OP12_SQL, "op13_clusters": lloyd_sql(8, 10, 3, 64)}
