@@ -7,15 +7,17 @@ format, so equal values get equal pseudonyms in all documents and written forms:
 - payment cards (13 to 19 digits, Luhn sum valid): the digits before the check digit are permuted
   and the check digit is computed anew;
 - IBANs (mod 97 valid): the digits of the account part are permuted, the check digits made anew;
+  (in capitals, or in small letters without blanks);
 - telephone numbers: all digits but the country calling code; US social security numbers with valid parts:
-  within the valid ones; IPv4 addresses: within 32 bits; calendar dates from 1900 to 2099, as
+  within the valid ones; IPv4 addresses: within 32 bits (what
+  follows the word version or release, or a v, is none); calendar dates from 1900 to 2099, as
   year-month-day or day/month/year (month/day/year where that alone is a date) or with points:
   within those 200 years.
 
 Domains that are no power of ten are walked through until the value is in the domain. E-mail
 addresses, access keys and the values of password, token, secret and key assignments have no number
-to permute: they are replaced by keyed digests of their kind, e-mail addresses and assigned values by
-those of their small letters. An assigned value of 8 or more characters always goes, even if it looks
+to permute, nor have bearer tokens: they are replaced by keyed digests of their kind, e-mail
+addresses and assigned values by those of their small letters. An assigned value of 8 or more characters always goes, even if it looks
 like a number that its rule does not confirm. What else no rule confirms stays as it is.
 
 Round function: the leading 60 bits of SHA-256 over key, kind, round and the other half. Ten rounds.
@@ -32,10 +34,10 @@ ROUNDS = 10
 #: How often a value that fell outside its domain is permuted again; a miss has a chance under 1e-30.
 WALKS = 64
 EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9][\p{L}0-9._%+\-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-ACCESS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<=(?i:token|password|passwd|pwd|secret|api_key|apikey)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?<![A-Za-z0-9+/_\-])(?=[^\s\"'<>,;]{8})[A-Za-z0-9+/_\-][^\s\"'<>,;]*[A-Za-z0-9+/_\-=]"
-IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
+IBAN = r"(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}[a-z0-9]{11,30})(?![A-Za-z0-9])"
+ACCESS = r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"
+SECRET = r"(?<=(?i:token|password|passwd|pwd|secret(?:[_\-](?:access[_\-])?key)?|(?:api|access|private|auth)[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?|(?i:bearer)\s{1,3}(?=[^\s\"'<>,;]{16})(?=[^\s\"'<>,;]{0,200}\d))(?<![A-Za-z0-9+/_\-])(?=[^\s\"'<>,;]{8})[A-Za-z0-9+/_\-][^\s\"'<>,;]*[A-Za-z0-9+/_\-=]"
+IPV4 = r"(?<![\d.])(?<!(?i:version|release)[ :=]{0,2}|\b[vV]\.?)(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 DAY_DATE = r"(?<![\d/.])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.)\d{4}(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
@@ -125,7 +127,7 @@ def _card(key: str, m):
 
 
 def _iban(key: str, m):
-    plain = F.regexp_replace(m, " ", "")
+    plain = F.upper(F.regexp_replace(m, " ", ""))
     country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain) - 4)
     valid = (mod_97(F.concat(account, country, F.substring(plain, 3, 2))) == 1) & F.length(plain).between(15, 34)
     made = refill(account, permute_digits(key, "iban", digits_of(account)))
@@ -133,6 +135,12 @@ def _iban(key: str, m):
     return F.when(valid, refill(m, fixed)).otherwise(m)
 
 
+def _access(key: str, m):
+    """The first four characters, and as much of the digest as there were others."""
+    digest = F.substring(_digest(key, "access", m), F.lit(1), F.length(m) - 4)
+    return F.concat(F.substring(m, 1, 4), F.when(F.startswith(m, F.lit("AKIA")), F.upper(digest)).otherwise(digest))
+
+
 def _ipv4(key: str, m):
     parts = F.transform(F.split(m, r"\."), lambda p: p.cast("long"))
     out = _rounds(key, "ipv4", parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], F.lit(65536), F.lit(65536))
@@ -200,7 +208,7 @@ def _pseudonym(key: str, m, secret):
         .when(full(SSN), _ssn(key, m))
         .when(full(PHONE), _phone(key, m))
         .when(full(CARD), _card(key, m))
-        .when(full(ACCESS), F.concat(F.lit("AKIA"), F.upper(F.substring(_digest(key, "access", m), 1, 16))))
+        .when(full(ACCESS), _access(key, m))
         .when(full(IBAN), _iban(key, m))
         .otherwise(m)
     )
@@ -211,14 +219,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in ("text", "n_replaced")]
     text = F.col("text").cast("string")
     # a text without a digit or an @ holds nothing to replace but a secret, which may have letters alone
-    found = F.when(text.rlike("[0-9@]|(?i:token|passw|pwd|secret|api_?key)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.when(text.rlike("[0-9@]|(?i:token|passw|pwd|secret|(?:api|access|private|auth)[_-]?key|bearer)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     taken = docs.select(*kept, text.alias("_t"), found.alias("_m"))
-    # a text with matches is searched once more, for which of them are secrets
-    secrets = F.when(F.size("_m") > 0, F.regexp_extract_all("_t", F.lit(ANY), F.lit(1)))
-    made = taken.withColumn("_s", secrets).withColumn("_p", F.transform("_m", lambda m, i: _pseudonym(key, m, F.get("_s", i))))
-    gaps = F.split("_t", ANY, -1)
-    joined = F.concat(F.array_join(F.transform("_p", lambda p, i: F.concat(F.get("_g", i), p)), ""), F.element_at("_g", -1))
-    out = made.withColumn("_g", F.when(F.size("_m") > 0, gaps))
-    changed = F.when(F.size("_m") > 0, joined).otherwise(F.col("_t"))
-    count = F.coalesce(F.size(F.filter(F.arrays_zip("_m", "_p"), lambda x: x["_m"] != x["_p"])), F.lit(0))
-    return out.select(*kept, changed.alias("text"), F.when(F.size("_m") > 0, count).otherwise(0).alias("n_replaced"))
+    # a text with matches is searched once more, for which of them are secrets, and once for what is between them;
+    # the lists are arguments of the functions that walk them, so they are made once a text and not once a match
+    listed = taken.withColumn("_x", F.when(F.size("_m") > 0, F.arrays_zip("_m", F.regexp_extract_all("_t", F.lit(ANY), F.lit(1)).alias("_s"))))
+    made = listed.withColumn("_p", F.transform("_x", lambda x: _pseudonym(key, x["_m"], x["_s"])))
+    parts = F.zip_with(F.split("_t", ANY, -1), "_p", lambda gap, p: F.concat(gap, F.coalesce(p, F.lit(""))))
+    changed = F.when(F.size("_m") > 0, F.array_join(parts, "")).otherwise(F.col("_t"))
+    count = F.coalesce(F.size(F.filter(F.zip_with("_m", "_p", lambda m, p: m != p), lambda x: x)), F.lit(0))
+    return made.select(*kept, changed.alias("text"), F.when(F.size("_m") > 0, count).otherwise(0).alias("n_replaced"))

@@ -1,9 +1,11 @@
 """The corpus operators on texts, against brute force and on difficult rows."""
 
+import datetime
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -553,6 +555,64 @@ def test_pseudonyms_equal_a_second_version(spark):
     assert out == want
 
 
+def walked(kind, value, size, digits):
+    while True:
+        value = int(feistel("k", kind, f"{value:0{digits}d}"))
+        if value < size:
+            return value
+
+
+def test_other_kinds_equal_a_second_version(spark):
+    """IBAN, SSN, IPv4, dates, e-mail, access keys, assigned keys and bearer tokens."""
+    rng = random.Random(6)
+    digest = lambda kind, x: hashlib.sha256(f"k|{kind}|{x}".encode()).hexdigest()
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    check = lambda country, account: f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
+    first = datetime.date(1900, 1, 1)
+    texts, want = [], []
+    for i in range(30):
+        # an IBAN whose account has letters: digits move in their places
+        n, bank = digits(14), "WEST"
+        moved = feistel("k", "iban", n)
+        iban, new = f"GB{check('GB', bank + n)}{bank}{n}", f"GB{check('GB', bank + moved)}{bank}{moved}"
+        if i % 3 == 1:
+            iban, new = (" ".join(x[j : j + 4] for j in range(0, 22, 4)) for x in (iban, new))
+        if i % 3 == 2:
+            iban = f"gb{iban[2:].lower()}"
+            new = f"gb{new[2:].lower()}"
+        area, group, serial = rng.choice([*range(1, 666), *range(667, 900)]), rng.randint(1, 99), rng.randint(1, 9999)
+        x = walked("ssn", ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, 9)
+        at = x // (99 * 9999)
+        ssn = f"{at + (2 if at >= 665 else 1):03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
+        ip = [rng.randint(0, 255) for _ in range(4)]
+        a, b = ip[0] * 256 + ip[1], ip[2] * 256 + ip[3]
+        for turn in range(1, 11):
+            a, b = b, (a + int(digest("ipv4", f"{turn}|{b}")[:15], 16) % 65536) % 65536
+        day = first + datetime.timedelta(rng.randrange(pseudonyms.DAYS))
+        other = first + datetime.timedelta(walked("date", (day - first).days, pseudonyms.DAYS, 5))
+        form = ["%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y"][i % 3]
+        mail = f"Some.one{i}@mail.example.org"
+        access = "ghp_" + digits(18) + "aB" * 9 if i % 2 else "AKIA" + digits(8) + "QX" * 4
+        tail = digest("access", access)[: len(access) - 4]
+        said, value = rng.choice(["secret_key=", "AWS_SECRET_ACCESS_KEY = ", "api-key: ", "Authorization: Bearer ", "private_key='"]), digits(5) + "xYz/Q" * 3
+        texts.append(f"{iban}; {area:03d}-{group:02d}-{serial:04d}; {'.'.join(map(str, ip))}; {day.strftime(form)}; {mail}; {access}; {said}{value}")
+        out = digest("secret", value.lower())[: len(value)]
+        want.append(f"{new}; {ssn}; {a // 256}.{a % 256}.{b // 256}.{b % 256}; {other.strftime(form)}; {digest('email', mail.lower())[:12]}@mail.invalid; {access[:4]}{tail if i % 2 else tail.upper()}; {said}{out}")
+    clean = ["version 10.0.0.1, v10.2.3.4, release: 1.2.3.4", "bearer responsibilities", "gb00west12345698765432", "the secretary keyed: nothing"]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r.text for r in rows] == want + clean
+
+
+def test_pseudonyms_of_texts_with_many_matches(spark):
+    """Time follows the length of a text, and not the square of its matches."""
+    many = " ".join(f"+1 ({200 + i % 700}) 555-{i % 10_000:04d}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, many)], "doc_id long, text string")
+    pseudonyms.pseudonymise(docs.withColumn("text", F.substring("text", 1, 3000)), "k").collect()
+    began = time.time()
+    made = pseudonyms.pseudonymise(docs, "k").first()
+    assert made.n_replaced == 40_000 and len(made.text) == len(many) and time.time() - began < 200
+
+
 def test_votes_equal_plain_ones(spark, data, odd):
     docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
     voters = quality_knn.fit_voters(docs, labels, reference_rows=60, dimensions=8, neighbours=5, sharpness=20.0)
