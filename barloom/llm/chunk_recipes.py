@@ -82,9 +82,11 @@ def copies(docs: DataFrame, mark: Callable[[Column], Column] = fingerprint) -> D
     """A row a document: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     A group's size and its first row are an aggregation, whose partial rows take a hot group together
-    before the shuffle; they meet the documents in a join that adaptive execution can split.
+    before the shuffle. It is written, so that it meets the documents in a join between two shuffles,
+    whose hot recipes adaptive execution can split.
     """
-    made = recipes(docs, Scratch(docs.sparkSession, "recipes"), mark)
+    scratch = Scratch(docs.sparkSession, "recipes")
+    made = recipes(docs, scratch, mark)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    groups = made.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size"))
+    groups = scratch.keep(made.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size")), "groups")
     return made.join(groups, "recipe").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
