@@ -83,7 +83,7 @@ def taiwan_codes(column):
         .when(k == 1, F.concat(F.lit("00"), padded))
         .when(k == 2, F.concat(F.lit("91"), padded))
         .when(k == 3, F.concat(F.lit("91"), padded, padded))
-        .when(k == 4, F.concat(text(1000 + column % 8999), F.lit("A")))
+        .when(k == 4, F.concat(text(1000 + column % 8999), F.char(65 + F.floor(column / 8) % 26)))
         .when(k == 5, text(200000 + column % 7000))
         .when(k == 6, F.concat(F.lit("03"), padded, padded, F.lit("P")))
         .otherwise(F.concat(F.lit("X"), text(column)))
@@ -92,13 +92,13 @@ def taiwan_codes(column):
 
 def taiwan_sql(key: str) -> str:
     padded = f"lpad(CAST({key} % 97 AS VARCHAR), 2, '0')"
-    return f"CASE {key} % 8 WHEN 0 THEN CAST(1000 + {key} % 8999 AS VARCHAR) WHEN 1 THEN '00' || {padded} WHEN 2 THEN '91' || {padded} WHEN 3 THEN '91' || {padded} || {padded} WHEN 4 THEN CAST(1000 + {key} % 8999 AS VARCHAR) || 'A' WHEN 5 THEN CAST(200000 + {key} % 7000 AS VARCHAR) WHEN 6 THEN '03' || {padded} || {padded} || 'P' ELSE 'X' || {key} END"
+    return f"CASE {key} % 8 WHEN 0 THEN CAST(1000 + {key} % 8999 AS VARCHAR) WHEN 1 THEN '00' || {padded} WHEN 2 THEN '91' || {padded} WHEN 3 THEN '91' || {padded} || {padded} WHEN 4 THEN CAST(1000 + {key} % 8999 AS VARCHAR) || chr(CAST(65 + ({key} // 8) % 26 AS INTEGER)) WHEN 5 THEN CAST(200000 + {key} % 7000 AS VARCHAR) WHEN 6 THEN '03' || {padded} || {padded} || 'P' ELSE 'X' || {key} END"
 
 
 FUNDS = ["0001", "0009", "0017", "0050", "0056"]
 ALLOWED = ", ".join(f"'{f}'" for f in FUNDS)
 TAIWAN_TYPE = f"CASE WHEN regexp_full_match(code, '91([0-9]{{2}}|[0-9]{{4}})') THEN 'stock' WHEN regexp_full_match(code, '00[0-9A-Z]{{2,6}}') THEN CASE WHEN code IN ({ALLOWED}) THEN 'etf' END WHEN regexp_full_match(code, '[1-9][0-9]{{3}}') THEN 'stock' END"
-WHY_NOT = "CASE WHEN regexp_full_match(code, '00[0-9A-Z]{2,6}') THEN 'non_allowlisted_etf_code' WHEN regexp_full_match(code, '[0-9]{4}[A-Z]') THEN 'preferred_stock_code' WHEN regexp_full_match(code, '[0-9]{5,6}[PQ]|[0-9]{4}R[0-9]*') THEN 'rights_certificate_code' WHEN regexp_full_match(code, '[0-9]{6}') THEN 'six_digit_numeric_security_code' ELSE 'unsupported_symbol_code' END"
+WHY_NOT = "CASE WHEN regexp_full_match(code, '00[0-9A-Z]{2,6}') THEN 'non_allowlisted_etf_code' WHEN regexp_full_match(code, '[1-9][0-9]{3}[A-E]') THEN 'preferred_stock_code' WHEN regexp_full_match(code, '[1-9][0-9]{3}[L-Z]') THEN 'rights_certificate_code' WHEN regexp_full_match(code, '[0-9]{6}') THEN 'six_digit_numeric_security_code' ELSE 'unsupported_symbol_code' END"
 
 
 @query(f"WITH c AS (SELECT p_partkey, {taiwan_sql('p_partkey')} AS code FROM part), k AS (SELECT *, {TAIWAN_TYPE} AS asset_type FROM c) SELECT p_partkey, code, asset_type, CASE WHEN asset_type IS NULL THEN {WHY_NOT} END AS why_not FROM k")
