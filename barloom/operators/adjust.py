@@ -59,14 +59,15 @@ def execution_returns(bars: DataFrame, horizons: list[int]) -> DataFrame:
     return made.where("x.exit is not null and entry is not null").select("symbol", "ts", "x.h", "x.end_at", (F.col("x.exit") / F.greatest("entry", F.lit(TINY))).alias("gross"))
 
 
-def alphas(bars: DataFrame, benchmark: str, horizons: list[int]) -> DataFrame:
+def alphas(bars: DataFrame, benchmark: str | DataFrame, horizons: list[int]) -> DataFrame:
     """Log gross return less that of the benchmark on the asset's own dates.
 
     The benchmark is joined by date before the leads, so its bars are those of the asset's calendar;
     a label whose first or last date the benchmark lacks is left out.
     """
-    marks = bars.where(F.col("symbol") == benchmark).select("ts", (F.col("open") * F.col("adjusted_close") / F.greatest("close", F.lit(TINY))).alias("b_open"), F.col("adjusted_close").alias("b_close"))
-    own = bars.where(F.col("symbol") != benchmark).join(marks, "ts", "left")
+    from .marks import marked
+
+    own = marked(bars, benchmark, {"b_open": F.col("open") * F.col("adjusted_close") / F.greatest("close", F.lit(TINY)), "b_close": F.col("adjusted_close")})
     w = Window.partitionBy("symbol").orderBy("ts")
     entry = F.col("open") * F.col("adjusted_close") / F.greatest("close", F.lit(TINY))
     legs = [F.struct(F.lit(h).alias("h"), F.lead("adjusted_close", h).over(w).alias("exit"), F.lead("b_close", h).over(w).alias("b_exit"), F.lead("ts", h).over(w).alias("end_at")) for h in horizons]

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .marks import marked
+
 TINY = 1e-12
 YEAR = 252.0
+#: Bars of a whole context.
+WINDOW = 64
 
 
 def _w(first: int | None = None, last: int = 0) -> Window:
@@ -14,62 +18,88 @@ def _w(first: int | None = None, last: int = 0) -> Window:
     return w if first is None else w.rowsBetween(first, last)
 
 
-def returns(bars: DataFrame, periods: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
-    """log returns; at the start of a symbol over as many bars as there are."""
-    price = F.ln(F.greatest("adjusted_close", F.lit(TINY)))
-    return bars.select("symbol", "ts", *[(price - F.coalesce(F.lag(price, n).over(_w()), F.first(price).over(_w(Window.unboundedPreceding)))).alias(f"ret_{n}") for n in periods])
+def prepared(bars: DataFrame) -> DataFrame:
+    """The bars with what features are made of; what none asks for is pruned. All windows are by symbol,
+    so that any number of features takes one shuffle and one sort."""
+    price, before = F.ln(F.greatest("adjusted_close", F.lit(TINY))), F.coalesce(F.lag("close").over(_w()), F.col("close"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    first = bars.withColumns({
+        "price": price,
+        "change": price - F.lag(price).over(_w()),
+        "step": F.col("adjusted_close") - F.lag("adjusted_close").over(_w()),
+        "reach": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)),
+        "rate": F.when(F.col("volume") > 0, F.try_divide("split_adjusted_volume", "volume")).otherwise(1.0),
+        "held": F.collect_list("split_adjusted_volume").over(_w(-19)),
+    })
+    second = first.withColumns({
+        "up": F.avg(F.greatest("step", F.lit(0.0))).over(_w(-13)),
+        "down": F.avg(F.greatest(-F.col("step"), F.lit(0.0))).over(_w(-13)),
+        "logs": F.transform("held", lambda x: F.log1p(x / F.col("rate"))),
+    }).withColumn("log_mean", mean(F.col("logs")))
+    return second.withColumn("log_spread", F.sqrt(mean(F.transform("logs", lambda x: (x - F.col("log_mean")) * (x - F.col("log_mean"))))))
 
 
-def log_changes(bars: DataFrame) -> DataFrame:
-    price = F.ln(F.greatest("adjusted_close", F.lit(TINY)))
-    return bars.withColumn("change", price - F.lag(price).over(_w()))
+def _back(n: int) -> F.Column:
+    """the log return over n bars; at the start of a symbol over as many as there are."""
+    return F.col("price") - F.coalesce(F.lag("price", n).over(_w()), F.first("price").over(_w(Window.unboundedPreceding)))
 
 
-def volatility(bars: DataFrame, size: int = 20) -> DataFrame:
-    """population deviation of the last log changes, a year's."""
-    return log_changes(bars).select("symbol", "ts", (F.stddev_pop("change").over(_w(1 - size)) * F.sqrt(F.lit(YEAR))).alias("vol"))
+def columns_of(window: int = WINDOW) -> dict[str, F.Column]:
+    """The ten features of a bar, of prepared columns; `window` is the length of the whole context."""
+    return {
+        "ret_1": _back(1),
+        "ret_5": _back(5),
+        "ret_20": _back(20),
+        "ret_window": _back(window - 1),
+        "vol": F.stddev_pop("change").over(_w(-19)) * F.sqrt(F.lit(YEAR)),
+        "atr": F.avg("reach").over(_w(-13)) / F.greatest("close", F.lit(TINY)),
+        "volume_score": (F.log1p("volume") - F.col("log_mean")) / F.greatest("log_spread", F.lit(1e-6)),
+        "sma_20": F.col("adjusted_close") / F.avg("adjusted_close").over(_w(-19)) - 1,
+        "sma_50": F.col("adjusted_close") / F.avg("adjusted_close").over(_w(-49)) - 1,
+        "rsi": F.when(F.col("down") > 0, 100 - 100 / (1 + F.try_divide("up", "down"))).when(F.col("up") > 0, 100.0).otherwise(50.0),
+    }
 
 
-def true_range(bars: DataFrame, size: int = 14) -> DataFrame:
-    """mean true range by close."""
-    before = F.coalesce(F.lag("close").over(_w()), F.col("close"))
-    reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    return bars.withColumn("reach", reach).select("symbol", "ts", (F.avg("reach").over(_w(1 - size)) / F.greatest("close", F.lit(TINY))).alias("atr"))
+def chosen(bars: DataFrame, *names: str, window: int = WINDOW) -> DataFrame:
+    """Some of the ten features, in one chain of windows."""
+    made = columns_of(window)
+    return prepared(bars).select("symbol", "ts", *[made[n].alias(n) for n in names])
 
 
-def volume_score(bars: DataFrame, size: int = 20) -> DataFrame:
-    """log volume against its last mean and deviation, in shares as of the bar."""
-    kept = bars.withColumn("rate", F.when(F.col("volume") > 0, F.col("split_adjusted_volume") / F.col("volume")).otherwise(1.0))
-    held = kept.withColumn("held", F.collect_list("split_adjusted_volume").over(_w(1 - size)))
-    logs = F.transform("held", lambda x: F.log1p(x / F.col("rate")))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    made = held.withColumn("logs", logs).withColumn("m", mean(F.col("logs")))
-    spread = F.sqrt(mean(F.transform("logs", lambda x: (x - F.col("m")) * (x - F.col("m")))))
-    return made.select("symbol", "ts", ((F.log1p("volume") - F.col("m")) / F.greatest(spread, F.lit(1e-6))).alias("volume_score"))
+def returns(bars: DataFrame, window: int = WINDOW) -> DataFrame:
+    """log returns over 1, 5 and 20 bars and over the whole window."""
+    return chosen(bars, "ret_1", "ret_5", "ret_20", "ret_window", window=window)
+
+
+def volatility(bars: DataFrame) -> DataFrame:
+    """population deviation of the last 20 log changes, a year's."""
+    return chosen(bars, "vol")
+
+
+def true_range(bars: DataFrame) -> DataFrame:
+    """mean true range of 14 bars by close."""
+    return chosen(bars, "atr")
+
 
+def volume_score(bars: DataFrame) -> DataFrame:
+    """log volume against its last 20's mean and deviation, in shares as of the bar."""
+    return chosen(bars, "volume_score")
 
-def averages(bars: DataFrame, sizes: tuple[int, ...] = (20, 50)) -> DataFrame:
-    """adjusted close over its moving average, less one."""
-    return bars.select("symbol", "ts", *[(F.col("adjusted_close") / F.avg("adjusted_close").over(_w(1 - n)) - 1).alias(f"sma_{n}") for n in sizes])
 
+def averages(bars: DataFrame) -> DataFrame:
+    """adjusted close over its moving averages of 20 and 50, less one."""
+    return chosen(bars, "sma_20", "sma_50")
 
-def strength(bars: DataFrame, size: int = 14) -> DataFrame:
-    """the relative strength of mean gains and losses."""
-    step = F.col("adjusted_close") - F.lag("adjusted_close").over(_w())
-    made = bars.withColumn("step", step).withColumn("up", F.avg(F.greatest("step", F.lit(0.0))).over(_w(1 - size))).withColumn("down", F.avg(F.greatest(-F.col("step"), F.lit(0.0))).over(_w(1 - size)))
-    value = F.when(F.col("down") > 0, 100 - 100 / (1 + F.try_divide("up", "down"))).when(F.col("up") > 0, 100.0).otherwise(50.0)
-    return made.select("symbol", "ts", value.alias("rsi"))
 
+def strength(bars: DataFrame) -> DataFrame:
+    """the relative strength of mean gains and losses of 14 bars."""
+    return chosen(bars, "rsi")
 
-def feature_rows(bars: DataFrame, benchmark: str) -> DataFrame:
-    """the features of each asset, of the benchmark on the same date, and their difference."""
-    parts = [returns(bars), volatility(bars), true_range(bars), volume_score(bars), averages(bars), strength(bars)]
-    made = parts[0]
-    for part in parts[1:]:
-        made = made.join(part, ["symbol", "ts"])  # all are dealt out by symbol and date alike
-    names = [c for c in made.columns if c not in ("symbol", "ts")]
-    marks = made.where(F.col("symbol") == benchmark).select("ts", *[F.col(c).alias(f"bench_{c}") for c in names])
-    own = made.where(F.col("symbol") != benchmark).join(marks, "ts")
+
+def feature_rows(bars: DataFrame, benchmark: str | DataFrame, window: int = WINDOW) -> DataFrame:
+    """the ten features of each asset, of its benchmark on the same date, and their difference."""
+    names = list(columns_of(window))
+    own = marked(chosen(bars, *names, window=window), benchmark, {f"bench_{c}": F.col(c) for c in names}, "inner")
     return own.select("symbol", "ts", *names, *[f"bench_{c}" for c in names], *[(F.col(c) - F.col(f"bench_{c}")).alias(f"diff_{c}") for c in names])
 
 
@@ -87,19 +117,17 @@ def macd(bars: DataFrame, size: int = 20) -> DataFrame:
     return made.select("symbol", "ts", F.element_at("line", -1).alias("macd"), F.element_at(ema(F.col("line"), 9), -1).alias("signal"))
 
 
-def momentum(bars: DataFrame, benchmark: str, lag: int = 5) -> DataFrame:
+def momentum(bars: DataFrame, benchmark: str | DataFrame, lag: int = 5) -> DataFrame:
     """log return over some bars less the benchmark's on the same dates; reversal is its negative."""
     price = F.ln(F.greatest("adjusted_close", F.lit(TINY)))
-    marks = bars.where(F.col("symbol") == benchmark).select("ts", price.alias("b"))
-    own = bars.where(F.col("symbol") != benchmark).withColumn("a", price).join(marks, "ts", "left").withColumn("rel", F.col("a") - F.col("b"))
+    own = marked(bars, benchmark, {"b": price}).withColumn("rel", price - F.col("b"))
     made = own.withColumn("mom", F.col("rel") - F.lag("rel", lag).over(_w())).where("mom is not null")
     return made.select("symbol", "ts", "mom", (-F.col("mom")).alias("reversal"))
 
 
-def scale_features(bars: DataFrame, benchmark: str, sizes: tuple[int, ...] = (20, 60)) -> DataFrame:
+def scale_features(bars: DataFrame, benchmark: str | DataFrame, sizes: tuple[int, ...] = (20, 60)) -> DataFrame:
     """F15 and parts of F16: deviations of changes, and beta and correlation to the benchmark."""
-    marks = bars.where(F.col("symbol") == benchmark).select("ts", F.col("adjusted_close").alias("b_close"))
-    own = bars.where(F.col("symbol") != benchmark).join(marks, "ts")  # dates of both
+    own = marked(bars, benchmark, {"b_close": F.col("adjusted_close")}, "inner")  # dates of both
     price, mark = (F.ln(F.greatest(c, F.lit(TINY))) for c in ("adjusted_close", "b_close"))
     made = own.withColumn("a", price - F.lag(price).over(_w())).withColumn("b", mark - F.lag(mark).over(_w())).withColumn("d", F.col("a") - F.col("b"))
     cols = [F.stddev_pop(c).over(_w(1 - n)).alias(f"std_{c}_{n}") for n in sizes for c in "abd"]
@@ -134,21 +162,24 @@ def relative_windows(bars: DataFrame, size: int = 20, floored: bool = False) ->
     return made.select("symbol", "ts", F.transform("c", lambda x: F.ln(F.greatest(x, F.lit(TINY)) / F.greatest("adjusted_close", F.lit(TINY)))).alias("closes"), score.alias("volumes"))
 
 
-def rule_signals(bars: DataFrame, benchmark: str) -> DataFrame:
+def _clip(x: F.Column, most: float) -> F.Column:
+    return F.least(F.greatest(x, F.lit(-most)), F.lit(most))
+
+
+def _against(bars: DataFrame, benchmark: str | DataFrame) -> DataFrame:
+    """The bars on dates of both with rel (the log price less the benchmark's), its step, mom and deviation, and both strengths."""
+    rows = prepared(bars).withColumn("rsi", columns_of()["rsi"])
+    own = marked(rows, benchmark, {"b": F.col("price"), "b_rsi": F.col("rsi")}, "inner").withColumn("rel", F.col("price") - F.col("b"))
+    own = own.withColumns({"step": F.col("rel") - F.lag("rel").over(_w()), "mom": F.col("rel") - F.lag("rel", 5).over(_w()), "spread": F.greatest(F.stddev_pop("rel").over(_w(-49)), F.lit(1e-6))})
+    own = own.withColumn("relvol", F.greatest(F.stddev_pop("step").over(_w(-19)), F.lit(1e-6)))
+    cross = (F.avg("rel").over(_w(-19)) - F.avg("rel").over(_w(-49))) / F.col("spread")
+    return own.withColumns({"crossing": cross * F.col("relvol"), "scaled_momentum": _clip(F.col("mom") / F.col("relvol"), 4.0) * F.col("relvol"), "strength_signal": _clip((F.col("b_rsi") - F.col("rsi")) / 20, 2.5) * F.col("relvol")})
+
+
+def rule_signals(bars: DataFrame, benchmark: str | DataFrame) -> DataFrame:
     """moving-average crossing, relative strength and momentum against the benchmark,
     each in units of the relative volatility of the last 20 changes (relvol)."""
-    price = F.ln(F.greatest("adjusted_close", F.lit(TINY)))
-    marks = bars.where(F.col("symbol") == benchmark).select("ts", price.alias("b"))
-    own = bars.where(F.col("symbol") != benchmark).join(marks, "ts").withColumn("rel", price - F.col("b"))
-    own = own.withColumn("step", F.col("rel") - F.lag("rel").over(_w())).withColumn("mom", F.col("rel") - F.lag("rel", 5).over(_w()))
-    own = own.withColumn("relvol", F.greatest(F.stddev_pop("step").over(_w(-19)), F.lit(1e-6)))
-    cross = (F.avg("rel").over(_w(-19)) - F.avg("rel").over(_w(-49))) / F.greatest(F.stddev_pop("rel").over(_w(-49)), F.lit(1e-6))
-    clip = lambda x, most: F.least(F.greatest(x, F.lit(-most)), F.lit(most))
-    made = own.withColumn("crossing", cross * F.col("relvol")).where("mom is not null").select("symbol", "ts", "relvol", "crossing", (clip(F.col("mom") / F.col("relvol"), 4.0) * F.col("relvol")).alias("scaled_momentum"))
-    rsi = strength(bars)
-    mark = rsi.where(F.col("symbol") == benchmark).select("ts", F.col("rsi").alias("b_rsi"))
-    joined = made.join(rsi, ["symbol", "ts"]).join(mark, "ts")
-    return joined.select("symbol", "ts", "relvol", "crossing", "scaled_momentum", (clip((F.col("b_rsi") - F.col("rsi")) / 20, 2.5) * F.col("relvol")).alias("strength_signal"))
+    return _against(bars, benchmark).where("mom is not null").select("symbol", "ts", "relvol", "crossing", "scaled_momentum", "strength_signal")
 
 
 def patches(values, size: int, stride: int):
@@ -167,27 +198,21 @@ def amounts(bars: DataFrame, size: int = 20) -> DataFrame:
 SIGNALS = ("momentum_5d", "reversal_5d", "ma_crossover", "rsi", "macd", "volatility_scaled")
 
 
-def all_signals(bars: DataFrame, benchmark: str, size: int = 50) -> DataFrame:
-    """G1's six signals against the benchmark: momentum and its reverse, and in units of the relative
-    volatility of the last 20 changes the crossing of averages, relative strength, the distance of the
-    relative MACD (over up to `size` bars) from its line, and scaled momentum."""
-    base = rule_signals(bars, benchmark)
-    price = F.ln(F.greatest("adjusted_close", F.lit(TINY)))
-    marks = bars.where(F.col("symbol") == benchmark).select("ts", price.alias("b"))
-    own = bars.where(F.col("symbol") != benchmark).join(marks, "ts").withColumn("rel", price - F.col("b"))
-    held = own.withColumn("mom", F.col("rel") - F.lag("rel", 5).over(_w())).withColumn("spread", F.greatest(F.stddev_pop("rel").over(_w(1 - size)), F.lit(1e-6))).withColumn("x", F.collect_list("rel").over(_w(1 - size)))
-    made = held.where("mom is not null").withColumn("line", F.zip_with(ema(F.col("x"), 12), ema(F.col("x"), 26), lambda f, s: f - s))
-    gap = (F.element_at("line", -1) - F.element_at(ema(F.col("line"), 9), -1)) / F.col("spread")
-    made = made.select("symbol", "ts", "mom", F.least(F.greatest(gap, F.lit(-4.0)), F.lit(4.0)).alias("gap"))
-    both = base.join(made, ["symbol", "ts"])
-    return both.select("symbol", "ts", F.col("mom").alias("momentum_5d"), (-F.col("mom")).alias("reversal_5d"), F.col("crossing").alias("ma_crossover"), F.col("strength_signal").alias("rsi"), (F.col("gap") * F.col("relvol")).alias("macd"), F.col("scaled_momentum").alias("volatility_scaled"))
+def all_signals(bars: DataFrame, benchmark: str | DataFrame, size: int = 50) -> DataFrame:
+    """G1's six signals against the benchmark, in one chain of windows: momentum and its reverse, and in units
+    of the relative volatility of the last 20 changes the crossing of averages, relative strength, the distance
+    of the relative MACD (over up to `size` bars) from its line, and scaled momentum."""
+    held = _against(bars, benchmark).withColumn("x", F.collect_list("rel").over(_w(1 - size))).where("mom is not null")
+    made = held.withColumn("line", F.zip_with(ema(F.col("x"), 12), ema(F.col("x"), 26), lambda f, s: f - s))
+    gap = _clip((F.element_at("line", -1) - F.element_at(ema(F.col("line"), 9), -1)) / F.greatest("spread", F.lit(1e-6)), 4.0)
+    named = {"momentum_5d": F.col("mom"), "reversal_5d": -F.col("mom"), "ma_crossover": F.col("crossing"), "rsi": F.col("strength_signal"), "macd": gap * F.col("relvol"), "volatility_scaled": F.col("scaled_momentum")}
+    return made.select("symbol", "ts", *[c.alias(n) for n, c in named.items()])
 
 
-def historical_scales(bars: DataFrame, benchmark: str, size: int = 64) -> DataFrame:
+def historical_scales(bars: DataFrame, benchmark: str | DataFrame, size: int = 64) -> DataFrame:
     """Eight scales and twelve descriptors of the last 61 bars or more, volumes as of the
     cutoff. a is the asset, b the benchmark, d their difference; dates of both alone count."""
-    marks = bars.where(F.col("symbol") == benchmark).select("ts", F.col("adjusted_close").alias("b_close"), F.col("split_adjusted_volume").alias("b_shares"), F.col("volume").alias("b_volume"))
-    own = bars.where(F.col("symbol") != benchmark).join(marks, "ts")
+    own = marked(bars, benchmark, {"b_close": F.col("adjusted_close"), "b_shares": F.col("split_adjusted_volume"), "b_volume": F.col("volume")}, "inner")
     price, mark = (F.ln(F.greatest(c, F.lit(TINY))) for c in ("adjusted_close", "b_close"))
     made = own.withColumn("a", price - F.lag(price).over(_w())).withColumn("b", mark - F.lag(mark).over(_w())).withColumn("d", F.col("a") - F.col("b"))
     std = {f"std_{c}_{n}": F.stddev_pop(c).over(_w(1 - n)) for n in (20, 60) for c in "abd"}

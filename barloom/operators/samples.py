@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .marks import marked
+
 TINY = 1e-12
 
 
@@ -18,11 +20,10 @@ def uniform_sample(numbered: DataFrame, size: int, seed: int) -> DataFrame:
     return numbered.withColumn("__at", seeded_order(F.col("ordinal"), seed)).orderBy("__at", "ordinal").limit(size).drop("__at")
 
 
-def window_arrays(bars: DataFrame, benchmark: str, size: int) -> DataFrame:
+def window_arrays(bars: DataFrame, benchmark: str | DataFrame, size: int) -> DataFrame:
     """E5: for each cutoff with a whole window on the benchmark's dates the as-of adjusted closes and
     volumes of both, and the dates. One shuffle by symbol, after a join by date."""
-    marks = bars.where(F.col("symbol") == benchmark).select("ts", F.col("adjusted_close").alias("bench"), F.col("close").alias("bench_raw"))
-    own = bars.where(F.col("symbol") != benchmark).join(marks, "ts", "left")
+    own = marked(bars, benchmark, {"bench": F.col("adjusted_close"), "bench_raw": F.col("close")})
     w = Window.partitionBy("symbol").orderBy("ts")
     over = w.rowsBetween(1 - size, 0)
     row = F.struct("ts", "adjusted_close", "split_adjusted_volume", "bench")

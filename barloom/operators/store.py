@@ -45,8 +45,8 @@ def quality(bars: DataFrame, threshold: float) -> DataFrame:
 
 
 def consistent(column: str) -> F.Column:
-    """The value if there is exactly one, else null."""
-    return F.when(F.count_distinct(column) == 1, F.max(column))
+    """The value if there is exactly one, nulls apart, else null."""
+    return F.when(F.min(column) == F.max(column), F.max(column))
 
 
 def symbol_index(bars: DataFrame, benchmark: str, threshold: float) -> DataFrame:
@@ -58,10 +58,11 @@ def symbol_index(bars: DataFrame, benchmark: str, threshold: float) -> DataFrame
     return joined.withColumn("reason", reason).withColumn("eligible", F.col("reason") == "eligible").drop("wanted")
 
 
-def candidates(bars: DataFrame, benchmark: str, window: int, horizon: int, threshold: float) -> DataFrame:
-    """Cutoffs with a whole context and label, no extreme change in them and every date in the benchmark."""
-    marks = bars.where(F.col("symbol") == benchmark).select("ts", F.lit(0).alias("missing"))
-    own = transitions(bars, threshold).where(F.col("symbol") != benchmark).join(marks, "ts", "left")
+def candidates(bars: DataFrame, benchmark: str | DataFrame, window: int, horizon: int, threshold: float) -> DataFrame:
+    """Cutoffs with a whole context and label, no extreme change in them and every date in the symbol's benchmark."""
+    from .marks import marked
+
+    own = transitions(marked(bars, benchmark, {"missing": F.lit(0)}), threshold)
     w = Window.partitionBy("symbol").orderBy("ts")
     span = lambda first, last: w.rowsBetween(first, last)
     marked = own.withColumn("bad", F.sum(F.col("extreme").cast("int")).over(span(2 - window, horizon))).withColumn("absent", F.sum(F.coalesce("missing", F.lit(1))).over(span(1 - window, horizon)))
@@ -170,11 +171,12 @@ def split_by_context(cutoffs: DataFrame, bars: DataFrame, window: int, policy: F
     return split_by_fraction(cutoffs, own.withColumn("used", F.max("cut").over(ahead)).where("used = 1"), policy)
 
 
-def second_candidates(bars: DataFrame, benchmark: str, window: int, horizon: int, threshold: float) -> DataFrame:
+def second_candidates(bars: DataFrame, benchmark: str | DataFrame, window: int, horizon: int, threshold: float) -> DataFrame:
     """Cutoffs by differences of running totals, independently of `candidates`."""
-    marks = bars.where(F.col("symbol") == benchmark).select("ts", F.lit(0).alias("missing"))
+    from .marks import marked
+
     w = Window.partitionBy("symbol").orderBy("ts")
-    own = transitions(bars, threshold).where(F.col("symbol") != benchmark).join(marks, "ts", "left")
+    own = transitions(marked(bars, benchmark, {"missing": F.lit(0)}), threshold)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("idx", F.row_number().over(w) - 1).withColumn("gaps", F.sum(F.coalesce("missing", F.lit(1))).over(run)).withColumn("jumps", F.sum(F.col("extreme").cast("int")).over(run))
     gaps = F.lead("gaps", horizon).over(w) - F.coalesce(F.lag("gaps", window).over(w), F.lit(0))

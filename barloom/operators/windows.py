@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def window_reasons(bars: DataFrame, benchmark: str, size: int, horizon: int, threshold: float, stride: int = 1) -> DataFrame:
+def window_reasons(bars: DataFrame, benchmark: str | DataFrame, size: int, horizon: int, threshold: float, stride: int = 1) -> DataFrame:
     """Every cutoff with a whole context and label, and the first reason against it or `valid`."""
+    from .marks import marked
     from .store import transitions
 
-    marks = bars.where(F.col("symbol") == benchmark).select("ts", F.lit(0).alias("missing"))
-    own = transitions(bars, threshold).where(F.col("symbol") != benchmark).join(marks, "ts", "left").withColumn("missing", F.coalesce("missing", F.lit(1)))
+    own = transitions(marked(bars, benchmark, {"missing": F.lit(0)}), threshold).withColumn("missing", F.coalesce("missing", F.lit(1)))
     w = Window.partitionBy("symbol").orderBy("ts")
     total = lambda c, first, last: F.sum(c).over(w.rowsBetween(first, last))
     made = own.select("symbol", "ts", (F.row_number().over(w) - 1).alias("idx"), F.lead("ts", horizon).over(w).alias("label_end"), total(F.col("extreme").cast("int"), 2 - size, horizon).alias("jumps"), total("missing", 1 - size, 0).alias("context_gaps"), total("missing", 1, horizon).alias("label_gaps"))

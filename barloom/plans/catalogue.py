@@ -357,7 +357,7 @@ def e12_date_market(spark, folder):
 # features
 
 
-@query(f"WITH {FEATURES} SELECT symbol, ts, {r('ret_1', 'ret_5', 'ret_20')} FROM ft")
+@query(f"WITH {FEATURES} SELECT symbol, ts, {r('ret_1', 'ret_5', 'ret_20', 'ret_window')} FROM ft")
 def f1_returns(spark, folder):
     return features.returns(m.bars(spark, folder))
 
@@ -387,8 +387,8 @@ def f6_strength(spark, folder):
     return features.strength(m.bars(spark, folder))
 
 
-ROWS = f", fr AS (SELECT f.symbol, f.ts, ret_1, ret_5, ret_20, vol, atr, volume_score, sma_20, sma_50, {RSI} AS rsi FROM ft f JOIN vs ON f.symbol = vs.symbol AND f.ts = vs.ts)"
-FEATURE_NAMES = ("ret_1", "ret_5", "ret_20", "vol", "atr", "volume_score", "sma_20", "sma_50", "rsi")
+ROWS = f", fr AS (SELECT f.symbol, f.ts, ret_1, ret_5, ret_20, ret_window, vol, atr, volume_score, sma_20, sma_50, {RSI} AS rsi FROM ft f JOIN vs ON f.symbol = vs.symbol AND f.ts = vs.ts)"
+FEATURE_NAMES = ("ret_1", "ret_5", "ret_20", "ret_window", "vol", "atr", "volume_score", "sma_20", "sma_50", "rsi")
 
 
 @query(f"WITH {FEATURES}{VOLUME}{ROWS} SELECT a.symbol, a.ts, " + ", ".join(f"round(a.{c}, 4) + 0 AS {c}, round(b.{c}, 4) + 0 AS bench_{c}, round(a.{c} - b.{c}, 4) + 0 AS diff_{c}" for c in FEATURE_NAMES) + " FROM fr a JOIN (SELECT * FROM fr WHERE symbol = 'ALL') b ON a.ts = b.ts WHERE a.symbol <> 'ALL'", digits=4)
@@ -425,7 +425,7 @@ STD = "greatest(least((x_{c} - q2_{c}) / greatest(q3_{c} - q1_{c}, 1e-3), 10), -
 @query(f"WITH {FEATURES}, s AS (SELECT symbol, ts, asinh(ret_5) AS x_ret_5, asinh(sma_20) AS x_sma_20 FROM ft), q AS (SELECT " + ", ".join(f"quantile_cont(x_{c}, {p}) AS q{i}_{c}" for c in ("ret_5", "sma_20") for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))) + " FROM s) SELECT symbol, ts, " + ", ".join(f"round({STD.format(c=c)}, 5) + 0 AS {c}" for c in ("ret_5", "sma_20")) + " FROM s, q", digits=5)
 def f17_standardize(spark, folder):
     b = m.bars(spark, folder)
-    rows = features.returns(b).select("symbol", "ts", "ret_5").join(features.averages(b).select("symbol", "ts", "sma_20"), ["symbol", "ts"])
+    rows = features.chosen(b, "ret_5", "sma_20")
     return features.standardised(rows, ["ret_5", "sma_20"])
 
 

@@ -77,7 +77,7 @@ q AS (SELECT symbol, ts, """
 )
 def f22_causal(spark, folder):
     b = m.bars(spark, folder)
-    rows = features.returns(b, (1,)).join(features.averages(b, (20,)), ["symbol", "ts"])
+    rows = features.chosen(b, "ret_1", "sma_20")
     return features.causal_features(rows, ["ret_1", "sma_20"], 3)
 
 

@@ -80,7 +80,7 @@ FEATURES = (
     BARS
     + """,
 chg AS (SELECT *, l - lag(l) OVER w AS change, coalesce(lag(close) OVER w, close) AS pc, adjusted_close - lag(adjusted_close) OVER w AS step FROM lp WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-ft AS (SELECT symbol, ts, l - coalesce(lag(l, 1) OVER w, first_value(l) OVER w) AS ret_1, l - coalesce(lag(l, 5) OVER w, first_value(l) OVER w) AS ret_5, l - coalesce(lag(l, 20) OVER w, first_value(l) OVER w) AS ret_20,
+ft AS (SELECT symbol, ts, l - coalesce(lag(l, 1) OVER w, first_value(l) OVER w) AS ret_1, l - coalesce(lag(l, 5) OVER w, first_value(l) OVER w) AS ret_5, l - coalesce(lag(l, 20) OVER w, first_value(l) OVER w) AS ret_20, l - coalesce(lag(l, 63) OVER w, first_value(l) OVER w) AS ret_window,
       stddev_pop(change) OVER (w ROWS 19 PRECEDING) * sqrt(252) AS vol, avg(greatest(high - low, abs(high - pc), abs(low - pc))) OVER (w ROWS 13 PRECEDING) / greatest(close, 1e-12) AS atr,
       adjusted_close / avg(adjusted_close) OVER (w ROWS 19 PRECEDING) - 1 AS sma_20, adjusted_close / avg(adjusted_close) OVER (w ROWS 49 PRECEDING) - 1 AS sma_50,
       avg(CASE WHEN step IS NULL THEN 0 ELSE greatest(step, 0) END) OVER (w ROWS 13 PRECEDING) AS up, avg(CASE WHEN step IS NULL THEN 0 ELSE greatest(-step, 0) END) OVER (w ROWS 13 PRECEDING) AS down FROM chg WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""
