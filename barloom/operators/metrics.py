@@ -217,11 +217,11 @@ def rule_models(medians: DataFrame, is_train: F.Column) -> DataFrame:
     return made.select("rule", "h", "n", *[F.col("r")[i].alias(f"offset_{q}") for i, q in enumerate(NAMES)])
 
 
-def pair_losses(cross: DataFrame, *keys: str, margin: float = 0.01, most: int = 512) -> DataFrame:
+def pair_losses(cross: DataFrame, *keys: str, most: int, margin: float = 0.01) -> DataFrame:
     """By keys and date, pairs of symbols whose scaled truths differ enough.
 
-    Of a date at most `most` symbols are paired, those with the smallest hashes, as the loss is
-    defined on a bounded sample; a date with fewer is taken whole.
+    The loss is defined on a sample: `most` symbols of a date, those with the smallest hashes. It is a
+    parameter of what is computed, without a default; a date with fewer symbols is taken whole.
     """
     day = Window.partitionBy(*keys, "ts").orderBy(F.md5("symbol"), "symbol")
     chosen = cross.withColumn("__at", F.row_number().over(day)).where(F.col("__at") <= most)

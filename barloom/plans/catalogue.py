@@ -572,9 +572,13 @@ def h20_state_reduce(spark, folder):
     return t(spark, folder, "orders").groupBy("o_custkey").agg(F.min_by("o_orderstatus", level).alias("state"))
 
 
-@query(f"WITH {CROSS}, x AS (SELECT a.rule, a.h, a.ts, (a.alpha - b.alpha) / a.scale AS gap, (a.q50 - b.q50) / a.scale AS d FROM rk a JOIN rk b ON a.rule = b.rule AND a.h = b.h AND a.ts = b.ts AND a.symbol < b.symbol) SELECT rule, CAST(h AS BIGINT) AS h, ts, count(*) AS pairs, round(avg(ln(1 + exp(-sign(gap) * d))), 6) + 0 AS loss FROM x WHERE abs(gap) > 0.01 GROUP BY rule, h, ts")
+#: Symbols of a date that are paired, as a batch has so many at most.
+PAIRED = 512
+
+
+@query(f"WITH {CROSS}, pk AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY rule, h, ts ORDER BY md5(symbol), symbol) <= {PAIRED}), x AS (SELECT a.rule, a.h, a.ts, (a.alpha - b.alpha) / a.scale AS gap, (a.q50 - b.q50) / a.scale AS d FROM pk a JOIN pk b ON a.rule = b.rule AND a.h = b.h AND a.ts = b.ts AND a.symbol < b.symbol) SELECT rule, CAST(h AS BIGINT) AS h, ts, count(*) AS pairs, round(avg(ln(1 + exp(-sign(gap) * d))), 6) + 0 AS loss FROM x WHERE abs(gap) > 0.01 GROUP BY rule, h, ts")
 def g16_pairs(spark, folder):
-    return metrics.pair_losses(m.predictions(spark, folder), "rule", "h")
+    return metrics.pair_losses(m.predictions(spark, folder), "rule", "h", most=PAIRED)
 
 
 def probe_rows(spark, folder):
@@ -701,7 +705,7 @@ def l_hourly_bars(spark, folder):
 
 def _all() -> None:
     """Registers the queries of the other modules."""
-    from . import evaluation_queries, intake_queries, sample_queries  # noqa: F401
+    from . import evaluation_queries, intake_queries, market_queries, sample_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,9 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _ohlcv(trades: DataFrame, *keys: str) -> DataFrame:
+def _prices() -> list:
     """Open and close by the order of `k`; volume is the number of trades."""
-    return trades.groupBy(*keys).agg(F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "k").alias("close"), F.count("*").cast("double").alias("volume"))
+    return [F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "k").alias("close"), F.count("*").cast("double").alias("volume")]
+
+
+def _ohlcv(trades: DataFrame, *keys: str) -> DataFrame:
+    return trades.groupBy(*keys).agg(*_prices())
 
 
 def order_trades(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,6 +44,40 @@ def brand_bars(spark: SparkSession, folder: str) -> DataFrame:
     return _ohlcv(trades, "symbol", "ts")
 
 
+#: Days that each market's index lacks: those whose number in the year such a number divides.
+INDEX_GAPS = {"AMERICA": 97, "ASIA": 89, "EUROPE": 83}
+
+
+def market_trades(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as trades: a symbol is a brand in a nation and segment, its market the nation's region.
+
+    Some brands are no stocks, one is a fund in some nations, and one is sold as a stock and as a fund.
+    """
+    nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    buyers = table(spark, folder, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "r_name", "n_name")
+    orders = table(spark, folder, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.to_date("o_orderdate").alias("ts"), "c_mktsegment", "r_name", "n_name")
+    brands = table(spark, folder, "part").select("p_partkey", "p_brand")
+    lines = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(brands, F.col("l_partkey") == F.col("p_partkey"))
+    kind = F.when(F.col("p_brand") == "Brand#5", "option").when((F.col("p_brand") == "Brand#7") & (F.col("l_linenumber") % 2 == 0), "etf").when(F.col("p_brand") == "Brand#9", "etf").otherwise("stock")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return lines.select(F.upper(F.concat_ws("/", "p_brand", "n_name", "c_mktsegment")).alias("symbol"), F.col("r_name").alias("market"), kind.alias("asset_type"), "ts", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), order.alias("k"))
+
+
+def market_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars of all brands, nations and segments, and of the indexes of three markets, each on a calendar of its own."""
+    trades = market_trades(spark, folder)
+    own = trades.groupBy("symbol", "market", "ts").agg(F.min_by("asset_type", "k").alias("asset_type"), *_prices())
+    lacks = F.coalesce(*[F.when(F.col("market") == market, F.dayofyear("ts") % every == 0) for market, every in INDEX_GAPS.items()], F.lit(True))
+    index = trades.where(~lacks).withColumns({"symbol": F.concat(F.lit("IX/"), "market"), "asset_type": F.lit("index")})
+    return own.unionByName(index.groupBy("symbol", "market", "ts").agg(F.first("asset_type").alias("asset_type"), *_prices()))
+
+
+def market_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Some order lines as two-for-one splits of their symbol on their day."""
+    cut = market_trades(spark, folder).where("k.l_orderkey % 101 = 0 and k.l_linenumber = 1")
+    return cut.select("symbol", "ts", F.lit(0.5).alias("price_factor"), F.lit(2.0).alias("share_multiplier"), F.lit("line").alias("source"))
+
+
 def order_actions(spark: SparkSession, folder: str) -> DataFrame:
     """Some orders as two-for-one splits of their region on their day."""
     return order_trades(spark, folder).where(F.col("k") % 501 == 0).select("symbol", "ts", F.lit(0.5).alias("price_factor"), F.lit(2.0).alias("share_multiplier"), F.concat(F.lit("s"), (F.col("k") % 3).cast("string")).alias("source"))
