@@ -34,16 +34,17 @@ ROUNDS = 10
 #: How often a value that fell outside its domain is permuted again; a miss has a chance under 1e-30.
 WALKS = 64
 EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9][\p{L}0-9._%+\-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-IBAN = r"(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}[a-z0-9]{11,30})(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+SMALL_IBAN = r"(?<![A-Za-z0-9])[a-z]{2}\d{2}[a-z0-9]{11,30}(?![A-Za-z0-9])"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"
-SECRET = r"(?<=(?i:token|password|passwd|pwd|secret(?:[_\-](?:access[_\-])?key)?|(?:api|access|private|auth)[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?|(?i:bearer)\s{1,3}(?=[^\s\"'<>,;]{16})(?=[^\s\"'<>,;]{0,200}\d))(?<![A-Za-z0-9+/_\-])(?=[^\s\"'<>,;]{8})[A-Za-z0-9+/_\-][^\s\"'<>,;]*[A-Za-z0-9+/_\-=]"
+SECRET = r"(?<=[=:\"'\s])(?=[^\s\"'<>,;]{8})(?<=(?i:token|password|passwd|pwd|secret(?:[_\-](?:access[_\-])?key)?|(?:api|access|private|auth)[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?|(?i:bearer)\s{1,3}(?=[^\s\"'<>,;]{16})(?=[^\s\"'<>,;]{0,200}\d))[A-Za-z0-9+/_\-][^\s\"'<>,;]*[A-Za-z0-9+/_\-=]"
 IPV4 = r"(?<![\d.])(?<!(?i:version|release)[ :=]{0,2}|\b[vV]\.?)(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 DAY_DATE = r"(?<![\d/.])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.)\d{4}(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+(?=(?:[ .\-()]{0,2}\d){8})[1-9]\d{0,2}(?:[ .\-]\(?\d{1,10}\)?){2,6}(?!\d)|(?<!\d)\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d.\-])"
 CARD = r"(?<![\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"
-KINDS = {"email": EMAIL, "iban": IBAN, "access": ACCESS, "secret": SECRET, "ipv4": IPV4, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
+KINDS = {"email": EMAIL, "iban": IBAN, "access": ACCESS, "secret": SECRET, "small_iban": SMALL_IBAN, "ipv4": IPV4, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 #: The only group is that of assigned secrets, which may look like anything else.
 ANY = "|".join(f"({pattern})" if kind == "secret" else pattern for kind, pattern in KINDS.items())
 #: The country calling codes of one and two digits; all others have three.
@@ -209,7 +210,7 @@ def _pseudonym(key: str, m, secret):
         .when(full(PHONE), _phone(key, m))
         .when(full(CARD), _card(key, m))
         .when(full(ACCESS), _access(key, m))
-        .when(full(IBAN), _iban(key, m))
+        .when(full(f"{IBAN}|{SMALL_IBAN}"), _iban(key, m))
         .otherwise(m)
     )
 
