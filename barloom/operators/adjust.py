@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 TINY = 1e-12
 
 
@@ -59,11 +61,12 @@ def execution_returns(bars: DataFrame, horizons: list[int]) -> DataFrame:
     return made.where("x.exit is not null and entry is not null").select("symbol", "ts", "x.h", "x.end_at", (F.col("x.exit") / F.greatest("entry", F.lit(TINY))).alias("gross"))
 
 
-def alphas(bars: DataFrame, benchmark: str | DataFrame, horizons: list[int]) -> DataFrame:
+def alphas(bars: DataFrame, benchmark: str | DataFrame, horizons: list[int], also: dict[str, Column] | None = None) -> DataFrame:
     """Log gross return less that of the benchmark on the asset's own dates.
 
     The benchmark is joined by date before the leads, so its bars are those of the asset's calendar;
-    a label whose first or last date the benchmark lacks is left out.
+    a label whose first or last date the benchmark lacks is left out. `also` are columns of the same chain of
+    windows, made of the asset's columns and of b_open and b_close; they come before alpha.
     """
     from .marks import marked
 
@@ -71,13 +74,14 @@ def alphas(bars: DataFrame, benchmark: str | DataFrame, horizons: list[int]) ->
     w = Window.partitionBy("symbol").orderBy("ts")
     entry = F.col("open") * F.col("adjusted_close") / F.greatest("close", F.lit(TINY))
     legs = [F.struct(F.lit(h).alias("h"), F.lead("adjusted_close", h).over(w).alias("exit"), F.lead("b_close", h).over(w).alias("b_exit"), F.lead("ts", h).over(w).alias("end_at")) for h in horizons]
-    made = own.select("symbol", "ts", F.lead(entry, 1).over(w).alias("entry"), F.lead("b_open", 1).over(w).alias("b_entry"), F.array(*legs).alias("legs")).withColumn("x", F.explode("legs"))
+    made = own.select("symbol", "ts", F.lead(entry, 1).over(w).alias("entry"), F.lead("b_open", 1).over(w).alias("b_entry"), F.array(*legs).alias("legs"), *[c.alias(n) for n, c in (also or {}).items()]).withColumn("x", F.explode("legs"))
     good = made.where("x.exit > 0 and entry > 0 and x.b_exit > 0 and b_entry > 0")
-    return good.select("symbol", "ts", "x.h", "x.end_at", (F.ln(F.col("x.exit") / F.col("entry")) - F.ln(F.col("x.b_exit") / F.col("b_entry"))).alias("alpha"))
+    return good.select("symbol", "ts", "x.h", "x.end_at", *(also or {}), (F.ln(F.col("x.exit") / F.col("entry")) - F.ln(F.col("x.b_exit") / F.col("b_entry"))).alias("alpha"))
 
 
 def robust_scales(labels: DataFrame, floor: float = 1e-4) -> DataFrame:
     """By horizon the larger of quartile distance, scaled median deviation and a floor; four labels at least."""
-    mid = labels.groupBy("h").agg(F.percentile("alpha", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
-    spread = labels.join(mid, "h").groupBy("h").agg(F.percentile(F.abs(F.col("alpha") - F.col("q")[1]), 0.5).alias("mad"))
+    mid = quantiles.exact(labels, ["h"], "alpha", (0.25, 0.5, 0.75))
+    away = labels.join(F.broadcast(mid.select("h", F.col("q")[1].alias("__m"))), "h").select("h", F.abs(F.col("alpha") - F.col("__m")).alias("x"))  # a row a horizon
+    spread = quantiles.exact(away, ["h"], "x", (0.5,)).select("h", F.col("q")[0].alias("mad"))
     return mid.join(spread, "h").where("n >= 4").select("h", "n", F.greatest(F.col("q")[2] - F.col("q")[0], 1.4826 * F.col("mad"), F.lit(floor)).alias("scale"))

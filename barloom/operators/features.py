@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
 from .marks import marked
 
 TINY = 1e-12
@@ -139,7 +140,9 @@ def scale_features(bars: DataFrame, benchmark: str | DataFrame, sizes: tuple[int
 def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
     """asinh of each, less its median, by its quartile distance (a thousandth at least), within ten."""
     shaped = rows.withColumns({c: F.asinh(c) for c in columns})
-    fits = shaped.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{c}") for c in columns])
+    long = shaped.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in columns])).alias("y")).select("y.c", F.col("y").getField("x").alias("x"))
+    found = quantiles.exact(long, ["c"], "x", (0.25, 0.5, 0.75))
+    fits = found.agg(*[F.max(F.when(F.col("c") == c, F.col("q"))).alias(f"q_{c}") for c in columns])
     out = shaped.crossJoin(F.broadcast(fits))  # one row
     return out.withColumns({c: F.least(F.greatest((F.col(c) - F.col(f"q_{c}")[1]) / F.greatest(F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0], F.lit(1e-3)), F.lit(-10.0)), F.lit(10.0)) for c in columns}).drop(*[f"q_{c}" for c in columns])
 
@@ -238,8 +241,8 @@ def scale_calibration(rows: DataFrame, positive: int = 8) -> DataFrame:
     the first `positive` and asinh for the others. All features of a row go through one aggregation."""
     shaped = [(F.ln(F.col(c) + 1e-8) if i < positive else F.asinh(c)).alias(c) for i, c in enumerate(SCALE_NAMES)]
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("x")) for c, x in zip(SCALE_NAMES, shaped, strict=True)])).alias("y"))
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    return long.select(F.col("y.feature").alias("feature"), F.col("y").getField("x").alias("x")).groupBy("feature").agg(q, F.count("*").alias("n")).select("feature", "n", F.col("q")[1].alias("center"), F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-3)).alias("scale"))
+    found = quantiles.exact(long.select(F.col("y.feature").alias("feature"), F.col("y").getField("x").alias("x")), ["feature"], "x", (0.25, 0.5, 0.75))
+    return found.select("feature", "n", F.col("q")[1].alias("center"), F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-3)).alias("scale"))
 
 
 def causal_features(rows: DataFrame, columns: list[str], outputs: int) -> DataFrame:

@@ -5,23 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 QUANTILES = (0.1, 0.5, 0.9)
 NAMES = ("q10", "q50", "q90")
 
 
-def rule_medians(train: DataFrame, signals: DataFrame, scales: DataFrame) -> DataFrame:
-    """G1: by cutoff, horizon and rule the central forecast: always_buy, zero, or a signal by h / 5."""
-    bought = train.groupBy("h").agg(F.median("alpha").alias("m")).join(scales, "h").select("h", F.greatest("m", 0.25 * F.col("scale")).alias("m"))
-    fixed = signals.select("symbol", "ts", "h", "alpha").join(F.broadcast(bought), "h").select("symbol", "ts", "h", "alpha", F.explode(F.array(F.struct(F.lit("always_buy").alias("rule"), F.col("m").alias("q50")), F.struct(F.lit("zero").alias("rule"), F.lit(0.0).alias("q50")))).alias("x"))
-    moved = signals.select("symbol", "ts", "h", "alpha", F.lit("momentum").alias("rule"), (F.col("mom") * F.col("h") / 5).alias("q50"))
-    return fixed.select("symbol", "ts", "h", "alpha", "x.rule", "x.q50").unionByName(moved)
+def bought(train: DataFrame, scales: DataFrame) -> DataFrame:
+    """G1: by horizon m, what always_buy forecasts: the training median, a quarter of the scale at least."""
+    mid = quantiles.exact(train, ["h"], "alpha", (0.5,)).select("h", F.col("q")[0].alias("m"))
+    return mid.join(scales.select("h", "scale"), "h").select("h", F.greatest("m", 0.25 * F.col("scale")).alias("m"))
+
+
+def rule_medians(signals: DataFrame, always: DataFrame) -> DataFrame:
+    """G1: by cutoff, horizon and rule the central forecast: always_buy, zero, or momentum by h / 5. `always` has (h, m)."""
+    made = {"always_buy": F.col("m"), "zero": F.lit(0.0), "momentum": F.col("mom") * F.col("h") / 5}
+    return _each_rule(signals, always, made)
+
+
+def _each_rule(signals: DataFrame, always: DataFrame, made: dict) -> DataFrame:
+    placed = signals.join(F.broadcast(always), "h")  # a row a horizon
+    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), q.cast("double").alias("q50")) for rule, q in made.items()])).alias("x")
+    return placed.select("symbol", "ts", "h", "alpha", each).select("symbol", "ts", "h", "alpha", "x.rule", "x.q50")
+
 
+def offsets(medians: DataFrame) -> DataFrame:
+    """By rule and horizon n and r, the quantiles of the residuals of (training) rows."""
+    rows = medians.select("rule", "h", (F.col("alpha") - F.col("q50")).alias("x"))
+    return quantiles.exact(rows, ["rule", "h"], "x", QUANTILES).withColumnRenamed("q", "r")
 
-def calibrated(medians: DataFrame, is_train: F.Column) -> DataFrame:
-    """Quantiles of the training residuals by rule and horizon, added to each central forecast."""
-    resid = medians.where(is_train).groupBy("rule", "h").agg(F.percentile(F.col("alpha") - F.col("q50"), F.array(*map(F.lit, QUANTILES))).alias("r"))
-    made = medians.join(F.broadcast(resid), ["rule", "h"])
-    spread = F.array_sort(F.array(*[F.col("q50") + F.col("r")[i] for i in range(3)]))  # G5
+
+def calibrated(medians: DataFrame, resid: DataFrame) -> DataFrame:
+    """The residuals' quantiles, added to each central forecast and put in order."""
+    made = medians.join(F.broadcast(resid.select("rule", "h", "r")), ["rule", "h"])  # a row a rule and horizon
+    spread = F.array_sort(F.array(*[F.col("q50") + F.col("r")[i] for i in range(3)]))
     return made.select("rule", "symbol", "ts", "h", "alpha", *[spread[i].alias(n) for i, n in enumerate(NAMES)])
 
 
@@ -33,31 +50,34 @@ def pinball(truth: str = "alpha") -> F.Column:
 
 def correlation(x: F.Column, y: F.Column) -> F.Column:
     """H4: from sums, zero for a constant, within one."""
-    n = F.count(x * y)
-    sx, sy, sxx, syy, sxy = (F.sum(v) for v in (x, y, x * x, y * y, x * y))
+    return _correlation(F.count(x * y), *(F.sum(v) for v in (x, y, x * x, y * y, x * y)))
+
+
+def _correlation(n, sx, sy, sxx, syy, sxy) -> F.Column:
     below = (n * sxx - sx * sx) * (n * syy - sy * sy)
     return F.when(below <= 1e-20, 0.0).otherwise(F.greatest(F.least(F.try_divide(n * sxy - sx * sy, F.sqrt(below)), F.lit(1.0)), F.lit(-1.0)))
 
 
-def _metrics() -> list:
-    hit = (F.col("alpha") >= F.col("q10")) & (F.col("alpha") <= F.col("q90"))
-    cover = F.avg(hit.cast("double"))
-    return [
-        F.count("*").alias("n"),
-        F.avg(pinball()).alias("pinball"),
-        F.avg(pinball() / F.col("scale")).alias("norm_pinball"),
-        F.avg(F.abs(F.col("alpha") - F.col("q50"))).alias("mae"),
-        correlation(F.col("alpha"), F.col("q50")).alias("corr"),
-        F.avg((F.signum(F.round("alpha", 9)) == F.signum(F.round("q50", 9))).cast("double")).alias("sign"),
-        cover.alias("coverage"),
-        F.avg(F.col("q90") - F.col("q10")).alias("width"),
-        F.abs(cover - 0.8).alias("coverage_error"),
-    ]
+def partial_sums() -> dict[str, F.Column]:
+    """H4: what of a set of predictions its metrics are made of; the sums of two sets are those of both."""
+    a, q = F.col("alpha"), F.col("q50")
+    hit, same = F.col("alpha").between(F.col("q10"), F.col("q90")), F.signum(F.round("alpha", 9)) == F.signum(F.round("q50", 9))
+    of_row = {"pin": pinball(), "norm": pinball() / F.col("scale"), "gap": F.abs(a - q), "x": a, "y": q, "xx": a * a, "yy": q * q, "xy": a * q, "same": same.cast("double"), "hit": hit.cast("double"), "wide": F.col("q90") - F.col("q10")}
+    return {"n": F.count("*")} | {name: F.sum(value) for name, value in of_row.items()}
+
+
+def metrics_of(total=F.col) -> dict[str, F.Column]:
+    """H2 from the sums, which `total` gives by name."""
+    n = total("n")
+    mean = lambda name: total(name) / n
+    corr = _correlation(n, *(total(name) for name in ("x", "y", "xx", "yy", "xy")))
+    return {"n": n, "pinball": mean("pin"), "norm_pinball": mean("norm"), "mae": mean("gap"), "corr": corr, "sign": mean("same"), "coverage": mean("hit"), "width": mean("wide"), "coverage_error": F.abs(mean("hit") - 0.8)}
 
 
 def by_horizon(predictions: DataFrame, *keys: str) -> DataFrame:
     """H2: one pass of sums by horizon, which partial aggregation takes."""
-    return predictions.groupBy(*keys, "h").agg(*_metrics())
+    sums = predictions.groupBy(*keys, "h").agg(*[s.alias(n) for n, s in partial_sums().items()])
+    return sums.select(*keys, "h", *[c.alias(n) for n, c in metrics_of().items()])
 
 
 def over_horizons(per_h: DataFrame, *keys: str) -> DataFrame:
@@ -201,20 +221,15 @@ def median_metric(paths: DataFrame) -> DataFrame:
     return paths.groupBy(name.alias("name")).agg(F.count(finite).alias("n"), F.median(finite).alias("median"))
 
 
-def all_rules(train: DataFrame, signals: DataFrame, scales: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """G1 with every rule: always_buy, zero_return, and each named signal by h / 5."""
-    bought = train.groupBy("h").agg(F.median("alpha").alias("m")).join(scales, "h").select("h", F.greatest("m", 0.25 * F.col("scale")).alias("m"))
-    placed = signals.join(F.broadcast(bought), "h")  # a row a horizon
+def all_rules(signals: DataFrame, always: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """G1 with every rule: always_buy, zero_return, and each named signal by h / 5. `always` has (h, m)."""
     made = {"always_buy": F.col("m"), "zero_return": F.lit(0.0)} | {n: F.col(n) * F.col("h") / 5 for n in names}
-    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), q.alias("q50")) for rule, q in made.items()])).alias("x")
-    return placed.select("symbol", "ts", "h", "alpha", each).select("symbol", "ts", "h", "alpha", "x.rule", "x.q50")
+    return _each_rule(signals, always, made)
 
 
-def rule_models(medians: DataFrame, is_train: F.Column) -> DataFrame:
+def rule_models(medians: DataFrame) -> DataFrame:
     """By rule and horizon the training residuals' quantiles, which make the rule a model; no sorting of rows by hand."""
-    r = F.percentile(F.col("alpha") - F.col("q50"), F.array(*map(F.lit, QUANTILES))).alias("r")
-    made = medians.where(is_train).groupBy("rule", "h").agg(r, F.count("*").alias("n"))
-    return made.select("rule", "h", "n", *[F.col("r")[i].alias(f"offset_{q}") for i, q in enumerate(NAMES)])
+    return offsets(medians).select("rule", "h", "n", *[F.col("r")[i].alias(f"offset_{q}") for i, q in enumerate(NAMES)])
 
 
 def pair_losses(cross: DataFrame, *keys: str, most: int, margin: float = 0.01) -> DataFrame:

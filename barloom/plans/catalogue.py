@@ -463,10 +463,7 @@ def f21_amounts(spark, folder):
 
 @query(f"WITH {PREDICTIONS} SELECT rule, symbol, ts, CAST(h AS BIGINT) AS h, round(c, 6) + 0 AS q50 FROM rm")
 def g1_rules(spark, folder):
-    lab = m.labels(spark, folder)
-    train = lab.where(F.col("ts") < F.lit(m.TRAIN_END).cast("date"))
-    signals = lab.join(features.momentum(m.bars(spark, folder), m.BENCHMARK), ["symbol", "ts"])
-    return metrics.rule_medians(train, signals, adjust.robust_scales(train).select("h", "scale")).select("rule", "symbol", "ts", "h", "q50")
+    return m.medians(spark, folder).select("rule", "symbol", "ts", "h", "q50")
 
 
 @query(f"WITH {PREDICTIONS} SELECT rule, symbol, ts, CAST(h AS BIGINT) AS h, {r('alpha', 'q10', 'q50', 'q90', 'scale')} FROM pd")

@@ -115,10 +115,8 @@ am AS (SELECT 'always_buy' AS rule, symbol, ts, al.h, alpha, m AS c FROM al JOIN
 
 
 def all_medians(spark, folder):
-    labels = m.labels(spark, folder)
-    train = labels.where(F.col("ts") < F.lit(m.TRAIN_END).cast("date"))
-    signals = labels.join(features.all_signals(m.bars(spark, folder), m.BENCHMARK), ["symbol", "ts"])
-    return metrics.all_rules(train, signals, adjust.robust_scales(train).select("h", "scale"), features.SIGNALS)
+    signals = m.labels(spark, folder).join(features.all_signals(m.bars(spark, folder), m.BENCHMARK), ["symbol", "ts"])
+    return metrics.all_rules(signals, m.always(spark, folder), features.SIGNALS)
 
 
 @query(f"WITH {RULES} SELECT rule, symbol, ts, CAST(h AS BIGINT) AS h, round(c, 5) + 0 AS q50 FROM am", digits=5)
@@ -128,7 +126,7 @@ def g1_all_rules(spark, folder):
 
 @query(f"WITH {RULES} SELECT rule, CAST(h AS BIGINT) AS h, count(*) AS n, round(quantile_cont(alpha - c, 0.1), 5) + 0 AS offset_q10, round(quantile_cont(alpha - c, 0.5), 5) + 0 AS offset_q50, round(quantile_cont(alpha - c, 0.9), 5) + 0 AS offset_q90 FROM am WHERE ts < DATE '1996-01-01' GROUP BY rule, h", digits=5)
 def g3_rule_models(spark, folder):
-    return metrics.rule_models(all_medians(spark, folder), F.col("ts") < F.lit(m.TRAIN_END).cast("date"))
+    return metrics.rule_models(m.training(all_medians(spark, folder)))
 
 
 # losses and comparisons

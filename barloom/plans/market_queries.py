@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adjust, features, marks, metrics, store, windows
 from ..sources import bars as src
+from ..sources import stages
 from .catalogue import query
 from .oracle import CORR, r
 
@@ -14,13 +15,18 @@ WINDOW, HORIZON, HORIZONS, THRESHOLD = 5, 3, [1, 3], 2.0
 BY_MARKET = {"AMERICA": "IX/AMERICA", "ASIA": "IX/ASIA", "EUROPE": "IX/EUROPE", "MIDDLE EAST": "IX/MIDDLE EAST"}
 
 
+TABLES = ("lineitem", "orders", "part", "customer", "nation", "region")
+
+
 def bars(spark, folder):
-    return adjust.back_adjust(src.market_bars(spark, folder), src.market_actions(spark, folder))
+    """A stage table, as all queries here read it several times."""
+    made = lambda: adjust.back_adjust(src.market_bars(spark, folder), src.market_actions(spark, folder))
+    return stages.kept(spark, "market-bars", {"made": 1}, [f"{folder}/{t}.parquet" for t in TABLES], made)
 
 
 def explicit(spark, folder):
     """Symbols of two nations of Africa are compared with other markets' indexes, whatever their market's is."""
-    own = src.market_bars(spark, folder).where("market = 'AFRICA'").select("symbol").distinct()
+    own = bars(spark, folder).where("market = 'AFRICA'").select("symbol").distinct()
     nation = F.split("symbol", "/")[1]
     wanted = F.when(nation == "NATION_0", "IX/ASIA").when(nation == "NATION_5", "IX/EUROPE").when(nation == "NATION_10", F.col("symbol"))
     return own.select("symbol", wanted.alias("benchmark_symbol")).where("benchmark_symbol is not null")
@@ -28,11 +34,13 @@ def explicit(spark, folder):
 
 def funds(spark, folder):
     """The funds that may be targets: those of one brand in Asia."""
-    return src.market_bars(spark, folder).where("market = 'ASIA' and symbol like 'BRAND#9/%'").select("symbol", "market").distinct()
+    return bars(spark, folder).where("market = 'ASIA' and symbol like 'BRAND#9/%'").select("symbol", "market").distinct()
 
 
 def index(spark, folder):
-    return marks.market_index(bars(spark, folder), THRESHOLD, BY_MARKET, explicit(spark, folder), funds(spark, folder))
+    """A stage table: a row a symbol."""
+    made = lambda: marks.market_index(bars(spark, folder), THRESHOLD, BY_MARKET, explicit(spark, folder), funds(spark, folder))
+    return stages.kept(spark, "market-index", {"made": 1, "threshold": THRESHOLD, "by_market": BY_MARKET}, [f"{folder}/{t}.parquet" for t in TABLES], made)
 
 
 MARKETS = """
