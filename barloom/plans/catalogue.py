@@ -536,7 +536,7 @@ LOSSES = ", dl AS (SELECT rule, ts, avg(pin / scale) AS loss FROM pd GROUP BY ru
 
 @query(f"WITH {PREDICTIONS}{LOSSES} SELECT rule, round(avg(loss - b), 6) + 0 AS difference, count(b) AS dates, count(*) + (SELECT count(*) FROM zl) - 2 * count(b) AS unmatched FROM dd GROUP BY rule")
 def h9_paired_mean(spark, folder):
-    losses = metrics.daily(m.predictions(spark, folder), "rule")
+    losses = m.losses(spark, folder)
     return metrics.paired(losses.where("rule <> 'zero'"), losses.where("rule = 'zero'"), "rule")
 
 
@@ -702,7 +702,7 @@ def l_hourly_bars(spark, folder):
 
 def _all() -> None:
     """Registers the queries of the other modules."""
-    from . import evaluation_queries, intake_queries, market_queries, sample_queries  # noqa: F401
+    from . import evaluation_queries, intake_queries, market_queries, sample_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

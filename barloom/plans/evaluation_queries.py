@@ -150,7 +150,7 @@ iv AS (SELECT rule, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975
 SELECT se.rule, n AS dates, {r('low', 'high')} FROM se LEFT JOIN iv ON se.rule = iv.rule"""
 )
 def h9_interval(spark, folder):
-    losses = metrics.daily(m.predictions(spark, folder), "rule").select("rule", "ts", "loss")
+    losses = m.losses(spark, folder).select("rule", "ts", "loss")
     zero = losses.where("rule = 'zero'").select("ts", F.col("loss").alias("b"))
     differences = losses.where("rule <> 'zero'").join(zero, "ts").select("rule", "ts", (F.col("loss") - F.col("b")).alias("difference"))
     return metrics.block_intervals(differences, "rule", rounds=200)

@@ -77,6 +77,11 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     return made.join(F.broadcast(scales(spark, folder).select("h", "scale")), "h")  # a row a horizon
 
 
+def losses(spark: SparkSession, folder: str) -> DataFrame:
+    """H8 of all predictions, a stage table: a row a rule and date."""
+    return stage(spark, folder, "losses", {"train_end": TRAIN_END, "horizons": HORIZONS}, lambda: metrics.daily(predictions(spark, folder), "rule"))
+
+
 def candidate_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: orders to bars, actions, extreme changes, benchmark calendar, cutoffs, ranges."""
     return store.islands(cutoffs(spark, folder)).orderBy("symbol", "start_index")
