@@ -1,8 +1,8 @@
-"""Small learned models whose training is Spark aggregation."""
+"""Ridge probes whose training is one Spark aggregation."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -50,53 +50,3 @@ def shuffled_labels(rows: DataFrame, label: str, seed: int) -> DataFrame:
     placed = rows.withColumn("__at", F.row_number().over(day.orderBy("symbol")))
     given = rows.select("ts", F.col(label).alias("__label"), F.row_number().over(day.orderBy(mixed, "symbol")).alias("__at"))
     return placed.join(given, ["ts", "__at"]).withColumn(label, F.col("__label")).drop("__at", "__label")
-
-
-@dataclass
-class QuantileBoost:
-    """A sum of one-split trees for one quantile."""
-
-    base: float
-    stumps: list[tuple[str, float, float, float]] = field(default_factory=list)
-
-    def predict(self) -> Column:
-        out = F.lit(self.base)
-        for c, cut, low, high in self.stumps:
-            out = out + F.when(F.col(c) <= cut, low).otherwise(high)
-        return out
-
-
-def fit_quantile(train: DataFrame, columns: list[str], target: str, q: float, rounds: int = 10, bins: int = 16, rate: float = 0.3) -> QuantileBoost | None:
-    """Each round one aggregation sums the loss's slope by column and bin, whose best cut is taken, and
-    another finds the quantile of the residuals on both sides. The driver sees bins, never rows."""
-    rows = train.dropna(subset=[*columns, target])
-    edges = rows.agg(F.percentile_approx(target, q, 100000).alias("base"), *[F.percentile_approx(c, [i / bins for i in range(1, bins)], 100000).alias(c) for c in columns]).first()
-    if edges["base"] is None:
-        return None
-    cuts = {c: sorted(set(edges[c])) for c in columns}
-    model = QuantileBoost(float(edges["base"]))
-    place = {c: sum(((F.col(c) > cut).cast("int") for cut in cuts[c]), F.lit(0)) for c in columns}
-    for _ in range(rounds):
-        left = F.col(target) - model.predict()
-        slope = F.when(left > 0, q).otherwise(q - 1)
-        held = rows.select(left.alias("left"), slope.alias("slope"), *columns, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), place[c].alias("bin")) for c in columns])).alias("x"))
-        sums: dict[str, dict[int, tuple[float, int]]] = {c: {} for c in columns}
-        for r in held.groupBy("x.c", "x.bin").agg(F.sum("slope").alias("s"), F.count("*").alias("n")).collect():
-            sums[r["c"]][r["bin"]] = (r["s"], r["n"])
-        best = (0.0, "", 0.0)
-        for c in sorted(columns):
-            total, count = (sum(v[i] for v in sums[c].values()) for i in (0, 1))
-            s = n = 0
-            for b, cut in enumerate(cuts[c]):
-                s, n = s + sums[c].get(b, (0, 0))[0], n + sums[c].get(b, (0, 0))[1]
-                if 0 < n < count:
-                    gain = s * s / n + (total - s) ** 2 / (count - n) - total * total / count
-                    if gain > best[0]:
-                        best = (gain, c, float(cut))
-        if not best[1]:
-            break
-        _, c, cut = best
-        side = rows.select(left.alias("left"), (F.col(c) <= cut).alias("low")).groupBy("low").agg(F.percentile_approx("left", q, 100000).alias("v")).collect()
-        value = {r["low"]: rate * float(r["v"]) for r in side}
-        model.stumps.append((c, cut, value[True], value[False]))
-    return model

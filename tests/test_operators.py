@@ -206,7 +206,7 @@ def test_observation_of_one_symbol(spark, bars):
         samples.joined_batches([with_type, with_type.drop("ts")])
 
 
-def test_ridge_and_quantile_models(spark):
+def test_ridge_model(spark):
     import numpy as np
 
     rng = np.random.default_rng(1)
@@ -216,12 +216,7 @@ def test_ridge_and_quantile_models(spark):
     z, centred = (x - x.mean(0)) / x.std(0), y - y.mean()
     want = np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ centred)
     assert models.fit_ridge(rows, ["a", "b"], "y").weights == pytest.approx(tuple(want))
-    fit = models.fit_quantile(rows, ["a", "b"], "y", 0.9, rounds=4)
-    below = rows.select(F.avg((F.col("y") <= fit.predict()).cast("double"))).first()[0]
-    loss = lambda p: rows.select(F.avg(F.greatest(0.9 * (F.col("y") - p), -0.1 * (F.col("y") - p)))).first()[0]
-    assert 0.8 < below < 0.97 and loss(fit.predict()) < 0.9 * loss(F.lit(fit.base))
-    none = rows.where("false")
-    assert models.fit_ridge(none, ["a"], "y") is None and models.fit_quantile(none, ["a"], "y", 0.5) is None
+    assert models.fit_ridge(rows.where("false"), ["a"], "y") is None
 
 
 def test_labels_change_hands_within_a_date(spark):
