@@ -1,11 +1,14 @@
 """Main text of web pages by the consensus of their host (operator 6).
 
-Every page's containers are scored by the share of the page's running text that they hold and by
-how little of what they hold is links or known page furniture. A container's path is generalised to
-tags with their class names, numbers removed, and kept as a 64-bit hash of its parent's path and
-its own label. Spark sums the scores of each path over the pages of a host, and every page is then
-extracted again from its host's best path that it has. A page with none of its host's paths uses
-its own best container.
+A first pass reads every page into blocks of text, and each block stands at a path: the tags with their
+class names from the root down, numbers removed, kept as a 64-bit hash of the parent's path and the own
+label. Spark counts over all pages of a host which texts stand at a path and how often. A path at which
+the same texts come again and again, while those of the host's main path do not, is furniture: a site's
+line, a promotion, whatever its class is called. Every container then has a score, the share of the
+host's other text that it holds, times how little of what it holds is furniture, links or left out by tag or
+name, times a little for depth and for `article` and `main`. The best containers of a host are its winning
+paths. A second pass extracts each page from the first winning path that it has, without the blocks at
+furniture paths; a page with none of them uses its own best container.
 
 Inside the container, menus, footers, side matter, notices, adverts, forms, scripts, styles and
 reader comments are left out, by tag or by a class, id or role that is made of furniture words and
@@ -45,6 +48,8 @@ NEUTRAL_WORDS = frozenset("site page main top bottom left right upper lower inne
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What holds text but is no container.
 NO_CONTAINER = INLINE | HEADINGS | frozenset("p li ul ol pre tr td".split())
+#: What a level of depth adds to a container's score, five levels at most.
+DEEPER = 0.06
 #: A start tag on the left closes an open element of those on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
@@ -63,7 +68,7 @@ def kind_of(name: str) -> str:
 
 
 class Element:
-    __slots__ = ("bad", "block", "depth", "good", "link", "parent", "path", "skipped", "tag")
+    __slots__ = ("bad", "block", "depth", "good", "link", "lost", "outer", "parent", "path", "skipped", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         self.tag, self.parent = tag, parent
@@ -79,6 +84,16 @@ class Element:
         self.block: Element = parent.block if parent and tag in INLINE else self  # the nearest that is not inline
         self.depth = parent.depth + 1 if parent else 0
         self.good = self.bad = 0  # running text, and links and furniture
+        self.outer: Element = parent.outer if parent and self.skipped == "all" else self  # the nearest that is not left out
+        self.lost = 0  # characters that are left out right below it
+
+    @property
+    def container(self) -> bool:
+        return not self.skipped and self.tag not in NO_CONTAINER
+
+    @property
+    def weight(self) -> float:
+        return (1 + DEEPER * min(self.depth, 5)) * (1.3 if self.tag in ("article", "main") else 1)
 
 
 class Page:
@@ -118,7 +133,9 @@ class Page:
                 owner = self.at.block
                 kept = owner.skipped == "" or owner.skipped == "header" and owner.tag in HEADINGS
                 if kept:
-                    self.blocks.append((owner, block))
+                    self.blocks.append((owner, block, min(len(block), self.linked)))
+                else:
+                    owner.outer.lost += len(block)
                 bad = min(len(block), self.linked) if kept else len(block)
                 owner.good += len(block) - bad
                 owner.bad += bad
@@ -130,6 +147,7 @@ class Page:
             return
         if self.at.skipped == "all":
             self.at.bad += len(piece.strip())
+            self.at.outer.lost += len(piece.strip())
         else:
             self.text.append(piece)
             if self.at.link:
@@ -208,12 +226,12 @@ class Page:
         out: dict[int, float] = {}
         if whole:
             for e in self.elements:
-                if e.good * 4 >= whole and not e.skipped and e.tag not in NO_CONTAINER:
-                    score = e.good / whole * (e.good / (e.good + e.bad)) * (1 + 0.01 * min(e.depth, 10)) * (1.3 if e.tag in ("article", "main") else 1)
+                if e.good * 4 >= whole and e.container:
+                    score = e.good / whole * (e.good / (e.good + e.bad)) * e.weight
                     out[e.path] = out.get(e.path, 0.0) + score
         return out
 
-    def extract(self, paths: list[int]) -> str:
+    def extract(self, paths: list[int], furniture: frozenset[int] = frozenset()) -> str:
         """The text under the first of `paths` that the page has, or under its own best container."""
         there = {e.path for e in self.elements}
         chosen = next((p for p in paths if p in there), None)
@@ -224,7 +242,16 @@ class Page:
         for e in self.elements:  # parents first
             if e.path == chosen or e.parent is not None and id(e.parent) in inside:
                 inside.add(id(e))
-        return "\n\n".join(block for owner, block in self.blocks if id(owner) in inside)
+        return "\n\n".join(block for owner, block, _ in self.blocks if id(owner) in inside and owner.path not in furniture)
+
+    def chain(self, e: "Element") -> list[tuple[int, float]]:
+        """The containers around an element, itself included, with their weights; of a path that comes twice the outer one."""
+        found: dict[int, float] = {}
+        while e is not None:
+            if e.container:
+                found[e.path] = e.weight
+            e = e.parent
+        return list(found.items())
 
 
 def host_of(url: str = "url") -> F.Column:
@@ -233,31 +260,86 @@ def host_of(url: str = "url") -> F.Column:
     return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
 
 
-def winning_paths(pages: DataFrame, most: int = 5) -> DataFrame:
-    """host and the hashes of its `most` best paths, best first: a row a host."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(h, p, s) for h, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True) for p, s in Page(page.as_py()).container_scores().items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.float64()))], names=["host", "path", "score"])
-
-    scored = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, path long, score double")
-    # whole thousandths, so that the order of the sum makes no difference
-    votes = scored.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1000).cast("long")).alias("votes"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    best = votes.withColumn("place", place).where(F.col("place") <= most)
-    return best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("found")).select("host", F.col("found.path").alias("paths"))
+ROWS = "host string, path long, text long, above array<struct<path: long, weight: double>>, n long, chars long, links long, lost long"
+#: Pages on which a text of furniture is, on average, and how many times as many that is as at the main path.
+AGAIN, OFTENER = 4, 4
+
+
+def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch each text at each path of a host, and each path with the containers around it and what is left out
+    there. The root, which all pages have, counts the pages."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("path", pa.int64()), ("weight", pa.float64())])), *[pa.int64()] * 4]
+    names = [c.split()[0] for c in ROWS.split(", ") if not c.startswith("weight")]
+    for batch in batches:
+        texts: dict[tuple, list[int]] = {}
+        places: dict[tuple, list] = {}
+        for host, source in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            page = Page(source.as_py())
+            mine = set()  # a text counts once a page, however often it stands there
+            for owner, block, linked in page.blocks:
+                key = (host, owner.path, xxhash.xxh64_intdigest(block) >> 1)
+                held = texts.setdefault(key, [0, 0, 0])
+                held[0] += key not in mine
+                mine.add(key)
+                held[1] += len(block)
+                held[2] += linked
+            for e in {id(e): e for e in [page.elements[0], *(b[0] for b in page.blocks), *(e for e in page.elements if e.lost)]}.values():
+                place = places.get((host, e.path))
+                if place is None:
+                    place = places[host, e.path] = [page.chain(e), 0, 0]
+                place[1] += e.parent is None
+                place[2] += e.lost
+        rows = [(h, p, t, None, *held, 0) for (h, p, t), held in texts.items()]
+        rows += [(h, p, None, [{"path": q, "weight": w} for q, w in above], n, 0, 0, lost) for (h, p), (above, n, lost) in places.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+
+def host_paths(pages: DataFrame, scratch: Scratch, most: int = 5) -> DataFrame:
+    """host, the hashes of its `most` best paths, best first, and those of its furniture: a row a host.
+
+    Furniture stands on a hundredth of a host's pages at least, so a host has no more of it than a hundred pages.
+    """
+    read = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    seen = scratch.keep(read.mapInArrow(_observe, ROWS), "seen")
+    total = lambda c: F.sum(c).alias(c)
+    texts = seen.where("text is not null").groupBy("host", "path", "text").agg(total("n"), total("chars"), total("links"))
+    by_path = texts.groupBy("host", "path").agg(total("n"), F.count("*").alias("different"), total("chars"), total("links"))
+    places = seen.where("text is null").groupBy("host", "path").agg(F.max("above").alias("above"), total("lost"), F.sum("n").alias("pages"))
+    known = scratch.keep(places.join(by_path, ["host", "path"], "left").na.fill(0, ["n", "different", "chars", "links"]), "known")
+    fresh = F.try_divide(F.col("different"), F.col("n"))
+    main = known.groupBy("host").agg(F.max_by(fresh, F.struct((F.col("chars") - F.col("links")) * fresh, "path")).alias("main"), F.sum("pages").alias("host_pages"))
+    judged = known.join(main, "host")
+    repeats = (F.col("n") >= AGAIN * F.col("different")) & (F.col("n") * 100 >= F.col("host_pages")) & (fresh * OFTENER <= F.col("main"))
+    judged = scratch.keep(judged.withColumn("furniture", F.coalesce(repeats, F.lit(False))), "judged")
+    # whole numbers, so that the order of the sums makes no difference
+    good = F.when(F.col("furniture"), 0).otherwise(F.col("chars") - F.col("links"))
+    held = judged.select("host", good.alias("good"), (F.col("chars") + F.col("lost")).alias("whole"), F.explode("above").alias("a"))
+    of_container = held.groupBy("host", F.col("a.path").alias("path")).agg(total("good"), total("whole"), F.max("a.weight").alias("weight")).where("good > 0")
+    # a host's whole good text is the same for all of its containers, so the share is the good text itself
+    score = F.round(F.col("good") * F.col("good") / F.col("whole") * F.col("weight"), 3)
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc(score), "path"))
+    best = of_container.withColumn("place", place).where(F.col("place") <= most)
+    winners = best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("found")).select("host", F.col("found.path").alias("paths"))
+    furniture = judged.where("furniture").groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("furniture"))
+    return scratch.keep(winners.join(furniture, "host", "full_outer"), "paths")
+
+
+#: Parts of one host's pages.
+SALTS = 32
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
-    scratch = Scratch(pages.sparkSession, "html-text")
-    winners = scratch.keep(winning_paths(pages), "paths")
+    found = host_paths(pages, Scratch(pages.sparkSession, "html-text"))
 
     @F.pandas_udf("string")
-    def text(page: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([Page(a).extract([] if b is None else list(b)) for a, b in zip(page, paths, strict=True)], dtype=object)
+    def text(page: pd.Series, paths: pd.Series, furniture: pd.Series) -> pd.Series:
+        listed = lambda x: [] if x is None else list(x)
+        return pd.Series([Page(a).extract(listed(b), frozenset(listed(c))) for a, b, c in zip(page, paths, furniture, strict=True)], dtype=object)
 
+    # a host's row goes out SALTS times, so that no task gets all pages of a host where the rows are not broadcast
+    copies = found.withColumn("salt", F.explode(F.array([F.lit(i).cast("long") for i in range(SALTS)])))
     read = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
-    joined = read.join(winners, "host", "left").select("page_id", "url", text("html", "paths").alias("text"))
+    salted = read.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    joined = salted.join(copies, ["host", "salt"], "left").select("page_id", "url", text("html", "paths", "furniture").alias("text"))
     return joined.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -41,10 +41,34 @@ def test_other_pages(spark):
     assert texts[2] == "Title & 2\n\nOne two three\n\nFour <five> six, with enough words to be the text of a page\n\nx\n\ny"
     assert texts[10] == texts[11] == texts[14] == "" and texts[12] == "plain text" and texts[13] == "\n\n".join(["a"] * 3000)
     post = next(e for e in html_text.Page(PAGE.replace("{n}", "1")).elements if e.tag == "div" and e.depth == 3)
-    assert html_text.winning_paths(pages).where("host = 'example.org'").first().paths[0] == post.path
+    assert html_text.host_paths(pages, Scratch(spark, "pages")).where("host = 'example.org'").first().paths[0] == post.path
     assert html_text.main_text(pages.where("false")).count() == 0
 
 
+SITE = """<html><body><div class="brandline">The daily something, your paper of record for the whole of the county</div><div id="page"><div class="post"><h1>Title {n}</h1>
+<p>{a}</p><p>{b}</p><p>{c}</p></div><div class="strip">Take two months for the price of one, and cancel when you like it</div><div class="opinions"><div class="said">{d}</div></div></div></body></html>"""
+
+
+def sentence(seed, words):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(words))
+
+
+def test_furniture_with_names_of_its_own(spark):
+    """What repeats over a host's pages is left out whatever it is called, and what stands beside the main container."""
+    rows = [(n, f"http://paper.org/{n}", SITE.format(n=n, a=sentence(n, 40), b=sentence((n, 1).__hash__(), 60), c=sentence((n, 2).__hash__(), 50), d=sentence((n, 3).__hash__(), 14))) for n in range(10)]
+    # a host of copies: nothing is furniture there, as its main text comes again too
+    rows += [(100 + n, f"http://copies.org/{n}", "<body><div><p>One text that all pages have.</p><p>And another one.</p></div></body>") for n in range(10)]
+    # a widget with a name of its own inside the text of single pages stays
+    rows += [(200 + n, f"http://mixed.org/{n}", f"<body><div class=x><p>{sentence(n, 30)}</p><div class=aside-like>{sentence(-n - 1, 12)}</div></div><p class=legal>All of this belongs to us</p></body>") for n in range(8)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(10):
+        assert got[n] == "\n\n".join([f"Title {n}", sentence(n, 40), sentence((n, 1).__hash__(), 60), sentence((n, 2).__hash__(), 50)])
+        assert got[100 + n] == "One text that all pages have.\n\nAnd another one."
+    for n in range(8):
+        assert got[200 + n] == f"{sentence(n, 30)}\n\n{sentence(-n - 1, 12)}"
+
+
 def test_furniture_is_told_by_whole_names():
     page = '<article><div class="comment-policy-news ad-free">one</div><blockquote class="related-quote">two</blockquote><div class="comment-list">no</div><div id="siteFooter">no</div><p class="x" title="a > b">three</p></article>'
     assert html_text.Page(page).extract([]) == "one\n\ntwo\n\nthree"
