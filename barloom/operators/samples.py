@@ -39,6 +39,32 @@ def window_arrays(bars: DataFrame, benchmark: str | DataFrame, size: int) -> Dat
     )
 
 
+def training_rows(bars: DataFrame, benchmark: str | DataFrame, size: int, horizons: list[int]) -> DataFrame:
+    """E5 whole: each cutoff's context arrays of both, weekday, day and month of its dates, and for each horizon
+    the alpha, null where it has none, whether it is valid, and the date at which it ends. All of a row is made
+    where the symbol is: after the benchmark has met the bars by date, one shuffle and one chain of windows."""
+    price = F.col("open") * F.col("adjusted_close") / F.greatest("close", F.lit(TINY))
+    own = marked(bars, benchmark, {"bench": F.col("adjusted_close"), "bench_raw": F.col("close"), "bench_open": price})
+    w = Window.partitionBy("symbol").orderBy("ts")
+    over = w.rowsBetween(1 - size, 0)
+    lead = lambda c, n: F.lead(c, n).over(w)
+    legs = F.array(*[F.struct(lead("adjusted_close", h).alias("x"), lead("bench", h).alias("b"), lead("ts", h).alias("end_at")) for h in horizons])
+    held = own.withColumns({"idx": F.row_number().over(w) - 1, "n": F.count("bench").over(over), "w": F.collect_list(F.struct("ts", "adjusted_close", "split_adjusted_volume", "bench")).over(over), "entry": F.lead(price, 1).over(w), "bench_entry": lead("bench_open", 1), "legs": legs}).where(F.col("n") == size)
+    shares = F.when(F.col("volume") > 0, F.col("split_adjusted_volume") / F.col("volume")).otherwise(1.0)
+    sound = lambda g: (g["x"] > 0) & (F.col("entry") > 0) & (g["b"] > 0) & (F.col("bench_entry") > 0)
+    alpha = lambda g: F.when(sound(g), F.ln(g["x"] / F.col("entry")) - F.ln(g["b"] / F.col("bench_entry")))
+    return held.select(
+        "symbol", "ts", "idx",
+        F.transform("w", lambda x: x["adjusted_close"] / F.col("adjusted_close") * F.col("close")).alias("closes"),
+        F.transform("w", lambda x: x["split_adjusted_volume"] / shares).alias("volumes"),
+        F.transform("w", lambda x: x["bench"] / F.col("bench") * F.col("bench_raw")).alias("bench_closes"),
+        F.transform("w", lambda x: F.struct(F.weekday(x["ts"]).alias("weekday"), F.dayofmonth(x["ts"]).alias("day"), F.month(x["ts"]).alias("month"))).alias("times"),
+        F.transform("legs", alpha).alias("targets"),
+        F.transform("legs", lambda g: alpha(g).isNotNull()).alias("valid"),
+        F.transform("legs", lambda g: g["end_at"]).alias("end_at"),
+    )
+
+
 def gather(sample: DataFrame, arrays: DataFrame) -> DataFrame:
     """E5: the arrays of sampled cutoffs; a cutoff that is asked for twice comes twice."""
     return sample.join(arrays, ["symbol", "idx"])

@@ -57,6 +57,22 @@ def e5_window_arrays(spark, folder):
     return made.select("symbol", "ts", "idx", F.ln(total("closes")).alias("closes"), F.log1p(total("volumes")).alias("volumes"), F.ln(total("bench_closes")).alias("bench_closes"), first.alias("first_close"))
 
 
+TRAINING = ", ".join(f"round(max(alpha) FILTER (h = {h}), 6) + 0 AS alpha_{h}, max(end_at) FILTER (h = {h}) AS end_{h}" for h in m.HORIZONS)
+
+
+@query(
+    f"""
+WITH {LABELS}{WINDOWS}, wd AS (SELECT symbol, ts, list(ts) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) AS d FROM wj), tg AS (SELECT symbol, ts, count(*) AS valid, {TRAINING} FROM lab GROUP BY symbol, ts)
+SELECT wa.symbol, wa.ts, idx, round(ln(list_sum(closes)), 5) + 0 AS closes, CAST(list_sum(list_transform(d, lambda x: isodow(x) - 1)) AS BIGINT) AS weekdays, CAST(list_sum(list_transform(d, lambda x: day(x) * month(x))) AS BIGINT) AS days, coalesce(valid, 0) AS valid, {", ".join(f"alpha_{h}, end_{h}" for h in m.HORIZONS)}
+FROM wa JOIN wd ON wd.symbol = wa.symbol AND wd.ts = wa.ts LEFT JOIN tg ON tg.symbol = wa.symbol AND tg.ts = wa.ts"""
+)
+def e5_training_rows(spark, folder):
+    rows = samples.training_rows(m.bars(spark, folder), m.BENCHMARK, m.WINDOW, m.HORIZONS)
+    total = lambda c, f, zero: F.aggregate(c, zero, lambda s, x: s + f(x))
+    of = [c for i, h in enumerate(m.HORIZONS) for c in (F.col("targets")[i].alias(f"alpha_{h}"), F.when(F.col("valid")[i], F.col("end_at")[i]).alias(f"end_{h}"))]
+    return rows.select("symbol", "ts", "idx", F.round(F.ln(total("closes", lambda x: x, F.lit(0.0))), 5).alias("closes"), total("times", lambda x: x["weekday"], F.lit(0)).alias("weekdays"), total("times", lambda x: x["day"] * x["month"], F.lit(0)).alias("days"), F.size(F.filter("valid", lambda v: v)).alias("valid"), *of)
+
+
 def block_sample(spark, folder):
     numbered = m.numbered(spark, folder)
     return windows.block_sample(numbered, windows.BlockSample(numbered.count(), fraction=0.4, most=1500, block=16))
