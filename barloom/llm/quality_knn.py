@@ -1,7 +1,7 @@
 """Quality scores by nearest-neighbour voting among latent-semantic vectors (operator 8).
 
-A text's terms are its words, hashed and weighed by how few documents have them (counted in Spark over
-all documents), the runs of three character kinds (letters, capitals, digits, blanks, single signs and
+A text's terms are its words, hashed to 65,536 places and weighed by how few documents have them (counted in
+Spark over all documents), the runs of three character kinds (letters, capitals, digits, blanks, single signs and
 so on), and how often a word repeats the word before it or the one before that; each group is taken as
 root frequencies. A singular value decomposition of labelled training texts gives the latent space.
 The labelled vectors are broadcast; every document is compared with all of them by exact cosine, in
@@ -30,8 +30,11 @@ from .common import text_of
 
 KINDS = 12
 GRAMS = KINDS**3
-WORDS = 1024
-TERMS = GRAMS + 3 + WORDS
+WORDS = 1 << 16
+FORMS = GRAMS + 3
+TERMS = FORMS + WORDS
+#: Entries of words that are multiplied at once.
+AT_ONCE = 1 << 17
 CHUNK = 1 << 20
 #: How much words count against the forms of a text.
 WORD_SHARE = 0.5
@@ -50,15 +53,16 @@ def _kinds() -> np.ndarray:
 KIND_OF = _kinds()
 
 
-def word_counts(words: list[bytes]) -> np.ndarray:
-    """How often words fall on each place, in small letters."""
+def word_counts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The places that words fall on, in order, and how many do, in small letters."""
     seen = Counter(words)
-    at = np.fromiter((xxhash.xxh64_intdigest(w.lower()) % WORDS for w in seen), np.int64, len(seen))
-    return np.bincount(at, np.fromiter(seen.values(), np.float64, len(seen)), WORDS)
+    at = np.fromiter((xxhash.xxh64_intdigest(w.lower()) % WORDS for w in seen), np.int32, len(seen))
+    places, of = np.unique(at, return_inverse=True)
+    return places, np.bincount(of, np.fromiter(seen.values(), np.float64, len(seen)), len(places))
 
 
-def terms(text: str, rarity: np.ndarray) -> np.ndarray:
-    """The three groups of root frequencies, each of one length (zero where there is nothing)."""
+def terms(text: str, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Root frequencies of the forms (grams and repeats, each group of length one or zero), and of the words by place."""
     raw = text.encode("utf-8")
     counts = np.zeros(GRAMS, np.int64)
     for at in range(0, max(0, len(raw) - 2), CHUNK):
@@ -68,8 +72,42 @@ def terms(text: str, rarity: np.ndarray) -> np.ndarray:
     again = sum(map(bytes.__eq__, words[1:], words))
     later = sum(map(bytes.__eq__, words[2:], words))
     repeats = np.array([again, later, max(0, 2 * len(words) - 3 - again - later)], np.float64)
-    said = word_counts(words) * rarity
-    return np.concatenate([np.sqrt(x / max(1e-300, x.sum()) * share) for x, share in ((counts, 1.0), (repeats, 1.0), (said, WORD_SHARE))]).astype(np.float32)
+    root = lambda x, share: np.sqrt(x / max(1e-300, x.sum()) * share).astype(np.float32)
+    places, said = word_counts(words)
+    return np.concatenate([root(counts, 1.0), root(repeats, 1.0)]), places, root(said * rarity[places], WORD_SHARE)
+
+
+class Features:
+    """Terms of several texts: forms as a table, words as the places and weights of each row."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.forms = np.stack([r[0] for r in rows]) if rows else np.zeros((0, FORMS), np.float32)
+        sizes = np.array([len(r[1]) for r in rows], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.places = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int32)
+        self.weights = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.float32)
+        self.shape = (len(rows), TERMS)
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        out, words = self.forms @ q[:FORMS], q[FORMS:]
+        row = np.repeat(np.arange(len(self.forms)), np.diff(self.starts))
+        _add_rows(out, row, self.places, self.weights, words)
+        return out
+
+    def turned_times(self, y: np.ndarray) -> np.ndarray:
+        out = np.concatenate([self.forms.T @ y, np.zeros((WORDS, y.shape[1]), np.float32)])
+        order = np.argsort(self.places, kind="stable")
+        row = np.repeat(np.arange(len(self.forms)), np.diff(self.starts))
+        _add_rows(out[FORMS:], self.places[order], row[order], self.weights[order], y)
+        return out
+
+
+def _add_rows(out: np.ndarray, to: np.ndarray, of: np.ndarray, weights: np.ndarray, table: np.ndarray) -> None:
+    """out[to] += weights * table[of], where equal values of `to` stand together."""
+    for a in range(0, len(to), AT_ONCE):
+        part = slice(a, a + AT_ONCE)
+        lead = np.flatnonzero(np.concatenate([[True], to[part][1:] != to[part][:-1]]))
+        out[to[part][lead]] += np.add.reduceat(table[of[part]] * weights[part, None], lead, axis=0)
 
 
 def rarities(docs: DataFrame) -> np.ndarray:
@@ -79,12 +117,14 @@ def rarities(docs: DataFrame) -> np.ndarray:
         have, n = np.zeros(WORDS, np.int64), 0
         for batch in batches:
             for x in batch.column("text"):
-                have += word_counts(x.as_py().encode("utf-8").split()) > 0
+                have[word_counts(x.as_py().encode("utf-8").split())[0]] += 1
             n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(range(WORDS + 1), pa.int64()), pa.array([*have.tolist(), n], pa.int64())], names=["at", "n"])
+        at = np.flatnonzero(have)
+        yield pa.RecordBatch.from_arrays([pa.array([*at, WORDS], pa.int64()), pa.array([*have[at], n], pa.int64())], names=["at", "n"])
 
-    got = docs.select(text_of().alias("text")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()
-    counts = np.array([r["n"] for r in got], np.float64) if got else np.zeros(WORDS + 1)
+    got = docs.select(text_of().alias("text")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(WORDS + 1)
+    counts[got["at"].to_numpy(np.int64)] = got["n"].to_numpy()
     return np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
 
 
@@ -93,34 +133,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def leading_directions(x: np.ndarray, count: int, rounds: int = 12) -> np.ndarray:
+def leading_directions(x: Features, count: int, rounds: int = 12) -> np.ndarray:
     """The first right singular vectors of x, as columns, by repeated multiplication of a start that is fixed."""
     count = min(count, *x.shape)
     q = np.random.default_rng(5).standard_normal((x.shape[1], min(count + 12, *x.shape))).astype(np.float32)
     for _ in range(rounds if count else 0):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
+        q, _ = np.linalg.qr(x.turned_times(x.times(q)))
     if not count:
         return q[:, :0]
-    _, vectors = np.linalg.eigh(((x @ q).T @ (x @ q)).astype(np.float64))
+    y = x.times(q)
+    _, vectors = np.linalg.eigh((y.T @ y).astype(np.float64))
     return (q @ vectors[:, ::-1][:, :count]).astype(np.float32)
 
 
 class Voters:
     """Labelled vectors in the latent space."""
 
-    def __init__(self, features: np.ndarray, labels: np.ndarray, rarity: np.ndarray, dimensions: int, neighbours: int, sharpness: float):
+    def __init__(self, features: Features, labels: np.ndarray, rarity: np.ndarray, dimensions: int, neighbours: int, sharpness: float):
         self.neighbours, self.sharpness, self.rarity = min(neighbours, len(labels)), sharpness, rarity
         self.labels, self.prior = labels.astype(np.float64), float(labels.mean()) if len(labels) else 0.5
         self.basis = leading_directions(features, dimensions)
-        self.vectors = _unit(features @ self.basis)
+        self.vectors = _unit(features.times(self.basis))
 
-    def terms(self, texts: list[str]) -> np.ndarray:
-        return np.stack([terms(x, self.rarity) for x in texts])
+    def terms(self, texts: list[str]) -> Features:
+        return Features([terms(x, self.rarity) for x in texts])
 
-    def score(self, features: np.ndarray) -> np.ndarray:
+    def score(self, features: Features) -> np.ndarray:
         if not self.neighbours:
-            return np.full(len(features), self.prior)
-        own = _unit(features @ self.basis)
+            return np.full(features.shape[0], self.prior)
+        own = _unit(features.times(self.basis))
         near = own @ self.vectors.T
         best = np.argpartition(-near, self.neighbours - 1, axis=1)[:, : self.neighbours]
         weight = np.exp(self.sharpness * (np.take_along_axis(near, best, axis=1).astype(np.float64) - 1))
@@ -135,10 +176,10 @@ def is_held_out(remainder_of: int = 5) -> F.Column:
 def _features(docs: DataFrame, rarity: np.ndarray, keep: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [terms(x.as_py(), rarity).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(made, pa.binary())], names=[keep, "terms"])
+            made = [terms(x.as_py(), rarity) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column(keep), *(pa.array([r[i].tobytes() for r in made], pa.binary()) for i in range(3))], names=[keep, "forms", "places", "weights"])
 
-    return docs.mapInArrow(run, f"{keep} {kind}, terms binary")
+    return docs.mapInArrow(run, f"{keep} {kind}, forms binary, places binary, weights binary")
 
 
 def fit_voters(docs: DataFrame, labels: DataFrame, reference_rows: int = 6000, dimensions: int = 48, neighbours: int = 15, sharpness: float = 60.0) -> Voters:
@@ -149,8 +190,9 @@ def fit_voters(docs: DataFrame, labels: DataFrame, reference_rows: int = 6000, d
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").where("text <> ''")
     # repeated rows of a document count once
     rows = _features(texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text"), rarity, "label", "double").toPandas()
-    labelled, blob = rows["label"].to_numpy(), b"".join(rows.pop("terms"))
-    return Voters(np.frombuffer(blob, np.float32).reshape(-1, TERMS), labelled, rarity, dimensions, neighbours, sharpness)
+    labelled = rows["label"].to_numpy()
+    held = Features([(np.frombuffer(a, np.float32), np.frombuffer(b, np.int32), np.frombuffer(c, np.float32)) for a, b, c in zip(rows.pop("forms"), rows.pop("places"), rows.pop("weights"), strict=True)])
+    return Voters(held, labelled, rarity, dimensions, neighbours, sharpness)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:

@@ -621,7 +621,11 @@ def test_votes_equal_plain_ones(spark, data, odd):
     got = voters.score(voters.terms(texts))
     cos = lambda a, b: float(a @ b) / (math.sqrt(float(a @ a)) * math.sqrt(float(b @ b)))
     for text, score in zip(texts, got, strict=True):
-        own = quality_knn.terms(text, voters.rarity).astype(float) @ voters.basis.astype(float)
+        forms, places, weights = quality_knn.terms(text, voters.rarity)
+        whole = np.zeros(quality_knn.TERMS)
+        whole[: quality_knn.FORMS] = forms
+        whole[quality_knn.FORMS + places] = weights
+        own = whole @ voters.basis.astype(float)
         if not own.any():
             assert score == voters.prior
             continue
