@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import digests, evaluation, features, slices, store, windows
+from ..operators import digests, evaluation, features, intake, slices, store, windows
 from ..sources import bars as src
-from ..sources import bucketed, stages, tabular, vendor
+from ..sources import bucketed, sink, stages, tabular, vendor
 from . import market as m
 from . import market_queries as wide
 from .catalogue import METRICS, NAMED, query
@@ -161,3 +161,28 @@ def d8_sliced_candidates(spark, folder):
 def f16_sliced_scales(spark, folder):
     """The scales of f16, by slices of 200 bars. Dates that the benchmark lacks do not count there, so more bars are borrowed than windows have."""
     return slices.by_slices(m.bars(spark, folder), m.BENCHMARK, features.historical_scales, 200, 100, 0)
+
+
+# files and sinks
+
+
+@query(f"WITH {BARS} SELECT kind, symbol, ts, {r('open', 'high', 'low', 'close', 'volume')} FROM bars, (VALUES ('csv'), ('parquet')) k(kind)")
+def a1_read_files(spark, folder):
+    """The bars written as CSV with a vendor's names, and as checked Parquet (A2), read and normalised."""
+    bars, place = src.region_bars(spark, folder), _place(spark, "files")
+    named = bars.select(F.col("symbol").alias("Ticker"), F.col("ts").alias("Date"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
+    named.write.option("header", True).csv(f"{place}/all.csv")
+    src.write_bars(bars, f"{place}/all.parquet")
+    parts = [intake.normalised(src.read_bars(spark, f"{place}/all.{kind}")).select(F.lit(kind).alias("kind"), "symbol", F.col("ts").cast("date").alias("ts"), "open", "high", "low", "close", "volume") for kind in ("csv", "parquet")]
+    return store.union_all(parts)
+
+
+@query(f"WITH {BARS} SELECT CAST(year(ts) AS VARCHAR) AS part, symbol, count(*) AS n, round(sum(close), 4) + 0 AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2", digits=4)
+def a3_immutable_sink(spark, folder):
+    """A part a year; later ones come with other types and another order of columns."""
+    bars, made = src.region_bars(spark, folder), sink.ImmutableSink(spark, _place(spark, "sink"))
+    for year in [row["y"] for row in bars.select(F.year("ts").alias("y")).distinct().orderBy("y").collect()]:  # a row a year
+        own = bars.where(F.year("ts") == year)
+        odd = own.select(F.col("volume").cast("long").alias("volume"), F.col("close").cast("string").alias("close"), "ts", "symbol", "open", "high", "low")
+        made.append(own if year % 2 else odd, str(year))
+    return made.read().groupBy("part", "symbol").agg(F.count("*").alias("n"), F.sum("close").alias("close"), F.sum("volume").alias("volume"))

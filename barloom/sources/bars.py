@@ -89,20 +89,25 @@ def indexed(bars: DataFrame) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """CSV or Parquet bars by the path's ending; without a symbol column, the file name up to its first `_`."""
+    """CSV or Parquet bars by the path's ending; without a symbol column of any vendor's name, the file name up to its first `_`."""
+    from ..operators.intake import canonical
+
     kind = FORMATS.get(path.rsplit(".", 1)[-1].lower())
     if kind is None:
         raise ValueError(f"not a bar file: {path}")
     read = spark.read.option("header", True).option("inferSchema", True).csv(path) if kind == "csv" else spark.read.parquet(path)
-    if "symbol" not in [c.lower() for c in read.columns]:
+    if "symbol" not in {canonical(c) for c in read.columns}:
         stem = F.split(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""), "_")[0]
         read = read.withColumn("symbol", F.lit(symbol) if symbol else stem)
     return read
 
 
 def write_bars(bars: DataFrame, path: str, replace: bool = False) -> None:
-    """Parquet clustered by symbol and ordered in time, so a symbol is read from few row groups."""
-    laid = bars.repartition("symbol").sortWithinPartitions("symbol", "ts")
+    """Parquet clustered by symbol and ordered in time, so a symbol is read from few row groups. A bar that breaks
+    a rule, or comes twice, fails the write (A2)."""
+    from ..operators.intake import validated
+
+    laid = validated(bars).repartition("symbol").sortWithinPartitions("symbol", "ts")
     laid.write.mode("overwrite" if replace else "errorifexists").option("compression", "zstd").parquet(path)
 
 

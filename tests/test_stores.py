@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import evaluation, marks, metrics, quantiles, store
 from barloom.plans import market
-from barloom.sources import bucketed, stages, tabular
+from barloom.sources import bucketed, sink, stages, tabular
 
 
 @pytest.fixture
@@ -264,3 +264,21 @@ def test_a_build_goes_on_where_it_stopped(spark, place, monkeypatch):
     with pytest.raises(ValueError, match="rows"):
         short.build(rows.where("ordinal <> 700"))
     assert short.cursor == 600
+
+
+# sinks
+
+
+def test_parts_never_change_and_share_a_schema(spark, place):
+    made = sink.ImmutableSink(spark, f"{place}/sink")
+    with pytest.raises(ValueError, match="no parts"):
+        made.read()
+    made.append(spark.createDataFrame([(1, 2.5)], "a int, b double"), "one")
+    made.append(spark.createDataFrame([("3.5", "2")], "b string, a string"), "two")
+    assert sorted(map(tuple, made.read().collect())) == [(1, 2.5, "one"), (2, 3.5, "two")] and made.parts() == ["one", "two"]
+    for rows, name, said in (("a int, b double", "one", "already"), ("a int", "three", "columns"), ("a int, b double, c int", "three", "columns"), ("a int, b double", "a/b", "name")):
+        with pytest.raises(ValueError, match=said):
+            made.append(spark.createDataFrame([], rows), name)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cast"):
+        made.append(spark.createDataFrame([("x", 1.0)], "a string, b double"), "four")
+    assert made.parts() == ["one", "two"] and sink.ImmutableSink(spark, f"{place}/sink").read().count() == 2
