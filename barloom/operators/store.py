@@ -185,10 +185,23 @@ def second_candidates(bars: DataFrame, benchmark: str | DataFrame, window: int,
 
 
 def audit_ranges(expected: DataFrame, ranges: DataFrame) -> DataFrame:
-    """By symbol how many cutoffs are expected, stored in ranges, and both."""
-    stored = ranges.select("symbol", F.explode(F.sequence("start_index", F.col("stop_index") - 1)).alias("idx"), F.lit(1).alias("stored"))
-    both = expected.select("symbol", F.col("idx").cast("long").alias("idx"), F.lit(1).alias("expected")).join(stored.withColumn("idx", F.col("idx").cast("long")), ["symbol", "idx"], "full_outer")
-    return both.groupBy("symbol").agg(F.count("expected").alias("expected"), F.count("stored").alias("stored"), F.count_if(F.col("expected").isNotNull() & F.col("stored").isNotNull()).alias("both"))
+    """By symbol how many cutoffs are expected, stored in ranges, and both.
+
+    Expected ones become ranges too, and a walk over the ends of both counts what is in both: a row a
+    range end, and never one a stored cutoff.
+    """
+    run = F.col("idx") - F.row_number().over(Window.partitionBy("symbol").orderBy("idx"))
+    own = expected.withColumn("run", run).groupBy("symbol", "run").agg(F.min("idx").alias("a"), (F.max("idx") + 1).alias("b")).drop("run")
+    held = ranges.select("symbol", F.col("start_index").alias("a"), F.col("stop_index").alias("b"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    end = lambda at, e, s: F.struct(F.col(at).cast("long").alias("at"), e.alias("expected"), s.alias("stored"))
+    ends = own.select("symbol", F.explode(F.array(end("a", one, zero), end("b", -one, zero))).alias("x")).union(held.select("symbol", F.explode(F.array(end("a", zero, one), end("b", zero, -one))).alias("x")))
+    at = ends.groupBy("symbol", "x.at").agg(F.sum("x.expected").alias("expected"), F.sum("x.stored").alias("stored"))
+    w = Window.partitionBy("symbol").orderBy("at")
+    length = F.coalesce(F.lead("at").over(w) - F.col("at"), F.lit(0))
+    run_of = lambda c: F.sum(c).over(w)
+    walked = at.select("symbol", length.alias("n"), run_of("expected").alias("e"), run_of("stored").alias("s"))
+    return walked.groupBy("symbol").agg(F.sum(F.col("n") * F.col("e")).alias("expected"), F.sum(F.col("n") * F.col("s")).alias("stored"), F.sum(F.when((F.col("e") > 0) & (F.col("s") > 0), F.col("n")).otherwise(0)).alias("both"))
 
 
 def index_audit(index: DataFrame, bars: DataFrame) -> DataFrame:

@@ -161,6 +161,15 @@ def h11_same_membership(spark, folder):
     return metrics.same_membership(m.predictions(spark, folder))
 
 
+@query(f"WITH {PREDICTIONS}, px AS (SELECT rule, symbol, h, ts, CASE WHEN rule = 'zero' AND h = 5 THEN 2 * scale ELSE scale END AS scale FROM pd WHERE NOT (rule = 'momentum' AND symbol = 'ASIA' AND day(ts) = 9)), k AS (SELECT rule, sha256(string_agg(symbol || ' ' || h || ' ' || CAST(ts AS VARCHAR), ';' ORDER BY symbol, h, ts)) AS d FROM px GROUP BY rule) SELECT count(*) AS models, count(DISTINCT d) AS memberships, (SELECT count(*) FROM (SELECT h FROM px GROUP BY h HAVING count(DISTINCT scale) > 1)) AS unequal_scales FROM k")
+def h11_other_membership(spark, folder):
+    """A model that lacks some cutoffs of one symbol, and one with another scale at a horizon."""
+    rows = m.predictions(spark, folder)
+    lacks = (F.col("rule") == "momentum") & (F.col("symbol") == "ASIA") & (F.dayofmonth("ts") == 9)
+    other = F.when((F.col("rule") == "zero") & (F.col("h") == 5), 2 * F.col("scale")).otherwise(F.col("scale"))
+    return metrics.same_membership(rows.where(~lacks).withColumn("scale", other))
+
+
 PATHS = " UNION ALL ".join(f"SELECT rule || '/' || h || '/{c}' AS path, CAST({c} AS DOUBLE) AS value FROM mt" for c in ("n", *NAMED))
 
 

@@ -199,6 +199,15 @@ def c1_ensure_anchors(spark, folder):
     return adjust.ensure_anchors(src.region_bars(spark, folder)).select("symbol", "ts", "adjusted_close", "split_adjusted_volume")
 
 
+@query(f"WITH {BARS} SELECT symbol, ts, have, round(CASE WHEN have IN ('both', 'price') THEN close / 2 ELSE close END, 5) + 0 AS adjusted_close, round(CASE WHEN have IN ('both', 'volume') THEN volume * 2 ELSE volume END, 5) + 0 AS split_adjusted_volume FROM bars, (VALUES ('none'), ('price'), ('volume'), ('both')) k(have)", digits=5)
+def c1_some_anchors(spark, folder):
+    """Bars that have none of the adjusted columns, one or the other, and both."""
+    bars, half, twice = src.region_bars(spark, folder), F.col("close") / 2, F.col("volume") * 2
+    cases = {"none": {}, "price": {"adjusted_close": half}, "volume": {"split_adjusted_volume": twice}, "both": {"adjusted_close": half, "split_adjusted_volume": twice}}
+    parts = [adjust.ensure_anchors(bars.withColumns(more) if more else bars).select("symbol", "ts", F.lit(have).alias("have"), "adjusted_close", "split_adjusted_volume") for have, more in cases.items()]
+    return store.union_all(parts)
+
+
 # observations and audits
 
 

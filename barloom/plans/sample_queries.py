@@ -28,6 +28,17 @@ def d20_second_audit(spark, folder):
     return store.audit_ranges(expected, m.candidate_ranges(spark, folder))
 
 
+@query(
+    f"WITH {CUTOFFS}, rg AS ({ISLANDS.format(keys='symbol', rows='cand')}), st AS (SELECT symbol, unnest(generate_series(start_index + count % 3, stop_index - 1 + count % 2)) AS idx FROM rg WHERE count > 3) "
+    "SELECT symbol, count(c) AS expected, count(s) AS stored, count(c) FILTER (s IS NOT NULL) AS both FROM (SELECT coalesce(cand.symbol, st.symbol) AS symbol, cand.idx AS c, st.idx AS s FROM cand FULL JOIN st ON cand.symbol = st.symbol AND cand.idx = st.idx) GROUP BY symbol"
+)
+def d20_wrong_ranges(spark, folder):
+    """Stored ranges that lack cutoffs or have some too many."""
+    n = F.col("count")
+    held = m.candidate_ranges(spark, folder).where(n > 3).withColumns({"start_index": F.col("start_index") + n % 3, "stop_index": F.col("stop_index") + n % 2})
+    return store.audit_ranges(store.second_candidates(m.bars(spark, folder), m.BENCHMARK, m.WINDOW, m.HORIZON, m.THRESHOLD), held)
+
+
 @query(f"WITH {CUTOFFS} SELECT symbol, ts, idx FROM cand")
 def d20_second_candidates(spark, folder):
     return store.second_candidates(m.bars(spark, folder), m.BENCHMARK, m.WINDOW, m.HORIZON, m.THRESHOLD)
