@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barloom.llm import ann, decontaminate, html_text, quality_knn, simhash
@@ -197,3 +198,25 @@ def test_stages_against_plain_versions(spark, data):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, none, data)
         assert out.count() == 0 and (name == "token_ids" or out.columns == docs.columns)
+
+
+def test_stages_with_long_texts_and_columns_of_the_operators_names(spark, data):
+    """Other columns go through unread whatever they are called, and texts of a megabyte are texts."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    long = words(180_000)
+    plain = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "n_chars").where("doc_id < 60")
+    plain = plain.union(spark.createDataFrame([(9000, long, len(long)), (9001, long + " more", len(long) + 5), (9002, "w" * 1_000_000, 1_000_000)], plain.schema))
+    names = ["held_out", "score", "predicted", "_text", "n_replaced", "__k", "__h", "others", "fp", "id", "keys", "row", "part", "key", "h"]
+    for name, stage in corpus_pipeline.STAGES:
+        odd = plain.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in names])
+        got = Scratch(spark, "t").keep(stage(spark, odd, data), name)
+        want = sorted(map(str, stage(spark, plain, data).collect()))
+        if name == "token_ids":
+            assert sorted(map(str, got.collect())) == want
+            continue
+        assert got.columns == odd.columns and sorted(map(str, got.select(*plain.columns).collect())) == want
+        for r in got.select("doc_id", *names).collect():
+            assert [r[c] for c in names] == [f"{c} of {r.doc_id}" for c in names]
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, plain, data).select("doc_id").collect()}
+    assert {9000, 9002} <= kept and 9001 not in kept
