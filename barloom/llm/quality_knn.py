@@ -17,7 +17,7 @@ returned for each document row.
 """
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ WORDS = 1 << 16
 FORMS = GRAMS + 3
 TERMS = FORMS + WORDS
 #: Entries of words that are multiplied at once.
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 14
 CHUNK = 1 << 20
 #: How much words count against the forms of a text.
 WORD_SHARE = 0.5
@@ -80,25 +80,30 @@ def terms(text: str, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 class Features:
     """Terms of several texts: forms as a table, words as the places and weights of each row."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.forms = np.stack([r[0] for r in rows]) if rows else np.zeros((0, FORMS), np.float32)
-        sizes = np.array([len(r[1]) for r in rows], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        self.places = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int32)
-        self.weights = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.float32)
-        self.shape = (len(rows), TERMS)
+    def __init__(self, rows: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: list[int]):
+        """Rows of `terms`, one after another, and how many words each has."""
+        self.shape, ends = (len(sizes), TERMS), np.cumsum([0, *sizes])
+        self.forms = np.zeros((len(sizes), FORMS), np.float32)
+        self.places, self.weights = np.zeros(ends[-1], np.int32), np.zeros(ends[-1], np.float32)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        for k, row in enumerate(rows):
+            self.forms[k], self.places[ends[k] : ends[k + 1]], self.weights[ends[k] : ends[k + 1]] = row
 
     def times(self, q: np.ndarray) -> np.ndarray:
         out, words = self.forms @ q[:FORMS], q[FORMS:]
-        row = np.repeat(np.arange(len(self.forms)), np.diff(self.starts))
-        _add_rows(out, row, self.places, self.weights, words)
+        _add_rows(out, self.row, self.places, self.weights, words)
         return out
 
-    def turned_times(self, y: np.ndarray) -> np.ndarray:
-        out = np.concatenate([self.forms.T @ y, np.zeros((WORDS, y.shape[1]), np.float32)])
+    def turned(self) -> "Features":
+        """The entries of the words by place, for turned_times."""
         order = np.argsort(self.places, kind="stable")
-        row = np.repeat(np.arange(len(self.forms)), np.diff(self.starts))
-        _add_rows(out[FORMS:], self.places[order], row[order], self.weights[order], y)
+        self.by_place = tuple(x[order] for x in (self.places, self.row, self.weights))
+        return self
+
+    def turned_times(self, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((TERMS, y.shape[1]), np.float32)
+        out[:FORMS] = self.forms.T @ y
+        _add_rows(out[FORMS:], *self.by_place, y)
         return out
 
 
@@ -133,12 +138,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def orthonormal(q: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns, made from their small table of products, twice for its rounding."""
+    for _ in range(2):
+        size, turn = np.linalg.eigh((q.T @ q).astype(np.float64))
+        there = size > 1e-9 * max(size[-1], 1e-30)
+        q = q @ (turn[:, there] / np.sqrt(size[there])).astype(np.float32)
+    return q
+
+
 def leading_directions(x: Features, count: int, rounds: int = 12) -> np.ndarray:
     """The first right singular vectors of x, as columns, by repeated multiplication of a start that is fixed."""
     count = min(count, *x.shape)
+    x.turned()
     q = np.random.default_rng(5).standard_normal((x.shape[1], min(count + 12, *x.shape))).astype(np.float32)
     for _ in range(rounds if count else 0):
-        q, _ = np.linalg.qr(x.turned_times(x.times(q)))
+        q = orthonormal(x.turned_times(x.times(q)))
     if not count:
         return q[:, :0]
     y = x.times(q)
@@ -156,7 +171,8 @@ class Voters:
         self.vectors = _unit(features.times(self.basis))
 
     def terms(self, texts: list[str]) -> Features:
-        return Features([terms(x, self.rarity) for x in texts])
+        made = [terms(x, self.rarity) for x in texts]
+        return Features(made, [len(m[1]) for m in made])
 
     def score(self, features: Features) -> np.ndarray:
         if not self.neighbours:
@@ -176,10 +192,30 @@ def is_held_out(remainder_of: int = 5) -> F.Column:
 def _features(docs: DataFrame, rarity: np.ndarray, keep: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [terms(x.as_py(), rarity) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column(keep), *(pa.array([r[i].tobytes() for r in made], pa.binary()) for i in range(3))], names=[keep, "forms", "places", "weights"])
+            made = [packed(terms(x.as_py(), rarity)) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(made, pa.binary())], names=[keep, "terms"])
+
+    return docs.mapInArrow(run, f"{keep} {kind}, terms binary")
+
+
+#: A term that a text has: a form's number, or FORMS and a word's place, and its weight.
+TERM = np.dtype([("at", "<i4"), ("weight", "<f4")])
+
+
+def packed(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    forms, places, weights = found
+    there = np.flatnonzero(forms)
+    out = np.empty(len(there) + len(places), TERM)
+    out["at"], out["weight"] = np.concatenate([there, FORMS + places]), np.concatenate([forms[there], weights])
+    return out.tobytes()
+
 
-    return docs.mapInArrow(run, f"{keep} {kind}, forms binary, places binary, weights binary")
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    held = np.frombuffer(blob, TERM)
+    of_form = held["at"] < FORMS
+    forms = np.zeros(FORMS, np.float32)
+    forms[held["at"][of_form]] = held["weight"][of_form]
+    return forms, held["at"][~of_form] - FORMS, held["weight"][~of_form]
 
 
 def fit_voters(docs: DataFrame, labels: DataFrame, reference_rows: int = 6000, dimensions: int = 48, neighbours: int = 15, sharpness: float = 60.0) -> Voters:
@@ -191,7 +227,9 @@ def fit_voters(docs: DataFrame, labels: DataFrame, reference_rows: int = 6000, d
     # repeated rows of a document count once
     rows = _features(texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text"), rarity, "label", "double").toPandas()
     labelled = rows["label"].to_numpy()
-    held = Features([(np.frombuffer(a, np.float32), np.frombuffer(b, np.int32), np.frombuffer(c, np.float32)) for a, b, c in zip(rows.pop("forms"), rows.pop("places"), rows.pop("weights"), strict=True)])
+    blobs = list(rows.pop("terms"))
+    held = Features(map(unpacked, blobs), [int((np.frombuffer(b, TERM)["at"] >= FORMS).sum()) for b in blobs])
+    del blobs
     return Voters(held, labelled, rarity, dimensions, neighbours, sharpness)
 
 
