@@ -584,7 +584,34 @@ def probe_rows(spark, folder):
     return rows.withColumn("trains", F.col("ts") < F.lit(m.TRAIN_END).cast("date"))
 
 
-@query()
+def ridge_sql(columns: int, penalty: float = 10.0) -> str:
+    """From learn (kind, x0, ..., y) to wt (kind, b: the mean of y, and for each column its mean, scale and weight):
+    the normal equations of standardised columns, by elimination written out."""
+    n = range(columns)
+    sums = ", ".join([f"avg(x{i}) AS m{i}, CASE WHEN sqrt(var_pop(x{i})) < 1e-12 THEN 1 ELSE sqrt(var_pop(x{i})) END AS s{i}" for i in n] + [f"covar_pop(x{i}, x{j}) AS c{i}{j}" for i in n for j in n] + [f"covar_pop(x{i}, y) AS d{i}" for i in n])
+    table = ", ".join([f"k * c{i}{j} / (s{i} * s{j}) + {penalty if i == j else 0}::DOUBLE AS a{i}{j}" for i in n for j in n] + [f"k * d{i} / s{i} AS r{i}" for i in n])
+    kept = ", ".join(["kind, b", *[f"m{i}, s{i}" for i in n]])
+    steps = [f"sm AS (SELECT kind, count(*) AS k, avg(y) AS b, {sums} FROM learn GROUP BY kind)", f"e0 AS (SELECT {kept}, {table} FROM sm)"]
+    for p in n[:-1]:
+        rows = [f"a{i}{j}" if i <= p else f"a{i}{j} - a{i}{p} / a{p}{p} * a{p}{j} AS a{i}{j}" for i in n for j in n] + [f"r{i}" if i <= p else f"r{i} - a{i}{p} / a{p}{p} * r{p} AS r{i}" for i in n]
+        steps.append(f"e{p + 1} AS (SELECT {kept}, {', '.join(rows)} FROM e{p})")
+    last = f"e{columns - 1}"
+    for p in reversed(n):
+        known = "".join(f" - a{p}{j} * w{j}" for j in n if j > p)
+        steps.append(f"f{p} AS (SELECT *, (r{p}{known}) / a{p}{p} AS w{p} FROM {last})")
+        last = f"f{p}"
+    return ",\n".join([*steps, f"wt AS (SELECT {kept}, {', '.join(f'w{i}' for i in n)} FROM {last})"])
+
+
+PROBE = f""",
+pb AS (SELECT f.symbol, f.ts, f.ret_5 AS x0, f.sma_20 AS x1, f.ret_5 - b.ret_5 AS x2, {RSI} AS x3, alpha AS y, f.ts < DATE '1996-01-01' AS trains FROM ft f JOIN (SELECT ts, ret_5 FROM ft WHERE symbol = 'ALL') b ON f.ts = b.ts JOIN lab ON lab.symbol = f.symbol AND lab.ts = f.ts AND h = 5 WHERE f.symbol <> 'ALL'),
+ct AS (SELECT x0, x1, x2, x3, g.y FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY symbol) AS at FROM pb WHERE trains) p JOIN (SELECT ts, y, row_number() OVER (PARTITION BY ts ORDER BY md5('11:' || symbol), symbol) AS at FROM pb WHERE trains) g ON p.ts = g.ts AND p.at = g.at),
+learn AS (SELECT 'ridge' AS kind, x0, x1, x2, x3, y FROM pb WHERE trains UNION ALL SELECT 'control', * FROM ct),
+{ridge_sql(4)},
+gs AS (SELECT kind, symbol, y, b + {" + ".join(f"(x{i} - m{i}) / s{i} * w{i}" for i in range(4))} AS p FROM pb, wt WHERE NOT trains)"""
+
+
+@query(f"WITH {FEATURES}{LABELS.replace(BARS, '')}{PROBE} SELECT kind, symbol, round(avg(abs(y - p)), 5) + 0 AS mae, round(sqrt(avg((y - p) * (y - p))), 5) + 0 AS rmse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 5) + 0 AS r2 FROM gs GROUP BY kind, symbol", digits=5)
 def g11_ridge(spark, folder):
     """Learned from labels, and as a control from labels that changed hands on each training date."""
     columns = ["ret_5", "sma_20", "diff_ret_5", "rsi"]
