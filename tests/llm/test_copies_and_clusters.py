@@ -6,10 +6,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import chunk_recipes, delta_lloyd, divergence
+from barloom.llm import chunk_recipes, delta_lloyd, divergence, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row int, recipe string, kept string, term string, n int"
 
@@ -153,3 +154,15 @@ def test_clusters(spark, rows_of):
 def test_clusters_of_nothing(spark):
     made = delta_lloyd.clusters(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"), 8, 10, 3, 64)
     assert made.collect() == [] and made.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, data, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
+    made, want = queries.queries()[name](spark, data), con.sql(queries.oracle_sql()[name])
+    order = sorted(made.columns)
+    assert order == sorted(want.columns)
+    told = lambda rows, columns: sorted(repr(tuple(r[columns.index(c)] for c in order)) for r in rows)
+    assert told([tuple(r) for r in made.collect()], made.columns) == told(want.fetchall(), want.columns)
