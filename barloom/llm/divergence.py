@@ -24,9 +24,10 @@ then by the bytes of the item. An empty table has an empty result; other columns
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_of
 
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
-#: Terms that a task holds before it passes them on.
-HELD = 200_000
+#: Terms that a task holds before it passes them on, and what a document adds to a term's number, whose rest is
+#: its occurrences.
+HELD, DOCUMENT = 400_000, 1 << 40
 #: Parts of one language's pairs.
 SALTS = 32
 UNIT = 1_000_000_000
@@ -43,27 +45,28 @@ UNIT = 1_000_000_000
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of a partition, in parts; the empty term stands for the group itself."""
-    held: dict = defaultdict(lambda: [0, 0])
+    held: dict[tuple[str, str], dict[bytes, int]] = {}  # occurrences, and DOCUMENT for each document
+    size = 0
 
     def out() -> pa.RecordBatch:
-        keys, values = list(held), list(held.values())
+        terms = [t for own in held.values() for t in own]
+        values = np.fromiter((v for own in held.values() for v in own.values()), np.int64, len(terms))
+        of = np.repeat(np.arange(len(held), dtype=np.int32), [len(own) for own in held.values()])
+        names = [pa.DictionaryArray.from_arrays(pa.array(of), pa.array([k[i] for k in held], pa.string())).cast(pa.string()) for i in (0, 1)]
         held.clear()
-        columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)]
-        columns += [pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()), *(pa.array([v[i] for v in values], pa.int64()) for i in (0, 1))]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        return pa.RecordBatch.from_arrays([*names, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(values % DOCUMENT), pa.array(values // DOCUMENT)], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-            held[lang, source, b""][1] += 1
-            mine: dict = defaultdict(int)
-            for term in TERM.findall(text.encode("utf-8").lower()):  # of bytes, so A-Z alone
-                mine[term] += 1
-            for term, n in mine.items():
-                entry = held[lang, source, term]
-                entry[0] += n
-                entry[1] += 1
-            if len(held) > HELD:
+            own = held.setdefault((lang, source), {})
+            size -= len(own)
+            own[b""] = own.get(b"", 0) + DOCUMENT
+            for term, n in Counter(TERM.findall(text.encode("utf-8").lower())).items():  # of bytes, so A-Z alone
+                own[term] = own.get(term, 0) + n + DOCUMENT
+            size += len(own)
+            if size > HELD:
                 yield out()
+                size = 0
     if held:
         yield out()
 
