@@ -13,6 +13,7 @@ from test_queries import TABLES, rows_of
 NAMES = [
     "c4_asof_window",
     "b12_observations",
+    "e5_sampled_arrays",
 ]
 
 
