@@ -14,6 +14,7 @@ NAMES = [
     "c4_asof_window",
     "b12_observations",
     "e5_sampled_arrays",
+    "e5_training_rows",
 ]
 
 
