@@ -15,6 +15,7 @@ NAMES = [
     "b12_observations",
     "e5_sampled_arrays",
     "e5_training_rows",
+    "e5_window_arrays",
 ]
 
 
