@@ -16,6 +16,7 @@ NAMES = [
     "e5_sampled_arrays",
     "e5_training_rows",
     "e5_window_arrays",
+    "f5_averages",
 ]
 
 
