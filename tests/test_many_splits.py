@@ -17,6 +17,7 @@ NAMES = [
     "e5_training_rows",
     "e5_window_arrays",
     "f5_averages",
+    "a34_tabular_cache",
 ]
 
 
