@@ -18,6 +18,7 @@ NAMES = [
     "e5_window_arrays",
     "f5_averages",
     "a34_tabular_cache",
+    "f17_standardize",
 ]
 
 
