@@ -19,6 +19,7 @@ NAMES = [
     "f5_averages",
     "a34_tabular_cache",
     "f17_standardize",
+    "f22_causal",
 ]
 
 
