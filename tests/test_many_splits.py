@@ -20,6 +20,7 @@ NAMES = [
     "a34_tabular_cache",
     "f17_standardize",
     "f22_causal",
+    "f7_feature_rows",
 ]
 
 
