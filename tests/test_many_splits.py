@@ -21,6 +21,7 @@ NAMES = [
     "f17_standardize",
     "f22_causal",
     "f7_feature_rows",
+    "f16_scales",
 ]
 
 
