@@ -22,6 +22,7 @@ NAMES = [
     "f22_causal",
     "f7_feature_rows",
     "f16_scales",
+    "f16_sliced_scales",
 ]
 
 
