@@ -23,6 +23,7 @@ NAMES = [
     "f7_feature_rows",
     "f16_scales",
     "f16_sliced_scales",
+    "f18_scale_calibration",
 ]
 
 
