@@ -24,6 +24,7 @@ NAMES = [
     "f16_scales",
     "f16_sliced_scales",
     "f18_scale_calibration",
+    "f19_decompose",
 ]
 
 
