@@ -25,6 +25,7 @@ NAMES = [
     "f16_sliced_scales",
     "f18_scale_calibration",
     "f19_decompose",
+    "f20_patches",
 ]
 
 
