@@ -26,6 +26,7 @@ NAMES = [
     "f18_scale_calibration",
     "f19_decompose",
     "f20_patches",
+    "g11_ridge",
 ]
 
 
