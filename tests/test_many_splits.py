@@ -27,6 +27,7 @@ NAMES = [
     "f19_decompose",
     "f20_patches",
     "g11_ridge",
+    "g1_all_rules",
 ]
 
 
