@@ -28,6 +28,7 @@ NAMES = [
     "f20_patches",
     "g11_ridge",
     "g1_all_rules",
+    "g1_rules",
 ]
 
 
