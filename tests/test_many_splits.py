@@ -29,6 +29,7 @@ NAMES = [
     "g11_ridge",
     "g1_all_rules",
     "g1_rules",
+    "e6_relative",
 ]
 
 
