@@ -30,6 +30,7 @@ NAMES = [
     "g1_all_rules",
     "g1_rules",
     "e6_relative",
+    "f8_relative_sequence",
 ]
 
 
