@@ -122,11 +122,11 @@ def stretches(starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndar
 
 
 class Counter:
-    """Counts of zeros and ones by slot, for each order: two bytes each, with a list of what went beyond."""
+    """Counts of zeros and ones by slot, for each order: a byte each, with a list of what went beyond."""
 
     def __init__(self, trees: Trees, orders: tuple[int, ...], bits: int):
         self.trees, self.orders, self.bits = trees, orders, bits
-        self.counts = np.zeros((len(orders), 16 << bits), np.uint16)
+        self.counts = np.zeros((len(orders), 16 << bits), np.uint8)
         self.beyond: list[list[np.ndarray]] = [[] for _ in orders]
         self.found: list[list[np.ndarray]] = [[] for _ in orders]
         self.size = 0
@@ -158,11 +158,21 @@ class Counter:
                 total = np.add.reduceat(slot & np.uint64(0xFFFFFFFF), first)
                 at = at[first].astype(np.intp)
                 total += self.counts[i, at]
-                over = np.flatnonzero(total > 0xFFFF)
+                over = np.flatnonzero(total > 0xFF)
                 if len(over):
                     self.beyond[i].append(np.stack([at[over], total[over].astype(np.intp)]))
                     total[over] = 0
-                self.counts[i, at] = total.astype(np.uint16)
+                    if len(self.beyond[i]) >= 64:
+                        self.beyond[i] = [self._more(i)]
+                self.counts[i, at] = total.astype(np.uint8)
+
+    def _more(self, i: int) -> np.ndarray:
+        """What went beyond in an order: its slots, sorted, and the sums."""
+        at, c = np.concatenate(self.beyond[i], axis=1) if self.beyond[i] else np.zeros((2, 0), np.intp)
+        order = np.argsort(at, kind="stable")
+        at, c = at[order], c[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        return np.stack([at[first], np.add.reduceat(c, first) if len(c) else c])
 
     def _slots(self, pairs: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Slot and times, 32 bits each, of each decision."""
@@ -182,13 +192,13 @@ class Counter:
         """The counts, so many at a time, with the number of each such part; those without counts too or not."""
         self._count()
         for i, own in enumerate(self.counts):
-            more = np.concatenate(self.beyond[i], axis=1) if self.beyond[i] else np.zeros((2, 0), np.intp)
+            at, more = self._more(i)
             for k in range(0, len(own), size):
-                if not empty and not own[k : k + size].any() and not len(more[0]):
+                here = slice(*np.searchsorted(at, [k, k + size]))
+                if not empty and not own[k : k + size].any() and not len(at[here]):
                     continue
                 part = own[k : k + size].astype(np.int64)
-                here = (more[0] >= k) & (more[0] < k + size)
-                np.add.at(part, more[0][here] - k, more[1][here])
+                part[at[here] - k] += more[here]
                 yield (i * len(own) + k) // size, part
 
 

@@ -153,18 +153,24 @@ def _count_row(part: int, salt: int, c: np.ndarray) -> pa.RecordBatch:
 
 
 def summed(counts: DataFrame, *within: str) -> DataFrame:
-    """One row of counts for each part, and each salt if that is named."""
+    """One row of counts for each part, and each salt if that is named. Rows come sorted, so that a task
+    holds one part at a time, however many parts were dealt to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        at, held = None, None
         for batch in batches:
-            for part, salt, c in zip(*(batch.column(n).to_pylist() for n in ("part", "salt", "c")), strict=True):
-                key = (part, salt if within else 0)
-                held[key] = held[key] + _loose(c) if key in held else _loose(c)
-        for (part, salt), c in held.items():
-            yield _count_row(part, salt, c)
+            for part, salt, c in zip(*(batch.column(n) for n in ("part", "salt", "c")), strict=True):
+                key, c = (part.as_py(), salt.as_py() if within else 0), _loose(c.as_py())
+                if at == key:
+                    held += c
+                    continue
+                if held is not None:
+                    yield _count_row(*at, held)
+                at, held = key, c
+        if held is not None:
+            yield _count_row(*at, held)
 
-    return counts.repartition("part", *within).mapInArrow(run, COUNTS)
+    return counts.repartition("part", *within).sortWithinPartitions("part", *within).mapInArrow(run, COUNTS)
 
 
 def count_slots(texts: DataFrame, trees: Trees, orders: tuple[int, ...], bits: int) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -393,6 +394,49 @@ def test_language_model(spark, data, odd, none):
     assert lm_scoring.score_documents(odd, least_bits=12).count() == odd.count() and lm_scoring.score_documents(none, least_bits=12).count() == 0
 
 
+def test_counts_are_summed_part_by_part():
+    """A task holds no more with more parts: where counts are few, one task is dealt them all."""
+
+    class Plan:
+        repartition = sortWithinPartitions = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    def rows():
+        return (lm_scoring._count_row(part, salt, np.full(lm_scoring.PART, 300 * part + salt)) for part in range(64) for salt in range(2))
+
+    for within, most in (((), 1), (("salt",), 2)):
+        got, salts = Counter(), Counter()
+        tracemalloc.start()
+        for row in lm_scoring.summed(Plan(), *within)(rows()):
+            c = lm_scoring._loose(row.column("c")[0].as_py())
+            assert len(c) == lm_scoring.PART and c.min() == c.max()
+            got[row.column("part")[0].as_py()] += int(c[0])
+            salts[row.column("part")[0].as_py()] += 1
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == {part: 600 * part + 1 for part in range(64)} and set(salts.values()) == {most}
+        assert peak < 16 * 8 * lm_scoring.PART
+
+
+def test_counts_past_a_byte(monkeypatch):
+    texts = [b"abcabcabd" * 40, b"zzzzzzzz" * 90, b"x"] * 70
+    trees = context_mixing.Trees(octets_of(texts[:3]))
+
+    def counted(batch):
+        monkeypatch.setattr(context_mixing, "BATCH", batch)
+        made = context_mixing.Counter(trees, (1, 3), 12)
+        for text in texts:
+            made.add([text])
+        assert made.counts.nbytes == 2 * (16 << 12)
+        return np.concatenate([c for _, c in made.parts(1 << 10)]), dict(made.parts(1 << 10, empty=False))
+
+    (whole, own), (often, parts) = counted(1 << 21), counted(64)  # once and some hundred times
+    assert whole.max() > 40_000 and (whole == often).all()
+    assert own.keys() == parts.keys() and all((own[k] == parts[k]).all() for k in own) and sum(c.sum() for c in parts.values()) == whole.sum()
+
+
 M32 = 0xFFFFFFFF
 
 
