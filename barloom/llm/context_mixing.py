@@ -22,7 +22,7 @@ import numpy as np
 END = 255
 PAD = 8
 #: Places: of a document's first and largest block, worked on at once, and counted at once.
-FIRST_BLOCK, LAST_BLOCK, CHUNK, BATCH = 128, 1 << 15, 1 << 16, 1 << 21
+FIRST_BLOCK, LAST_BLOCK, CHUNK, BATCH = 128, 1 << 15, 1 << 16, 1 << 20
 #: Decisions whose slots share a line of eight bytes; from how often on a line counts as met once, a few times and often.
 LEVELS, MET, GATES = 3, np.array([1, 2, 6]), 16
 #: A step's mark, and by step the bits to shift its slot's byte down by, and -1 for one and 1 for zero.
